@@ -25,11 +25,11 @@ def energy_text(col: Column) -> Column:
 
 def known_adduct(col: Column) -> Column:
     """The adduct without blanks if it is a bracketed ion with its charge behind it, else null."""
-    bare = F.regexp_replace(col, r"[\s ]+", "")
+    bare = F.regexp_replace(col, r"[\s\xa0]+", "")
     return F.when(bare.rlike(ADDUCT_FORM), bare)
 
 
 def known_mode(col: Column) -> Column:
     """``positive`` or ``negative`` if the entry names or abbreviates it, else null."""
-    bare = F.lower(F.regexp_replace(col, r"^[\s ]+|[\s ]+$", ""))
+    bare = F.lower(F.regexp_replace(col, r"^[\s\xa0]+|[\s\xa0]+$", ""))
     return F.when(bare.rlike(POSITIVE_FORM), "positive").when(bare.rlike(NEGATIVE_FORM), "negative")

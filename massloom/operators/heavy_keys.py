@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from massloom.session import durable
+
 #: A key with this share of the rows is heavy, so at most 1 / HEAVY_SHARE keys are.
 HEAVY_SHARE = 0.002
 #: Counters of the sketch; its error is below 4 / SKETCH_ITEMS of the rows.
@@ -93,3 +95,16 @@ def per_key_summary(df: DataFrame, key: str, value: str, seen: Column, share: fl
         "hk_key", "n_rows", "median", "seen_values"
     )
     return rest_part.unionByName(heavy_part).withColumnRenamed("hk_key", key)
+
+
+def skew_join(rows: DataFrame, side: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame:
+    """Left join of ``rows`` with ``side`` (one row per ``key``) when a few keys hold most of ``rows``.
+
+    The part of ``side`` for the heavy keys (at most 2 / share of them) is broadcast to their rows, which stay where
+    they are; the rest goes through an ordinary shuffle. Rows with a null key, or without a partner, get nulls.
+    """
+    heavy = durable(heavy_keys(rows, key, share))
+    marked = rows.join(F.broadcast(heavy.withColumn("sj_heavy", F.lit(True))), key, "left")
+    few = marked.where("sj_heavy").drop("sj_heavy").join(F.broadcast(side.join(F.broadcast(heavy), key, "left_semi")), key, "left")
+    rest = marked.where("sj_heavy IS NULL").drop("sj_heavy").join(side, key, "left")
+    return few.unionByName(rest)
