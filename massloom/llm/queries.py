@@ -5,11 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from massloom.llm.encode import decode_ids, encode_texts
+from massloom.llm.group_split import split_records, tied_blocks
+from massloom.llm.neighbours import neighbours
+from massloom.llm.overlap import overlap_report, overlaps
 from massloom.llm.pack import CAPACITY, pack
 from massloom.llm.skeleton import same_look_pairs, with_skeleton
 from massloom.sources.tables import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of spectra with a cosine of at least 0.92: the part of all lists of ten that lies there."""
+    near = neighbours(table(spark, sf_dir, "train"), "spectrum_id", "ms2_mzs", "ms2_intensities", k=10, least=0.92)
+    return near.select(
+        F.least("id", "other").alias("spectrum_id_a"), F.greatest("id", "other").alias("spectrum_id_b")
+    ).distinct()
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation records whose structure occurs in train."""
+    return p3_overlaps(spark, sf_dir).select("split", "source_library", "spectrum_id")
+
+
+def p3_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlapping evaluation records, how they were found and how far they are covered."""
+    return overlaps(table(spark, sf_dir, "external_spectra"), table(spark, sf_dir, "train"))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps counted per split and source."""
+    return overlap_report(table(spark, sf_dir, "external_spectra"), table(spark, sf_dir, "train"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of short keys that must share a split."""
+    return tied_blocks(table(spark, sf_dir, "train"))
+
+
+def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split of every spectrum."""
+    return split_records(table(spark, sf_dir, "train"))
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra and entities of each split."""
+    return p5_splits(spark, sf_dir).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_spectra"), F.approx_count_distinct("entity").alias("n_entities")
+    )
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -50,7 +93,7 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_skeleton(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "skeleton")
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_decoded, p7_containers, p7_fill, p8_found, p8_forms)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_overlaps, p3_report, p5_found, p5_splits, p5_shares, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found, p8_forms)}
 
 SQL = {
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
