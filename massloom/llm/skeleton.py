@@ -9,6 +9,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from massloom.session import durable_table
+
 # Letters of other alphabets and the letter they look like, in the order of the alphabets.
 LOOK_ALIKES = dict(
     zip(
@@ -84,7 +86,7 @@ def same_look_pairs(docs: DataFrame, key: str, text: str) -> DataFrame:
     many copies never meets itself. Texts that are null or without a visible character are in no pair. Repeated rows of
     a key count once. An empty table gives an empty result.
     """
-    groups = same_look_groups(docs, key, text).withColumnRenamed(key, "id")
+    groups = durable_table(same_look_groups(docs, key, text).withColumnRenamed(key, "id"))  # two digests a text
     several = groups.groupBy("look").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo < hi").select("look")
     kept = groups.join(several, "look", "left_semi").distinct()
     forms = kept.select("look", "form").distinct()
