@@ -52,18 +52,37 @@ def _tables() -> tuple[dict[int, str | None], dict[int, str | None]]:
 def skeleton(text: str) -> str:
     """Decompose, replace every character by its prototype, decompose again."""
     first, second = _tables()
-    if text.isascii():
-        return text if text.isprintable() else text.replace("\r\n", "\n").translate(first)
     form = unicodedata.normalize("NFD", text.replace("\r\n", "\n").translate(first))
     return unicodedata.normalize("NFD", form.translate(second))
 
 
+#: Words whose skeletons a task remembers; it starts anew beyond that.
+REMEMBERED = 500_000
+
+
+def skeletons(texts: list[str | None]) -> list[str | None]:
+    """The skeletons of many texts, word by word: the plain blank stands alone in every form, so words can be formed alone."""
+    known: dict[str, str] = {}
+
+    def form(word: str) -> str:
+        got = known.get(word)
+        if got is None:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            got = known[word] = skeleton(word)
+        return got
+
+    return [
+        t if t is None or (t.isascii() and t.isprintable()) else " ".join(map(form, t.split(" "))) for t in texts
+    ]
+
+
 def with_skeleton(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, ``text`` and ``skeleton``. A null text has a null skeleton, an empty one an empty skeleton."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            forms = [None if t is None else skeleton(t) for t in b.column("text").to_pylist()]
+            forms = skeletons(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(forms, pa.string())], names=["k", "text", "skeleton"])
 
     key_type = dict(docs.dtypes)[key]
