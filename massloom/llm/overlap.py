@@ -31,7 +31,9 @@ def codes(df: DataFrame, column: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), found], names=[column, "code"])
 
     distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
-    return distinct.mapInArrow(read, f"{column} string, code string")
+    # Short texts, long work: adaptive execution would put megabytes of them into one task.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return distinct.repartition(tasks, column).mapInArrow(read, f"{column} string, code string")
 
 
 def _passages(blocks: Column, code: Column) -> Column:
@@ -98,7 +100,7 @@ def overlaps(external: DataFrame, train: DataFrame) -> DataFrame:
     """
     records = durable_table(evaluation_passages(external))
     exploded = records.select(F.explode("passages").alias("passage")).distinct()
-    matched = scan(exploded, training_texts(train))
+    matched = scan(exploded, durable_table(training_texts(train)))
     numbered = records.withColumn("row", F.monotonically_increasing_id())
     placed = numbered.select("row", "split", "source_library", "spectrum_id", "passages", F.posexplode("passages").alias("at", "passage"))
     start = F.aggregate(F.slice("passages", 1, F.col("at")), F.lit(0), lambda n, p: n + F.length(p))
