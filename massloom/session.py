@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +55,17 @@ def durable_table(df: DataFrame, *partition_by: str) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors once per context, so that tasks can import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_massloom_shipped", False):
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-massloom-")) / "massloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._massloom_shipped = True
