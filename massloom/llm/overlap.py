@@ -33,7 +33,7 @@ def codes(df: DataFrame, column: str) -> DataFrame:
     distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
     # Short texts, long work: adaptive execution would put megabytes of them into one task.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return distinct.repartition(tasks, column).mapInArrow(read, f"{column} string, code string")
+    return distinct.repartition(tasks, F.xxhash64(column)).mapInArrow(read, f"{column} string, code string")
 
 
 def _passages(blocks: Column, code: Column) -> Column:
