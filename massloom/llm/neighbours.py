@@ -27,8 +27,9 @@ CENTROID_DIMENSIONS = 96
 STORED, SEARCHED, RATIO = 2, 4, 1.35
 #: Stored vectors of one block.
 BLOCK = 4096
-#: Graph: neighbours of a centroid, starting points, nodes kept while searching, and steps.
-DEGREE, STARTS, BEAM, STEPS = 16, 96, 8, 6
+#: Graph: neighbours of a centroid, nodes kept while searching, and steps. The search starts from the best of every
+#: second centroid, an upper layer of the graph: with fewer, near vectors end at different centroids too often.
+DEGREE, BEAM, STEPS, UPPER = 16, 8, 10, 0.5
 
 
 def usable(mzs: Column, intensities: Column) -> Column:
@@ -92,21 +93,29 @@ class Sparse:
         return out
 
 
+def near_graph(matrix: np.ndarray) -> np.ndarray:
+    """For each centroid its ``DEGREE`` nearest (itself among them)."""
+    k = len(matrix)
+    degree = min(DEGREE, k)
+    near = (matrix[s : s + 512] @ matrix.T for s in range(0, k, 512))
+    return np.concatenate([np.argpartition(-x, degree - 1, axis=1)[:, :degree].astype(np.int32) for x in near])
+
+
 class Centroids:
     """Centroids over their own dimensions, with the graph by which the nearest are found."""
 
-    def __init__(self, space: np.ndarray, matrix: np.ndarray) -> None:
-        self.space, self.matrix = space, matrix
-        k = len(matrix)
-        near = [matrix[s : s + 512] @ matrix.T for s in range(0, k, 512)]
-        degree = min(DEGREE, k)
-        self.graph = np.concatenate([np.argpartition(-x, degree - 1, axis=1)[:, :degree] for x in near])
-        self.starts = np.random.default_rng(1).permutation(k)[:STARTS]
+    def __init__(self, space: np.ndarray, matrix: np.ndarray, graph: np.ndarray) -> None:
+        self.space, self.matrix, self.graph = space, matrix, graph
+        self.starts = np.random.default_rng(1).permutation(len(matrix))[: max(96, int(UPPER * len(matrix)))]
         self.head = matrix[self.starts]
 
     def nearest(self, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
         """For each dense row of ``x``, ``want`` near centroids and their cosines, by a search along the graph."""
         n, k = len(x), len(self.matrix)
+        if want > BEAM or k <= 96:  # so many are wanted that all are looked at
+            cos = x @ self.matrix.T
+            order = np.argsort(-cos, axis=1, kind="stable")[:, :want]
+            return order, np.take_along_axis(cos, order, 1)
         beam = min(max(BEAM, want), len(self.starts))
         rows = np.arange(n)[:, None]
         seen = np.zeros((n, k), bool)
@@ -168,12 +177,12 @@ def fit_centroids(sample: Sparse, k: int, seed: int = 3) -> Centroids:
             c = np.where(c >= floor, c, 0)
         c = (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)).astype(np.float32)
         k = len(c)
-    return Centroids(space, c)
+    return Centroids(space, c, near_graph(c))
 
 
-def assigned(vectors: DataFrame, n: int, stored: int, searched: int, ratio: float) -> DataFrame:
-    """``vectors`` with ``lists`` (nearest first) and ``n_stored``, how many of them store the vector."""
-    k = int(min(MOST_LISTS, max(1, n // LIST_LENGTH)))
+def assigned(vectors: DataFrame, n: int, stored: int, searched: float, ratio: float, list_length: int) -> DataFrame:
+    """``vectors`` (with ``asks``) and their ``lists`` (nearest first), of which the first ``n_stored`` store the vector."""
+    k = int(min(MOST_LISTS, max(1, n // list_length)))
     share = min(1.0, 1.2 * SAMPLE_PER_LIST * k / max(n, 1) + 200 / max(n, 1))
     rows = vectors.select("dims", "vals", F.xxhash64("id").alias("h")).where(
         F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1
@@ -183,26 +192,33 @@ def assigned(vectors: DataFrame, n: int, stored: int, searched: int, ratio: floa
         return vectors.select("*", F.array().cast("array<int>").alias("lists"), F.lit(0).alias("n_stored"))
     sample = Sparse(got.column("dims").combine_chunks(), got.column("vals").combine_chunks())
     fitted = fit_centroids(sample, k)
-    shared = vectors.sparkSession.sparkContext.broadcast((fitted.space, _packed(fitted.matrix)))
+    shared = vectors.sparkSession.sparkContext.broadcast((fitted.space, _packed(fitted.matrix), fitted.graph))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, packed = shared.value
-        centroids = Centroids(space, _unpacked(packed))
-        want = min(searched, len(centroids.matrix))
+        space, packed, graph = shared.value
+        centroids = Centroids(space, _unpacked(packed), graph)
+        k = len(centroids.matrix)
+        most = min(k, int(searched) if searched >= 1 else max(stored, int(np.ceil(searched * k))))
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 b = whole.slice(start, 1024)
                 x = Sparse(b.column("dims"), b.column("vals")).dense(space)
-                lists, cos = centroids.nearest(x, want)
-                far = 1 - np.clip(cos, -1, 1)
+                asks = b.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+                lists = np.zeros((len(x), most), np.int32)
+                far = np.full((len(x), most), np.inf)
+                for rows, want in ((np.flatnonzero(asks), most), (np.flatnonzero(~asks), min(stored, k))):
+                    if len(rows):
+                        found, cos = centroids.nearest(x[rows], want)
+                        lists[rows[:, None], np.arange(want)], far[rows[:, None], np.arange(want)] = found, 1 - np.clip(cos, -1, 1)
                 keep = far <= ratio * far[:, :1] + 1e-6
                 count = keep.sum(1)  # nearest first, so what is kept is a head of the list
                 offsets = np.r_[0, np.cumsum(count)]
                 chosen = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(lists[keep], pa.int32()))
                 n_stored = pa.array(np.minimum(count, stored), pa.int32())
-                yield pa.RecordBatch.from_arrays([*b.columns, chosen, n_stored], names=["id", "dims", "vals", "lists", "n_stored"])
+                yield pa.RecordBatch.from_arrays([*b.columns, chosen, n_stored], names=[*b.schema.names, "lists", "n_stored"])
 
-    return vectors.mapInArrow(place, f"id {dict(vectors.dtypes)['id']}, dims binary, vals binary, lists array<int>, n_stored int")
+    types = ", ".join(f"{c} {t}" for c, t in vectors.dtypes)
+    return vectors.mapInArrow(place, f"{types}, lists array<int>, n_stored int")
 
 
 def _packed(matrix: np.ndarray) -> tuple[tuple[int, int], np.ndarray, np.ndarray, np.ndarray]:
@@ -217,9 +233,9 @@ def _unpacked(packed: tuple) -> np.ndarray:
     return out
 
 
-def search_lists(placed: DataFrame, k: int, least: float, is_query: Column) -> DataFrame:
+def search_lists(placed: DataFrame, k: int, least: float) -> DataFrame:
     """``id``, ``other``, ``cos``: per list and searching vector, the ``k`` best stored ones with at least ``least``."""
-    at = placed.select("id", "dims", "vals", is_query.alias("asks"), "n_stored", F.posexplode("lists").alias("rank", "list"))
+    at = placed.select("id", "dims", "vals", "asks", "n_stored", F.posexplode("lists").alias("rank", "list"))
     at = at.withColumn("stored", F.col("rank") < F.col("n_stored")).where("stored OR asks")
     lengths = at.where("stored").groupBy("list").agg(F.count(F.lit(1)).alias("length")).where(F.col("length") > BLOCK)
     blocks = lengths.select("list", F.ceil(F.col("length") / BLOCK).cast("int").alias("blocks"))
@@ -265,19 +281,20 @@ def search_lists(placed: DataFrame, k: int, least: float, is_query: Column) -> D
 
 def neighbours(
     spectra: DataFrame, key: str, mzs: str, intensities: str, k: int = 10, least: float = -1.0, queries: Column | None = None,
-    stored: int = STORED, searched: int = SEARCHED, ratio: float = RATIO,
+    stored: int = STORED, searched: float = SEARCHED, ratio: float = RATIO, list_length: int = LIST_LENGTH,
 ) -> DataFrame:
-    """``id``, ``other``, ``cos``, ``rank``: for every usable spectrum (or those of ``queries``) its ``k`` most similar others.
+    """``id``, ``other``, ``cos``, ``rank``: for every usable spectrum (or those for which ``queries``, a condition on ``id``, holds) its ``k`` most similar others.
 
     Only neighbours with a cosine of at least ``least`` come out. Ties are ranked by ``other``. Spectra that aren't usable
     are neither searched nor found. Copies are neighbours of each other with cosine 1. A ``key`` that occurs in several
     rows stands for one spectrum and is no neighbour of itself. Cosines are exact to about 1e-6; the search is
-    approximate (recall by ``searched`` and ``ratio``). An empty table gives an empty result.
+    approximate: recall grows with ``searched`` (lists, or below 1 a share of all lists) and ``ratio``. An empty table gives an empty result.
     """
     vectors = peak_vectors(spectra, key, mzs, intensities)
+    vectors = vectors.withColumn("asks", F.coalesce(queries if queries is not None else F.lit(True), F.lit(False)))
     n = spectra.where(usable(F.col(mzs), F.col(intensities))).count()
-    placed = durable_table(assigned(vectors, n, stored, searched, ratio))
-    found = search_lists(placed, k, least, F.lit(True) if queries is None else queries)
+    placed = durable_table(assigned(vectors, n, stored, searched, ratio, list_length))
+    found = search_lists(placed, k, least)
     best = found.groupBy("id", "other").agg(F.max("cos").alias("cos"))  # a pair may meet in several lists
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("cos"), "other"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)

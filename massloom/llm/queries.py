@@ -21,6 +21,18 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
+def p2_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar spectra of every spectrum whose id is divisible by 100, against all spectra.
+
+    Most true neighbours have a cosine of about 0.3, so many lists are searched.
+    """
+    near = neighbours(
+        table(spark, sf_dir, "train"), "spectrum_id", "ms2_mzs", "ms2_intensities",
+        k=10, queries=F.col("id") % 100 == 0, stored=3, searched=0.18, ratio=100.0, list_length=500,
+    )
+    return near.select(F.col("id").alias("spectrum_id"), "rank", F.col("other").alias("neighbour_id"), F.round("cos", 5).alias("cosine"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evaluation records whose structure occurs in train."""
     return p3_overlaps(spark, sf_dir).select("split", "source_library", "spectrum_id")
@@ -93,7 +105,7 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_skeleton(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "skeleton")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_overlaps, p3_report, p5_found, p5_splits, p5_shares, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found, p8_forms)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_knn, p3_found, p3_overlaps, p3_report, p5_found, p5_splits, p5_shares, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found, p8_forms)}
 
 SQL = {
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
