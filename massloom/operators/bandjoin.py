@@ -46,11 +46,11 @@ def band_join(queries: DataFrame, windows: Column, catalog: DataFrame, mass: str
 
     Queries without a window and catalog rows without a mass meet nothing. Skewed buckets are left to adaptive execution.
     """
-    w = F.explode(disjoint(windows)).alias("w")
+    w = F.explode(disjoint(windows)).alias("bj_w")
     asked = queries.select("*", w)
-    asked = asked.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("w.lo") / width), F.floor(F.col("w.hi") / width))))
-    held = catalog.withColumn("bucket", F.floor(F.col(mass) / width))
-    return asked.join(held, "bucket").where(F.col(mass).between(F.col("w.lo"), F.col("w.hi"))).drop("bucket", "w")
+    asked = asked.withColumn("bj_bucket", F.explode(F.sequence(F.floor(F.col("bj_w.lo") / width), F.floor(F.col("bj_w.hi") / width))))
+    held = catalog.withColumn("bj_bucket", F.floor(F.col(mass) / width))
+    return asked.join(held, "bj_bucket").where(F.col(mass).between(F.col("bj_w.lo"), F.col("bj_w.hi"))).drop("bj_bucket", "bj_w")
 
 
 def tiered(queries: DataFrame, catalog: DataFrame, mass: str = "exact_mass") -> DataFrame:
