@@ -26,7 +26,7 @@ CENTROID_DIMENSIONS = 96
 #: Lists in which a vector is stored, lists that it searches, and the distance ratio that prunes both.
 STORED, SEARCHED, RATIO = 2, 4, 1.35
 #: Stored vectors of one block.
-BLOCK = 4096
+BLOCK = 8192
 #: Graph: neighbours of a centroid, nodes kept while searching, and steps. The search starts from the best of every
 #: second centroid, an upper layer of the graph: with fewer, near vectors end at different centroids too often.
 DEGREE, BEAM, STEPS, UPPER = 16, 8, 10, 0.5
@@ -180,9 +180,9 @@ def fit_centroids(sample: Sparse, k: int, seed: int = 3) -> Centroids:
     return Centroids(space, c, near_graph(c))
 
 
-def assigned(vectors: DataFrame, n: int, stored: int, searched: float, ratio: float, list_length: int) -> DataFrame:
+def assigned(vectors: DataFrame, n: int, stored: int, searched: float, ratio: float, list_length: int, lists: int) -> DataFrame:
     """``vectors`` (with ``asks``) and their ``lists`` (nearest first), of which the first ``n_stored`` store the vector."""
-    k = int(min(MOST_LISTS, max(1, n // list_length)))
+    k = int(min(lists, MOST_LISTS, max(1, n // list_length)))
     share = min(1.0, 1.2 * SAMPLE_PER_LIST * k / max(n, 1) + 200 / max(n, 1))
     rows = vectors.select("dims", "vals", F.xxhash64("id").alias("h")).where(
         F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1
@@ -257,8 +257,8 @@ def search_lists(placed: DataFrame, k: int, least: float) -> DataFrame:
             space = np.unique(all_rows.dims)
             dense = all_rows.dense(space)
             stored = np.ascontiguousarray(dense[data].T)
-            for s in range(0, len(ask), 2048):
-                part = ask[s : s + 2048]
+            for s in range(0, len(ask), 1024):
+                part = ask[s : s + 1024]
                 cos = dense[part] @ stored
                 same = np.searchsorted(data, part)
                 same_ok = (same < len(data)) & (data[np.minimum(same, len(data) - 1)] == part)
@@ -282,6 +282,7 @@ def search_lists(placed: DataFrame, k: int, least: float) -> DataFrame:
 def neighbours(
     spectra: DataFrame, key: str, mzs: str, intensities: str, k: int = 10, least: float = -1.0, queries: Column | None = None,
     stored: int = STORED, searched: float = SEARCHED, ratio: float = RATIO, list_length: int = LIST_LENGTH,
+    lists: int = MOST_LISTS,
 ) -> DataFrame:
     """``id``, ``other``, ``cos``, ``rank``: for every usable spectrum (or those for which ``queries``, a condition on ``id``, holds) its ``k`` most similar others.
 
@@ -293,7 +294,7 @@ def neighbours(
     vectors = peak_vectors(spectra, key, mzs, intensities)
     vectors = vectors.withColumn("asks", F.coalesce(queries if queries is not None else F.lit(True), F.lit(False)))
     n = spectra.where(usable(F.col(mzs), F.col(intensities))).count()
-    placed = durable_table(assigned(vectors, n, stored, searched, ratio, list_length))
+    placed = durable_table(assigned(vectors, n, stored, searched, ratio, list_length, lists))
     found = search_lists(placed, k, least)
     best = found.groupBy("id", "other").agg(F.max("cos").alias("cos"))  # a pair may meet in several lists
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("cos"), "other"))
