@@ -14,7 +14,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from massloom.session import durable_table
 
@@ -165,23 +165,39 @@ def _regroup(words: pa.Array, lists: pa.ListArray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(inner[_offsets(words)], pa.int32()), values)
 
 
-def piece_table(spark: SparkSession, ranks: dict[bytes, int] | None = None) -> DataFrame:
-    """``id`` and ``piece`` (hexadecimal bytes) of a vocabulary: as many rows as the tokenizer has ids."""
-    rows = [(i, piece.hex()) for piece, i in (ranks or read_ranks()).items()]
-    return spark.createDataFrame(rows, "id int, piece string")
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows``, which bounds what a task holds of long texts."""
+    return (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+
+def piece_table(ranks: dict[bytes, int]) -> pa.Array:
+    """The bytes of each id, by id (null: no such id). As long as the vocabulary, whatever the corpus."""
+    pieces: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for piece, i in ranks.items():
+        pieces[i] = piece
+    return pa.array(pieces, pa.large_binary())
 
 
 def decode_ids(encoded: DataFrame, key: str, ranks: dict[bytes, int] | None = None) -> DataFrame:
-    """``key`` and ``text`` of lists of ids, by a join of the ids with the table of pieces.
+    """``key`` and ``text`` of the lists ``ids``, by a join of the ids with the table of pieces, which is sent to the tasks.
 
-    An empty or null list gives the empty text. ``key`` must be unique and not null. Bytes that are no valid UTF-8 come
-    out as replacement characters.
+    The ids of a list are joined by position where the list lies, so nothing is shuffled. An empty or null list gives the
+    empty text; an id that isn't in the vocabulary, and null, add nothing. Bytes that are no valid UTF-8 come out as
+    replacement characters. Repeated rows come out as often as they occur.
     """
-    pieces = piece_table(encoded.sparkSession, ranks)
-    at = encoded.select(key, F.posexplode_outer("ids").alias("position", "id"))
-    whole = (
-        at.join(F.broadcast(pieces), "id", "left")  # the vocabulary's size is fixed
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("position", "piece"))).alias("pieces"))
-    )
-    return whole.select(key, F.decode(F.unhex(F.array_join("pieces.piece", "")), "UTF-8").alias("text"))
+    shared = encoded.sparkSession.sparkContext.broadcast(piece_table(ranks or read_ranks()))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = shared.value
+        for b in _slices(batches):
+            lists = b.column("ids")
+            ids = _flat(lists)
+            known = pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(pieces)))
+            joined = pc.fill_null(pieces.take(pc.if_else(known, ids, None)), b"")
+            ends = np.r_[0, np.cumsum(pc.binary_length(joined).to_numpy(zero_copy_only=False))][_offsets(lists)]
+            data = memoryview(joined.buffers()[2] or b"")  # the pieces lie one behind the other
+            texts = [bytes(data[i:j]).decode("utf-8", "replace") for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(texts, pa.string())], names=["k", "text"])
+
+    rows = encoded.select(F.col(key).alias("k"), F.col("ids").cast("array<int>").alias("ids"))
+    return rows.mapInArrow(join, f"k {dict(encoded.dtypes)[key]}, text string").withColumnRenamed("k", key)
