@@ -8,6 +8,7 @@ from massloom.functions import chem, peaks as pk
 from massloom.functions.keys import single_key
 from massloom.functions.settings import known_adduct, known_energy, known_mode
 from massloom.operators import bandjoin as bj, ranking as rk, similarity as sim
+from massloom.session import durable_table
 from massloom.sources.tables import table
 
 HITS = 80
@@ -134,10 +135,11 @@ def _eligible(q: DataFrame, lib: DataFrame, ppm: float = 20.0) -> DataFrame:
 def direct_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per query and molecule: the best fine-bin cosine among library spectra of near mass.
 
-    Only the library spectra that a query is allowed to see are binned (semi-join on ids), then spectra meet on bins.
+    The pairs that may meet are found by mass first and kept as ids; only their library spectra are binned (semi-join).
+    Spectra then meet on bins: few pairs share a bin of 0.01 Da, so this moves less than spreading every pair over its bins.
     """
     q, lib = queries_with_mass(spark, sf_dir), library(spark, sf_dir)
-    pairs = _eligible(q.drop("qps"), lib.drop("ps")).select("query_id", "spectrum_id", "inchikey")
+    pairs = durable_table(_eligible(q.drop("qps"), lib.drop("ps")).select("query_id", "spectrum_id", "inchikey"))
     seen = lib.select("spectrum_id", "ps").join(pairs.select("spectrum_id").distinct(), "spectrum_id", "left_semi")
     cosines = sim.sparse_cosine(sim.binned(q, "query_id", "qps"), sim.binned(seen, "spectrum_id", "ps"), "query_id", "spectrum_id")
     return cosines.join(pairs, ["query_id", "spectrum_id"]).groupBy("query_id", "inchikey").agg(F.max("cosine").alias("direct"))
@@ -151,7 +153,7 @@ def direct_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entropy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binned spectral-entropy similarity per query and library spectrum of near mass."""
     q, lib = queries_with_mass(spark, sf_dir), library(spark, sf_dir)
-    pairs = _eligible(q.drop("qps"), lib.drop("ps")).select("query_id", "spectrum_id")
+    pairs = durable_table(_eligible(q.drop("qps"), lib.drop("ps")).select("query_id", "spectrum_id"))
     seen = lib.select("spectrum_id", "ps").join(pairs.select("spectrum_id").distinct(), "spectrum_id", "left_semi")
 
     def shares(df: DataFrame, key: str, ps: str) -> DataFrame:
