@@ -25,10 +25,10 @@ HOT_WORDS = 150_000
 HOT_LENGTH = 48
 
 # The word pattern of the tokenizer, with its white space written out (Java's \s is ASCII only).
-SPACE = r"\t-\r \x85\xa0  -     　"
-WORD_PATTERN = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
-    rf"| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WORD_PATTERN = (  # words of letters come first: nothing else can start where one does, and most words are of letters
+    r" ?\p{L}++|'(?:s|t|re|ve|m|ll|d)| ?\p{N}++"
+    rf"| ?[^{SPACE}\p{{L}}\p{{N}}]++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 
 
