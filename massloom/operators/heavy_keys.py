@@ -77,7 +77,7 @@ def per_key_summary(df: DataFrame, key: str, value: str, seen: Column, share: fl
         F.when(~F.isnan(value), F.col(value)).alias("hk_value"),
         seen.alias("hk_seen"),
     ).where(F.col("hk_key").isNotNull())
-    heavy = heavy_keys(rows, "hk_key", share)
+    heavy = durable(heavy_keys(rows, "hk_key", share))  # found once, used by both parts
     flagged = rows.join(F.broadcast(heavy.withColumn("is_heavy", F.lit(True))), "hk_key", "left")
     few, rest = flagged.where("is_heavy"), flagged.where("is_heavy IS NULL")
 

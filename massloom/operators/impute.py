@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from massloom.functions.keys import single_key
 from massloom.functions.settings import energy_text, known_adduct, known_mode
+from massloom.operators.heavy_keys import skew_join
 from massloom.session import durable_table
 
 FIELDS = ("collision_energy", "adduct", "ionization_mode")
@@ -77,11 +78,12 @@ def encoded_records(df: DataFrame) -> DataFrame:
         known_adduct(F.col("adduct")).alias("adduct"),
         known_mode(F.col("ionization_mode")).alias("ionization_mode"),
     )
-    out = rec
     in_session = rec.where("session_id IS NOT NULL")
-    for f in ("collision_energy", "ionization_mode"):
-        shares = _group_shares(in_session.where(F.col(f).isNotNull()), ["session_id"], f)
-        out = out.join(shares.withColumnRenamed("vals", f"{f}_vals"), "session_id", "left")
+    energies, modes = (
+        _group_shares(in_session.where(F.col(f).isNotNull()), ["session_id"], f).withColumnRenamed("vals", f"{f}_vals")
+        for f in ("collision_energy", "ionization_mode")
+    )
+    out = skew_join(rec, energies.join(modes, "session_id", "full"), "session_id")
     gaps = out.where("adduct IS NULL AND session_id IS NOT NULL AND k IS NOT NULL AND mz IS NOT NULL")
     rest = out.where("NOT (adduct IS NULL AND session_id IS NOT NULL AND k IS NOT NULL AND mz IS NOT NULL)")
     with_adduct = gaps.join(_adduct_shares(rec), ["session_id", "k", "mz"], "left")

@@ -268,11 +268,11 @@ def submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = ranked.select("query_id", F.struct(F.lit(0).alias("p"), F.col("rank"), F.col("canonical_smiles").alias("s")).alias("x"))
     counts = library(spark, sf_dir).groupBy("inchikey").agg(F.count(F.lit(1)).alias("n"))
     popular = counts.join(catalog(spark, sf_dir).select("inchikey", "canonical_smiles"), "inchikey")
-    popular = popular.orderBy(F.desc("n"), "inchikey").limit(25)  # the padding has 25 structures, whatever the data
-    pad = popular.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("r"), "inchikey", F.col("canonical_smiles").alias("s")))).alias("pad"))
+    popular = popular.orderBy(F.desc("n"), "inchikey").limit(25).collect()  # the padding has 25 structures, whatever the data
+    pad = [*dict.fromkeys(r["canonical_smiles"] for r in popular)]
     q = masses(queries_with_mass(spark, sf_dir)).select("query_id")
-    lists = q.join(own, "query_id", "left").groupBy("query_id").agg(F.array_sort(F.collect_list("x")).alias("own")).crossJoin(F.broadcast(pad))
-    every = F.concat(F.transform("own", lambda x: x["s"]), F.transform("pad", lambda x: x["s"]))
+    lists = q.join(own, "query_id", "left").groupBy("query_id").agg(F.array_sort(F.collect_list("x")).alias("own"))
+    every = F.concat(F.transform("own", lambda x: x["s"]), F.array(*map(F.lit, pad)).cast("array<string>"))
     fill = F.array_repeat(F.lit("CCO"), 25)
     return lists.select("query_id", F.array_join(F.slice(F.concat(F.array_distinct(every), fill), 1, 25), ";").alias("smiles"))
 
