@@ -29,7 +29,7 @@ STORED, SEARCHED, RATIO = 2, 4, 1.35
 BLOCK = 8192
 #: Graph: neighbours of a centroid, nodes kept while searching, and steps. The search starts from the best of every
 #: second centroid, an upper layer of the graph: with fewer, near vectors end at different centroids too often.
-DEGREE, BEAM, STEPS, UPPER = 16, 8, 10, 0.5
+DEGREE, BEAM, STEPS, UPPER = 16, 12, 14, 0.5
 
 
 def usable(mzs: Column, intensities: Column) -> Column:
