@@ -13,8 +13,9 @@ from massloom.functions.peaks import fine_bin
 
 def binned(spectra: DataFrame, key: str, ps: str, neighbours: bool = False) -> DataFrame:
     """``key``, ``bin``, ``v``: intensities at unit length summed per fine bin; with ``neighbours`` also one bin to each side."""
-    rows = spectra.select(key, F.explode(ps).alias("p"), F.sqrt(F.aggregate(ps, F.lit(0.0), lambda a, p: a + p["i"] * p["i"])).alias("length"))
-    rows = rows.where("length > 0").select(key, fine_bin(F.col("p.mz")).alias("bin"), (F.col("p.i") / F.col("length")).alias("v"))
+    lengths = spectra.select(key, ps, _length(F.col(ps)).alias("length")).where("length > 0")  # once per spectrum, not per peak
+    rows = lengths.select(key, F.explode(ps).alias("p"), "length")
+    rows = rows.select(key, fine_bin(F.col("p.mz")).alias("bin"), (F.col("p.i") / F.col("length")).alias("v"))
     rows = rows.where("bin IS NOT NULL")
     if neighbours:
         rows = rows.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1))).where("bin >= 0 AND bin < 148000")

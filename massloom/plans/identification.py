@@ -158,7 +158,7 @@ def entropy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def shares(df: DataFrame, key: str, ps: str) -> DataFrame:
         total = F.aggregate(ps, F.lit(0.0), lambda a, p: a + p["i"])
-        rows = df.select(key, F.explode(ps).alias("p"), total.alias("total")).where("total > 0")
+        rows = df.select(key, ps, total.alias("total")).where("total > 0").select(key, F.explode(ps).alias("p"), "total")
         return rows.select(key, pk.fine_bin(F.col("p.mz")).alias("bin"), (F.col("p.i") / F.col("total")).alias("v")).where("bin IS NOT NULL")
 
     s = sim.binned_entropy_similarity(shares(q, "query_id", "qps"), shares(seen, "spectrum_id", "ps"), "query_id", "spectrum_id")

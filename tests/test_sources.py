@@ -87,3 +87,20 @@ def test_learning(spark):
     assert [r[0] for r in same] == [1.0] and calibrated(df.limit(0), "x", "label").count() == 0
     out = meta_ranked(group_folds(df, "g", 2), ["x"], "label", 2, trees=2).collect()
     assert len(out) == 180 and all((r["probability"] > 0.5) == (r["label"] == 1.0) for r in out)
+
+
+def test_sinks_and_names(spark, tmp_path):
+    import pytest
+
+    from massloom.sources.sinks import manifest, write_counted, write_ordered_csv
+    from massloom.sources.tables import require_columns, with_common_names
+
+    df = spark.createDataFrame([(i, f"s{i}" if i % 3 else None) for i in range(30)], "k int, canonical_smiles string")
+    counts = write_counted(df.where("k >= 5"), str(tmp_path / "t"), without=F.col("canonical_smiles").isNull())
+    assert counts == {"rows": 25, "without": 8} and spark.read.parquet(str(tmp_path / "t")).count() == 25
+    write_ordered_csv(df, "k", str(tmp_path / "c"))
+    assert [r["k"] for r in spark.read.csv(str(tmp_path / "c"), header=True, inferSchema=True).orderBy("k").collect()] == list(range(30))
+    assert manifest("t", counts, split="a") == '{"counts": {"rows": 25, "without": 8}, "split": "a", "table": "t"}'
+    assert with_common_names(df).columns == ["k", "normalized_smiles"] and require_columns(df, "k") is df
+    with pytest.raises(ValueError, match="nope"):
+        require_columns(df, "nope")
