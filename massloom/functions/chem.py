@@ -19,6 +19,7 @@ ELECTRON_MASS = 0.00054858
 ISOTOPE_STEP = 1.003354835
 HALOGENS = ("F", "Cl", "Br", "I")
 FORMULA_TOKEN = r"([A-Z][a-z]?)(\d*)"
+ORBITRAP_WORDS = ("orbitrap", "qft", "ftms", "hybrid ft", "itft", "exactive")
 ADDUCT_TOKEN = r"^\[(\d*)M((?:[+-][A-Za-z0-9]+)*)\](\d*)([+-])$"
 
 
@@ -154,7 +155,7 @@ def instrument_family(text: Column) -> Column:
     has = lambda *words: reduce(lambda a, b: a | b, (t.contains(w) for w in words))
     return (
         F.when(has("timstof"), "timsTOF")
-        .when(has("orbitrap", "qft", "ftms", "hybrid ft", "itft", "exactive"), "Orbitrap")
+        .when(has(*ORBITRAP_WORDS), "Orbitrap")
         .when(has("tof"), "QTOF")
         .when(has("trap", "qq"), "IT")
         .otherwise("other")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
+# The range and width of the fine bins, the number of 1 Da bins.
 BIN_START, BIN_WIDTH, BINS = 20.0, 0.01, 148_000
 COARSE_BINS = 1480
 
@@ -73,7 +74,7 @@ def drop_isotopes(ps: Column, step: float = 1.003355, within: float = 0.015, bel
     return let(ps, lambda x: F.filter(x, lambda p: ~child(x, p)))
 
 
-#: The four profiles of preparation, from the plainest: least relative intensity, precursor and isotopes dropped or not.
+# The four profiles of preparation, from the plainest: least relative intensity, precursor and isotopes dropped or not.
 PROFILES = {"A": (0.0, False, False), "B": (0.01, False, False), "C": (0.01, True, False), "D": (0.01, True, True)}
 
 

@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from massloom.functions.chem import ISOTOPE_STEP, ppm_error
 
+# Windows (ppm, and Da for precursors given as whole numbers) and weights of the retrieval rules.
+UNION_PPM, ISOTOPE_PPM, WHOLE_WITHIN, WHOLE_HALF = 100.0, 30.0, 0.01, 0.5
+TIER_PPM, TIER_WEIGHTS = (20.0, 50.0, 20.0), (1.0, 0.9, 0.85)
+STEP_PPM, STEP_WEIGHTS, ENOUGH = (20.0, 50.0, 100.0), (1.0, 0.7, 0.4), 25
+POOL_NARROW, POOL_WIDE = 8.5, 30.0
+
 #: Width of a bucket in Da. A window of 20 ppm at 500 Da meets one or two buckets, one of half a Da three.
 WIDTH = 0.5
 
@@ -31,12 +37,12 @@ def disjoint(windows: Column) -> Column:
     return F.aggregate(F.array_sort(F.array_compact(windows)), F.array().cast("array<struct<lo:double,hi:double>>"), step)
 
 
-def union_windows(mass: Column, precursor: Column, ppm: float = 100.0, isotope_ppm: float = 30.0) -> Column:
+def union_windows(mass: Column, precursor: Column, ppm: float = UNION_PPM, isotope_ppm: float = ISOTOPE_PPM) -> Column:
     """``ppm`` around the mass, one isotope step up and down, and half a Da for precursors given as whole numbers."""
     up, down = mass + ISOTOPE_STEP, mass - ISOTOPE_STEP
-    nominal = F.abs(precursor - F.round(precursor)) <= 0.01
+    nominal = F.abs(precursor - F.round(precursor)) <= WHOLE_WITHIN
     every = F.array(
-        window(mass, ppm), window(up, isotope_ppm), F.when(down > 0, window(down, isotope_ppm)), F.when(nominal, span(mass, 0.5))
+        window(mass, ppm), window(up, isotope_ppm), F.when(down > 0, window(down, isotope_ppm)), F.when(nominal, span(mass, WHOLE_HALF))
     )
     return F.when((mass > 0) & ~F.isnan(mass), every)
 
@@ -59,31 +65,36 @@ def tiered(queries: DataFrame, catalog: DataFrame, mass: str = "exact_mass") ->
     The first tier that holds wins.
     """
     m = F.col("neutral_mass")
-    every = F.array(window(m, 50.0), window(m + ISOTOPE_STEP, 20.0), F.when(m > ISOTOPE_STEP, window(m - ISOTOPE_STEP, 20.0)))
+    first, second, isotope = TIER_PPM
+    every = F.array(
+        window(m, second), window(m + ISOTOPE_STEP, isotope), F.when(m > ISOTOPE_STEP, window(m - ISOTOPE_STEP, isotope))
+    )
     pairs = band_join(queries.where(m > 0), every, catalog, mass)
-    ppm = ppm_error(F.col(mass), m)
-    tier = F.when(F.col(mass).between(m * (1 - 20e-6), m * (1 + 20e-6)), 1).when(F.col(mass).between(m * (1 - 50e-6), m * (1 + 50e-6)), 2).otherwise(3)
+    inside = lambda w: F.col(mass).between(w["lo"], w["hi"])
+    tier = F.when(inside(window(m, first)), 1).when(inside(window(m, second)), 2).otherwise(3)
     pairs = pairs.withColumn("tier", tier)
-    weight = F.when(F.col("tier") == 1, 1.0).when(F.col("tier") == 2, 0.9).otherwise(0.85)
-    return pairs.withColumns({"weight": weight, "ppm": ppm})
+    weight = F.get(F.array(*map(F.lit, TIER_WEIGHTS)), F.col("tier") - 1)
+    return pairs.withColumns({"weight": weight, "ppm": ppm_error(F.col(mass), m)})
 
 
-def progressive(queries: DataFrame, catalog: DataFrame, mass: str = "exact_mass", enough: int = 25) -> DataFrame:
+def progressive(queries: DataFrame, catalog: DataFrame, mass: str = "exact_mass", enough: int = ENOUGH) -> DataFrame:
     """Pairs within 20, else 50, else 100 ppm: per query the first window with ``enough`` candidates, or the last.
 
     One band join at 100 ppm; counts per query choose the window, so nothing is joined twice.
     """
     m = F.col("neutral_mass")
-    pairs = band_join(queries.where(m > 0), F.array(window(m, 100.0)), catalog, mass)
+    near, mid, far = STEP_PPM
+    pairs = band_join(queries.where(m > 0), F.array(window(m, far)), catalog, mass)
     pairs = pairs.withColumn("ppm", ppm_error(F.col(mass), m))
     per = W.partitionBy("query_id")
     within = lambda p: F.sum(F.when(F.col("ppm") <= p, 1).otherwise(0)).over(per)
-    chosen = F.when(within(20.0) >= enough, 20.0).when(within(50.0) >= enough, 50.0).otherwise(100.0)
-    weight = F.when(F.col("chosen") == 20.0, 1.0).when(F.col("chosen") == 50.0, 0.7).otherwise(0.4)
+    chosen = F.when(within(near) >= enough, near).when(within(mid) >= enough, mid).otherwise(far)
+    at = dict(zip(STEP_PPM, STEP_WEIGHTS, strict=True))
+    weight = F.when(F.col("chosen") == near, at[near]).when(F.col("chosen") == mid, at[mid]).otherwise(at[far])
     return pairs.withColumn("chosen", chosen).where(F.col("ppm") <= F.col("chosen")).withColumn("weight", weight)
 
 
-def narrow_or_wide(queries: DataFrame, catalog: DataFrame, mass: str = "exact_mass", narrow: float = 8.5, wide: float = 30.0) -> DataFrame:
+def narrow_or_wide(queries: DataFrame, catalog: DataFrame, mass: str = "exact_mass", narrow: float = POOL_NARROW, wide: float = POOL_WIDE) -> DataFrame:
     """Pairs within ``narrow`` ppm; for queries without any, those within ``wide`` ppm."""
     m = F.col("neutral_mass")
     pairs = band_join(queries.where(m > 0), F.array(window(m, wide)), catalog, mass).withColumn("ppm", ppm_error(F.col(mass), m))

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
+# Priors by source, the steps and weights of the fused score, and the bounds of the clipped z-score.
+PRIORS = {"TRAIN": 0.05, "COCONUT": 0.02}
+PPM_SCALE, DIRECT_GATE, DIRECT_STRONG, DIRECT_WEIGHT, STRONG_BONUS, ANALOG_WEIGHT, BIT_WEIGHT = 100.0, 0.1, 0.7, 2.0, 2.0, 1.5, 0.10
+LEAST_SPREAD, CLIP = 0.5, 2.5
+
+
 def z_score(x: Column, *by: str) -> Column:
     """Population z-score; 0 where the spread is at most 1e-9."""
     per = W.partitionBy(*by)
@@ -12,7 +18,7 @@ def z_score(x: Column, *by: str) -> Column:
     return F.when(s > 1e-9, (x - F.avg(x).over(per)) / s).otherwise(0.0)
 
 
-def clipped_z(x: Column, *by: str, floor: float = 0.5, clip: float = 2.5) -> Column:
+def clipped_z(x: Column, *by: str, floor: float = LEAST_SPREAD, clip: float = CLIP) -> Column:
     """z-score with a least spread, clipped to both sides."""
     per = W.partitionBy(*by)
     z = (x - F.avg(x).over(per)) / F.greatest(F.stddev_pop(x).over(per), F.lit(floor))
@@ -36,13 +42,14 @@ def rank_share(order: list[Column], *by: str) -> Column:
 def source_prior(sources: Column) -> Column:
     """0.05 for entries known from TRAIN alone, 0.02 for those of COCONUT alone, else 0."""
     alone = lambda s: (F.size(sources) == 1) & F.array_contains(sources, s)
-    return F.when(alone("TRAIN"), 0.05).when(alone("COCONUT"), 0.02).otherwise(0.0)
+    return F.when(alone("TRAIN"), PRIORS["TRAIN"]).when(alone("COCONUT"), PRIORS["COCONUT"]).otherwise(0.0)
 
 
-def fused_score(ppm: Column, prior: Column, direct: Column, analog: Column, z: Column, w: float = 0.10) -> Column:
+def fused_score(ppm: Column, prior: Column, direct: Column, analog: Column, z: Column, w: float = BIT_WEIGHT) -> Column:
     """-ppm/100 + prior + 2 direct (from 0.1 on; 2 more from 0.7 on) + 1.5 analog + w z."""
-    strong = F.when(direct >= 0.7, 2.0).otherwise(0.0)
-    return -ppm / 100.0 + prior + F.when(direct >= 0.1, 2.0 * direct + strong).otherwise(0.0) + 1.5 * analog + w * z
+    strong = F.when(direct >= DIRECT_STRONG, STRONG_BONUS).otherwise(0.0)
+    hit = F.when(direct >= DIRECT_GATE, DIRECT_WEIGHT * direct + strong).otherwise(0.0)
+    return -ppm / PPM_SCALE + prior + hit + ANALOG_WEIGHT * analog + w * z
 
 
 def top_k(df: DataFrame, by: str, order: list[Column], k: int = 25) -> DataFrame:

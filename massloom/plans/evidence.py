@@ -13,6 +13,11 @@ from massloom.plans import identification as ident
 from massloom.session import durable_table
 from massloom.sources.tables import table
 
+# When evidence is full (matched peaks, supporting spectra), the decay over energies, the share of an
+# unknown gap, the bonus of a second library, and the blend of the two best spectra.
+FULL_PEAKS, FULL_SUPPORT, ENERGY_DECAY, UNKNOWN_GAP, SECOND_LIBRARY, LEAST_COSINE = 6.0, 5.0, 20.0, 0.6, 0.15, 0.1
+BLEND, NEAR_ONE, NEAR_TWO, CONSISTENT, CONSISTENT_FROM = (0.65, 0.35), 1.10, 1.12, 1.08, 0.30
+
 #: Weights of similarity, matched peaks, energy agreement and multiplicity, and the boost of their square.
 WEIGHTS, BOOST = (0.6, 0.15, 0.1, 0.15), 4.5
 
@@ -30,13 +35,13 @@ def spectrum_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence_score(cosine: Column, matched: Column, gap: Column, supporting: Column, sources: Column) -> Column:
     """Boosted square of the weighted parts, each between 0 and 1; 0 below a cosine of 0.1. An unknown energy gap counts 0.6."""
-    peaks = F.least(F.lit(1.0), matched / 6.0)
-    energy = F.when(gap.isNotNull() & ~F.isnan(gap), F.exp(-gap / 20.0)).otherwise(0.6)
-    several = F.log1p(F.greatest(F.lit(1), supporting).cast("double")) / F.log1p(F.lit(5.0))
-    several = F.least(F.lit(1.0), F.least(F.lit(1.0), several) + F.when(sources >= 2, 0.15).otherwise(0.0))
+    peaks = F.least(F.lit(1.0), matched / FULL_PEAKS)
+    energy = F.when(gap.isNotNull() & ~F.isnan(gap), F.exp(-gap / ENERGY_DECAY)).otherwise(UNKNOWN_GAP)
+    several = F.log1p(F.greatest(F.lit(1), supporting).cast("double")) / F.log1p(F.lit(FULL_SUPPORT))
+    several = F.least(F.lit(1.0), F.least(F.lit(1.0), several) + F.when(sources >= 2, SECOND_LIBRARY).otherwise(0.0))
     parts = (F.least(F.lit(1.0), cosine), peaks, energy, several)
     raw = sum((w * p for w, p in zip(WEIGHTS[1:], parts[1:], strict=True)), WEIGHTS[0] * parts[0])
-    return F.when(cosine >= 0.1, BOOST * raw * raw).otherwise(0.0)
+    return F.when(cosine >= LEAST_COSINE, BOOST * raw * raw).otherwise(0.0)
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +61,8 @@ def two_best_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = spectrum_hits(spark, sf_dir).withColumn("k", F.row_number().over(per)).where("k <= 2")
     nth = lambda k: F.max(F.when(F.col("k") == k, F.col("cosine")))
     g = top.groupBy("query_id", "inchikey").agg(nth(1).alias("c1"), nth(2).alias("c2"), F.max((F.coalesce(F.col("energy_gap") <= 5, F.lit(False))).cast("int")).alias("near"))
-    one = F.col("c1") * F.when(F.col("near") == 1, 1.10).otherwise(1.0)
-    both = (0.65 * F.col("c1") + 0.35 * F.col("c2")) * F.when(F.col("near") == 1, 1.12).otherwise(1.0) * F.when(F.col("c2") > 0.30, 1.08).otherwise(1.0)
+    one = F.col("c1") * F.when(F.col("near") == 1, NEAR_ONE).otherwise(1.0)
+    both = (BLEND[0] * F.col("c1") + BLEND[1] * F.col("c2")) * F.when(F.col("near") == 1, NEAR_TWO).otherwise(1.0) * F.when(F.col("c2") > CONSISTENT_FROM, CONSISTENT).otherwise(1.0)
     return g.select("query_id", "inchikey", F.round(F.when(F.col("c2").isNull(), one).otherwise(both), 6).alias("blend"))
 
 
