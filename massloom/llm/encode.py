@@ -67,7 +67,7 @@ def encode_texts(docs: DataFrame, key: str, text: str, ranks: dict[bytes, int] |
     as often as they occur; other columns of ``docs`` are left out. An empty table gives an empty result.
     """
     ranks = ranks or read_ranks()
-    split = docs.select(F.col(key).alias("k"), split_words(F.col(text)).alias("words"))
+    split = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("u"), split_words(F.col(text)).alias("words"))
     counted = split.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     table = durable_table(encode_words(counted, ranks))  # one row per distinct word
     total, distinct = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -85,7 +85,7 @@ def encode_texts(docs: DataFrame, key: str, text: str, ranks: dict[bytes, int] |
                 lists = ids.take(at)
                 yield pa.RecordBatch.from_arrays([b.column("k"), _regroup(b.column("words"), lists)], names=["k", "ids"])
 
-        return split.mapInArrow(join_all, f"k {key_type}, ids array<int>").withColumnRenamed("k", key)
+        return split.select("k", "words").mapInArrow(join_all, f"k {key_type}, ids array<int>").withColumnRenamed("k", key)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, _ = _word_index(small.value)
@@ -105,9 +105,8 @@ def encode_texts(docs: DataFrame, key: str, text: str, ranks: dict[bytes, int] |
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["k", "u", "codes", "positions", "rare"])
 
-    named = split.withColumn("u", F.xxhash64(F.array_join("words", "")))
     coded = durable_table(
-        named.mapInArrow(code, f"k {key_type}, u long, codes array<int>, positions array<int>, rare array<string>")
+        split.mapInArrow(code, f"k {key_type}, u long, codes array<int>, positions array<int>, rare array<string>")
     )
     needed = coded.select("k", "u", F.explode(F.arrays_zip("positions", "rare")).alias("x")).select(
         "k", "u", F.col("x.positions").alias("position"), F.col("x.rare").alias("word")

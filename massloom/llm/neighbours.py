@@ -19,8 +19,8 @@ from massloom.session import durable_table
 
 #: Vectors of one list, about; the number of lists follows, up to MOST_LISTS (which bounds what is broadcast).
 LIST_LENGTH, MOST_LISTS = 250, 8192
-#: Sampled vectors for each centroid when centroids are fitted, and rounds of fitting.
-SAMPLE_PER_LIST, ROUNDS = 12, 2
+#: Sampled vectors for each centroid when centroids are fitted, at most so many in all, and rounds of fitting.
+SAMPLE_PER_LIST, MOST_SAMPLED, ROUNDS = 12, 50_000, 2
 #: A centroid keeps its heaviest dimensions only.
 CENTROID_DIMENSIONS = 96
 #: Lists in which a vector is stored, lists that it searches, and the distance ratio that prunes both.
@@ -183,11 +183,12 @@ def fit_centroids(sample: Sparse, k: int, seed: int = 3) -> Centroids:
 def assigned(vectors: DataFrame, n: int, stored: int, searched: float, ratio: float, list_length: int, lists: int) -> DataFrame:
     """``vectors`` (with ``asks``) and their ``lists`` (nearest first), of which the first ``n_stored`` store the vector."""
     k = int(min(lists, MOST_LISTS, max(1, n // list_length)))
-    share = min(1.0, 1.2 * SAMPLE_PER_LIST * k / max(n, 1) + 200 / max(n, 1))
+    most = min(SAMPLE_PER_LIST * k + 100, MOST_SAMPLED)
+    share = min(1.0, (1.2 * most + 200) / max(n, 1))
     rows = vectors.select("dims", "vals", F.xxhash64("id").alias("h")).where(
         F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1
     )
-    got = rows.orderBy("h").limit(SAMPLE_PER_LIST * k + 100).select("dims", "vals").toArrow()  # at most 98,404 rows
+    got = rows.orderBy("h").limit(most).select("dims", "vals").toArrow()  # at most MOST_SAMPLED rows
     if not got.num_rows:
         return vectors.select("*", F.array().cast("array<int>").alias("lists"), F.lit(0).alias("n_stored"))
     sample = Sparse(got.column("dims").combine_chunks(), got.column("vals").combine_chunks())

@@ -57,7 +57,7 @@ def skeleton(text: str) -> str:
 
 
 #: Words whose skeletons a task remembers; it starts anew beyond that.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 def skeletons(texts: list[str | None]) -> list[str | None]:
