@@ -1,8 +1,9 @@
 """Encoding of a corpus with a public byte-level tokenizer by a table of distinct words.
 
-Texts are split into words by the tokenizer's own pattern in Spark, each distinct word is encoded once, and the ids are
-joined back by position. Frequent words (of which there are provably few) reach the texts by a broadcast table; the
-rare rest by an ordinary join on the word, which has no hot keys left.
+Texts are split into words by the tokenizer's own pattern in Spark. Each slice of texts is written as codes into the
+slice's own list of distinct words; the distinct words of all slices are encoded once, joined back to the slices' lists
+by word, and from there to the texts by position. A word has one row per slice, however often it occurs, so no word is
+hot in that join.
 """
 
 from __future__ import annotations
@@ -14,15 +15,14 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from massloom.session import durable_table
 
 TOKENIZER_DIR = "/opt/tokenizers"
-#: A word that makes up at least 1 / HOT_WORDS of all words is frequent, so at most HOT_WORDS words are.
-HOT_WORDS = 150_000
-#: Longer words are never broadcast, which bounds the table of frequent words in bytes.
-HOT_LENGTH = 48
+#: Texts of one slice.
+SLICE = 4000
 
 # The word pattern of the tokenizer, with its white space written out (Java's \s is ASCII only).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -64,89 +64,44 @@ def encode_texts(docs: DataFrame, key: str, text: str, ranks: dict[bytes, int] |
     """``key`` and ``ids``, the list of token ids of each text, without special tokens.
 
     Null and empty texts have an empty list. Special-token strings in a text are ordinary text. Repeated rows come out
-    as often as they occur; other columns of ``docs`` are left out. An empty table gives an empty result.
+    as often as they occur, null keys too; other columns of ``docs`` are left out. An empty table gives an empty result.
     """
-    ranks = ranks or read_ranks()
-    split = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("u"), split_words(F.col(text)).alias("words"))
-    counted = split.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    table = durable_table(encode_words(counted, ranks))  # one row per distinct word
-    total, distinct = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    is_hot = (F.col("n") * HOT_WORDS >= total) & (F.length("word") <= HOT_LENGTH)
-    hot = table.where(is_hot).select("word", "ids").toArrow().combine_chunks()  # at most HOT_WORDS rows
-    small = split.sparkSession.sparkContext.broadcast(hot)
-
+    ranks, rows = ranks or read_ranks(), SLICE
     key_type = dict(docs.dtypes)[key]
-    if hot.num_rows == distinct:  # every word is frequent enough to be sent along
-
-        def join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, ids = _word_index(small.value)
-            for b in batches:
-                at = pc.index_in(_flat(b.column("words")), value_set=words)
-                lists = ids.take(at)
-                yield pa.RecordBatch.from_arrays([b.column("k"), _regroup(b.column("words"), lists)], names=["k", "ids"])
-
-        return split.select("k", "words").mapInArrow(join_all, f"k {key_type}, ids array<int>").withColumnRenamed("k", key)
+    names = ["slice", "k", "codes", "words"]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, _ = _word_index(small.value)
-        for b in batches:
-            flat, offsets = _flat(b.column("words")), _offsets(b.column("words"))
-            at = pc.fill_null(pc.index_in(flat, value_set=words), -1).to_numpy()
-            rare = np.flatnonzero(at < 0)
-            row = np.searchsorted(offsets, rare, side="right") - 1
-            rare_offsets = pa.array(np.searchsorted(rare, offsets), pa.int32())
-            position = pa.array(rare - offsets[row], pa.int32())
-            columns = [
-                b.column("k"),
-                b.column("u"),
-                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(at, pa.int32())),
-                pa.ListArray.from_arrays(rare_offsets, position),
-                pa.ListArray.from_arrays(rare_offsets, flat.take(pa.array(rare))),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["k", "u", "codes", "positions", "rare"])
-
-    coded = durable_table(
-        split.mapInArrow(code, f"k {key_type}, u long, codes array<int>, positions array<int>, rare array<string>")
-    )
-    needed = coded.select("k", "u", F.explode(F.arrays_zip("positions", "rare")).alias("x")).select(
-        "k", "u", F.col("x.positions").alias("position"), F.col("x.rare").alias("word")
-    )
-    placed = (
-        needed.join(table.where(~is_hot).select("word", "ids"), "word")
-        .groupBy("k", "u")
-        .agg(F.collect_list(F.struct("position", "ids")).alias("placed"))
-    )
-    joined = coded.select("k", "u", "codes").join(placed, ["k", "u"], "left")
-    joined = joined.select(
-        "k",
-        "codes",
-        F.coalesce("placed.position", F.array().cast("array<int>")).alias("position"),
-        F.coalesce("placed.ids", F.array().cast("array<array<int>>")).alias("rare_ids"),
-    )
-
-    def join_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, ids = _word_index(small.value)
-        for b in batches:
-            codes, offsets = _flat(b.column("codes")).to_numpy().copy(), _offsets(b.column("codes"))
-            rare = _flat(b.column("rare_ids"))
-            where = np.repeat(offsets[:-1], np.diff(_offsets(b.column("position")))) + _flat(b.column("position")).to_numpy()
-            codes[where] = len(ids) + np.arange(len(where))
-            lists = pa.concat_arrays([ids, rare.cast(ids.type)]).take(pa.array(codes))
-            yield pa.RecordBatch.from_arrays([b.column("k"), _regroup(b.column("codes"), lists)], names=["k", "ids"])
-
-    return joined.mapInArrow(join_rest, f"k {key_type}, ids array<int>").withColumnRenamed("k", key)
-
-
-def _word_index(hot: pa.Table) -> tuple[pa.Array, pa.ListArray]:
-    words, ids = hot.column("word"), hot.column("ids")
-    one = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-    ids = one(ids)
-    if isinstance(ids, pa.ChunkedArray):
-        ids = pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], ids.type)
-    words = one(words)
-    if isinstance(words, pa.ChunkedArray):
-        words = pa.concat_arrays(words.chunks) if words.num_chunks else pa.array([], words.type)
-    return words.cast(pa.string()), ids.cast(pa.list_(pa.int32()))
+        first = TaskContext.get().partitionId() << 32
+        for n, b in enumerate(_slices(batches, rows)):
+            words = b.column("words")
+            coded = _flat(words).dictionary_encode()
+            codes = pa.ListArray.from_arrays(pa.array(_offsets(words), pa.int32()), coded.indices.cast(pa.int32()))
+            none = pa.nulls(b.num_rows, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.repeat(first + n, b.num_rows), b.column("k"), codes, none], names=names)
+            distinct = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+            nothing = [pa.array([first + n], pa.int64()), pa.nulls(1, b.column("k").type), pa.nulls(1, codes.type), distinct]
+            yield pa.RecordBatch.from_arrays(nothing, names=names)
+
+    split = docs.select(F.col(key).alias("k"), split_words(F.col(text)).alias("words"))
+    coded = durable_table(split.mapInArrow(code, f"slice long, k {key_type}, codes array<int>, words array<string>"))
+    listed = coded.where("words IS NOT NULL").select("slice", F.posexplode("words").alias("code", "word"))
+    table = encode_words(listed.select("word").distinct(), ranks)  # one row per distinct word
+    by_code = listed.join(table, "word").select(F.col("slice").alias("of"), "code", "ids")
+
+    def join(texts: pa.Table, words: pa.Table) -> pa.Table:
+        order = np.argsort(words.column("code").to_numpy())  # a slice's codes run from 0 without gaps
+        ids = _one(words.column("ids")).cast(pa.list_(pa.int32())).take(pa.array(order))
+        codes = _one(texts.column("codes"))
+        return pa.table({"k": texts.column("k"), "ids": _regroup(codes, ids.take(_flat(codes)))})
+
+    texts = coded.where("codes IS NOT NULL").select("slice", "k", "codes")
+    together = texts.groupBy("slice").cogroup(by_code.groupBy("of"))
+    return together.applyInArrow(join, f"k {key_type}, ids array<int>").withColumnRenamed("k", key)
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    """The chunks of a column as one array."""
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
 def _flat(lists: pa.Array) -> pa.Array:

@@ -30,9 +30,9 @@ def exact(texts):
 
 
 @pytest.mark.skipif(not VOCABULARY.exists(), reason="no tokenizer files here")
-@pytest.mark.parametrize("hot", [enc.HOT_WORDS, 20])
-def test_ids_equal_the_tokenizer(spark, monkeypatch, hot):
-    monkeypatch.setattr(enc, "HOT_WORDS", hot)  # 20: nearly every word comes by the join
+@pytest.mark.parametrize("rows", [enc.SLICE, 3])
+def test_ids_equal_the_tokenizer(spark, monkeypatch, rows):
+    monkeypatch.setattr(enc, "SLICE", rows)  # 3: several slices in a task, some without a word
     texts = TEXTS + ["the same words again and again the same words", TEXTS[4]]
     got = {r["doc_id"]: list(r["ids"]) for r in enc.encode_texts(documents(spark, texts), "doc_id", "text").collect()}
     assert got == exact(texts)
