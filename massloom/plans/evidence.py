@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from massloom.functions import chem, peaks as pk
+from massloom.functions import chem
 from massloom.functions.keys import readable_keys, single_key
 from massloom.functions.settings import known_energy
 from massloom.operators import bandjoin as bj, ranking as rk, similarity as sim

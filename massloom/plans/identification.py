@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from massloom.functions import chem, peaks as pk
 from massloom.functions.keys import single_key
-from massloom.functions.settings import known_adduct, known_energy, known_mode
+from massloom.functions.settings import known_adduct, known_energy
 from massloom.operators import bandjoin as bj, ranking as rk, similarity as sim
 from massloom.session import durable_table
 from massloom.sources.tables import table
