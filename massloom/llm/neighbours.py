@@ -285,11 +285,14 @@ def neighbours(
     stored: int = STORED, searched: float = SEARCHED, ratio: float = RATIO, list_length: int = LIST_LENGTH,
     lists: int = MOST_LISTS,
 ) -> DataFrame:
-    """``id``, ``other``, ``cos``, ``rank``: for every usable spectrum (or those for which ``queries``, a condition on ``id``, holds) its ``k`` most similar others.
+    """``id``, ``other``, ``cos``, ``rank``: for every usable spectrum its ``k`` most similar others.
+
+    With ``queries``, a condition on ``id``, only for the spectra for which it holds, against all.
 
     Only neighbours with a cosine of at least ``least`` come out. Ties are ranked by ``other``. Spectra that aren't usable
     are neither searched nor found. Copies are neighbours of each other with cosine 1. A ``key`` that occurs in several
-    rows stands for one spectrum and is no neighbour of itself. Cosines are exact to about 1e-6; the search is
+    rows is no neighbour of itself; its rows take places of their own in a search, so a list may then hold fewer than ``k``
+    others. Cosines are exact to about 1e-6; the search is
     approximate: recall grows with ``searched`` (lists, or below 1 a share of all lists) and ``ratio``. An empty table gives an empty result.
     """
     vectors = peak_vectors(spectra, key, mzs, intensities)
