@@ -135,6 +135,14 @@ def fingerprint(ps: Column, digits: int = 4) -> Column:
     return F.sha2(F.array_join(F.transform(by_mz(ps), form), ","), 256)
 
 
+def digests(mzs: Column, intensities: Column) -> Column:
+    """What tells that two spectra are the same: the digest of their peaks and that of their m/z alone, to 3 digits. None for empty lists."""
+    ps = peaks(mzs, intensities)
+    alone = F.sha2(F.array_join(F.transform(F.array_sort(mzs), lambda m: F.format_number(m, 3)), ","), 256)
+    both = F.array(F.when(F.size(ps) > 0, fingerprint(ps)), F.when(F.size(mzs) > 0, alone))
+    return F.array_compact(both)
+
+
 def arrays_near(a: Column, b: Column, within: float = 1e-4) -> Column:
     """Equally long, and no pair of values further apart than ``within``."""
     return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= within), lambda ok: ok)

@@ -33,13 +33,21 @@ def molecule_table(df: DataFrame, key: str, mass: str, mode: str) -> DataFrame:
 def purge(library: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``library`` without what ``benchmark`` withholds, by anti-joins.
 
-    Keys of the groups C2 and C3 go wholly; of a C1 key the rows whose energy is near that of the query go, its siblings
-    at other energies stay. Rows without a key stay.
+    Keys of the groups C2 and C3 go wholly; of a C1 key the rows whose energy is near that of the query go, and those with
+    the query's peaks whatever their energy; its other siblings stay. Rows without a key stay, except withheld spectra.
+    Peaks are compared if both sides have ``digests`` (see ``peaks.digests``), the withheld spectra are known if the
+    benchmark has ``source_spectrum_id``.
     """
     wholly = benchmark.where("query_group IN ('C2', 'C3')").select("inchikey").distinct()
-    near = benchmark.where("query_group = 'C1'").select(F.col("inchikey").alias("c1_key"), F.col("energy").alias("c1_energy")).distinct()
+    c1 = benchmark.where("query_group = 'C1'")
+    by_peaks, by_id = "digests" in library.columns and "digests" in benchmark.columns, "source_spectrum_id" in benchmark.columns
+    held = [F.col("inchikey").alias("c1_key"), F.col("energy").alias("c1_energy"), *([F.col("digests").alias("c1_digests")] if by_peaks else [])]
+    same = near_energy(F.col("energy"), F.col("c1_energy"))
+    if by_peaks:
+        same = same | F.coalesce(F.arrays_overlap("digests", "c1_digests"), F.lit(False))
     kept = library.join(wholly, "inchikey", "left_anti")
-    return kept.join(near, (F.col("inchikey") == F.col("c1_key")) & near_energy(F.col("energy"), F.col("c1_energy")), "left_anti")
+    kept = kept.join(c1.select(*held).distinct(), (F.col("inchikey") == F.col("c1_key")) & same, "left_anti").drop("digests")
+    return kept.join(c1.select(F.col("source_spectrum_id").alias("spectrum_id")).distinct(), "spectrum_id", "left_anti") if by_id else kept
 
 
 def hash_split(df: DataFrame, key: str, folds: int) -> DataFrame:

@@ -145,9 +145,11 @@ def catalog_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def purged_library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train without what the benchmark withholds: keys of C2 and C3, and for C1 the rows of the same key at a near energy."""
-    t = _train(spark, sf_dir).select("spectrum_id", single_key(F.col("inchikey")).alias("inchikey"), known_energy(F.col("collision_energy")).alias("energy"))
-    b = table(spark, sf_dir, "benchmark_queries").select("query_group", F.col("true_inchikey").alias("inchikey"), F.col("observed_collision_energy").alias("energy"))
+    """Train without what the benchmark withholds: keys of C2 and C3, and for C1 the rows of the same key at a near energy or with the query's peaks."""
+    t = _train(spark, sf_dir).select("spectrum_id", single_key(F.col("inchikey")).alias("inchikey"), known_energy(F.col("collision_energy")).alias("energy"),
+        pk.digests(F.col("ms2_mzs"), F.col("ms2_intensities")).alias("digests"))
+    b = table(spark, sf_dir, "benchmark_queries").select("query_group", F.col("true_inchikey").alias("inchikey"), F.col("observed_collision_energy").alias("energy"),
+        "source_spectrum_id", pk.digests(F.col("observed_ms2_mzs"), F.col("observed_ms2_intensities")).alias("digests"))
     return purge(t, b)
 
 

@@ -64,6 +64,20 @@ def test_purge_case(spark):
     assert purge(lib.limit(0), bench).count() == 0 and purge(lib, bench.limit(0)).count() == 7
 
 
+def test_purge_of_equal_peaks(spark):
+    from massloom.functions.peaks import digests
+
+    peaks = "mz array<double>, i array<double>"
+    rows = [(1, "A", None, [50.0, 60.5], [1.0, 0.5]), (2, "A", 90.0, [50.0, 60.5], [7.0, 7.0]), (3, "A", 90.0, [50.0, 61.0], [1.0, 0.5]), (4, "B", None, [50.0, 60.5], [1.0, 0.5]),
+            (5, None, None, [1.0], [1.0]), (6, "A", None, [], []), (7, "A", None, None, None), (8, None, None, [50.0, 60.5], [1.0, 0.5])]
+    lib = spark.createDataFrame(rows, f"spectrum_id int, inchikey string, energy double, {peaks}")
+    asked = [("C1", "A", 20.0, 8, [50.0, 60.5], [1.0, 0.5]), ("C1", "A", 20.0, None, [], [])]
+    bench = spark.createDataFrame(asked, f"query_group string, inchikey string, energy double, source_spectrum_id int, {peaks}")
+    told = lambda df: df.withColumn("digests", digests(F.col("mz"), F.col("i"))).drop("mz", "i")
+    left = purge(told(lib), told(bench))
+    assert sorted(r["spectrum_id"] for r in left.collect()) == [3, 4, 5, 6, 7] and left.columns == ["spectrum_id", "inchikey", "energy"]
+
+
 def test_best_and_split(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("a", 3, None), ("b", 4, None)], "k string, id int, n int")
     assert sorted(r["id"] for r in best_per_group(df, ["k"], [F.desc_nulls_last("n"), F.asc("id")]).collect()) == [1, 4]
