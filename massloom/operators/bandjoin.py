@@ -10,6 +10,7 @@ from massloom.functions.chem import ISOTOPE_STEP, ppm_error
 UNION_PPM, ISOTOPE_PPM, WHOLE_WITHIN, WHOLE_HALF = 100.0, 30.0, 0.01, 0.5
 TIER_PPM, TIER_WEIGHTS = (20.0, 50.0, 20.0), (1.0, 0.9, 0.85)
 STEP_PPM, STEP_WEIGHTS, ENOUGH = (20.0, 50.0, 100.0), (1.0, 0.7, 0.4), 25
+STEP_ISOTOPE_PPM, STEP_ISOTOPE_WEIGHT, NEAREST, NEAREST_WEIGHT = 20.0, 0.3, 30, 0.1
 POOL_NARROW, POOL_WIDE = 8.5, 30.0
 
 #: Width of a bucket in Da. A window of 20 ppm at 500 Da meets one or two buckets, one of half a Da three.
@@ -77,21 +78,52 @@ def tiered(queries: DataFrame, catalog: DataFrame, mass: str = "exact_mass") ->
     return pairs.withColumns({"weight": weight, "ppm": ppm_error(F.col(mass), m)})
 
 
-def progressive(queries: DataFrame, catalog: DataFrame, mass: str = "exact_mass", enough: int = ENOUGH) -> DataFrame:
+def progressive(queries: DataFrame, catalog: DataFrame, mass: str = "exact_mass", enough: int = ENOUGH, tie: str = "candidate_id") -> DataFrame:
     """Pairs within 20, else 50, else 100 ppm: per query the first window with ``enough`` candidates, or the last.
 
-    One band join at 100 ppm; counts per query choose the window, so nothing is joined twice.
+    Queries that are short of ``enough`` within 100 ppm also get what lies one isotope step off within 20 ppm, and those
+    still short the 30 nearest rows to either side; a pair has the weight of the first rule that gives it. One band join
+    has the windows; counts per query choose among them, so nothing is joined twice.
     """
     m = F.col("neutral_mass")
     near, mid, far = STEP_PPM
-    pairs = band_join(queries.where(m > 0), F.array(window(m, far)), catalog, mass)
+    known = queries.where((m > 0) & ~F.isnan(m))
+    up, down = window(m + ISOTOPE_STEP, STEP_ISOTOPE_PPM), window(m - ISOTOPE_STEP, STEP_ISOTOPE_PPM)
+    pairs = band_join(known, F.array(window(m, far), up, F.when(m > ISOTOPE_STEP, down)), catalog, mass)
     pairs = pairs.withColumn("ppm", ppm_error(F.col(mass), m))
     per = W.partitionBy("query_id")
     within = lambda p: F.sum(F.when(F.col("ppm") <= p, 1).otherwise(0)).over(per)
     chosen = F.when(within(near) >= enough, near).when(within(mid) >= enough, mid).otherwise(far)
     at = dict(zip(STEP_PPM, STEP_WEIGHTS, strict=True))
     weight = F.when(F.col("chosen") == near, at[near]).when(F.col("chosen") == mid, at[mid]).otherwise(at[far])
-    return pairs.withColumn("chosen", chosen).where(F.col("ppm") <= F.col("chosen")).withColumn("weight", weight)
+    off = F.col(mass).between(up["lo"], up["hi"]) | F.col(mass).between(down["lo"], down["hi"])
+    pairs = pairs.withColumns({"chosen": chosen, "short": within(far) < enough})
+    pairs = pairs.where((F.col("ppm") <= F.col("chosen")) | (off & F.col("short"))).drop("short")
+    pairs = pairs.withColumn("weight", F.when(F.col("ppm") > F.col("chosen"), STEP_ISOTOPE_WEIGHT).otherwise(weight))
+    served = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough)
+    rest = nearest_rows(known.join(served, "query_id", "left_anti"), catalog, mass, tie, max(enough, NEAREST))
+    rest = rest.join(pairs.select("query_id", tie), ["query_id", tie], "left_anti")
+    rest = rest.withColumns({"ppm": ppm_error(F.col(mass), m), "chosen": F.lit(far), "weight": F.lit(NEAREST_WEIGHT)})
+    return pairs.unionByName(rest)
+
+
+def nearest_rows(queries: DataFrame, catalog: DataFrame, mass: str, tie: str, n: int, width: float = WIDTH) -> DataFrame:
+    """For each query the ``n`` catalog rows below its mass and the ``n`` from its mass on, in the order of mass and ``tie``; columns of both sides.
+
+    Rows are numbered within their bucket and buckets by their counts (one row a bucket), so the table is never sorted in one place.
+    """
+    held = catalog.where(F.col(mass).isNotNull() & ~F.isnan(mass))
+    rows = held.select(F.col(mass).cast("double").alias("x"), F.lit(1).alias("is_row"), F.col(tie).alias("id"), F.lit(None).cast(dict(queries.dtypes)["query_id"]).alias("query_id"))
+    asked = queries.select(F.col("neutral_mass").cast("double").alias("x"), F.lit(0).alias("is_row"), F.lit(None).cast(dict(catalog.dtypes)[tie]).alias("id"), "query_id")
+    points = rows.unionByName(asked).withColumn("bucket", F.floor(F.col("x") / width))
+    counts = points.groupBy("bucket").agg(F.sum("is_row").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    so_far = F.sum("is_row").over(W.partitionBy("bucket").orderBy("x", "is_row", "id").rowsBetween(W.unboundedPreceding, 0))
+    placed = points.withColumn("so_far", so_far).join(counts.select("bucket", before.alias("before")), "bucket")
+    placed = placed.select("is_row", "id", "query_id", (F.col("before") + F.col("so_far")).alias("place"))
+    places = F.explode(F.sequence(F.col("place") - (n - 1), F.col("place") + n)).alias("place")
+    met = placed.where("is_row = 0").select("query_id", places).join(placed.where("is_row = 1").select(F.col("id").alias(tie), "place"), "place")
+    return queries.join(met.drop("place"), "query_id").join(held, tie)
 
 
 def narrow_or_wide(queries: DataFrame, catalog: DataFrame, mass: str = "exact_mass", narrow: float = POOL_NARROW, wide: float = POOL_WIDE) -> DataFrame:

@@ -66,8 +66,8 @@ def retrieval_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_progressive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of the first window that holds enough."""
-    pairs = bj.progressive(masses(queries_with_mass(spark, sf_dir)), catalog(spark, sf_dir))
+    """Candidates of the first window that holds enough; where none does, also those an isotope step off, then the nearest by mass."""
+    pairs = bj.progressive(masses(queries_with_mass(spark, sf_dir)), catalog(spark, sf_dir).select("candidate_id", "exact_mass"))
     return pairs.select("query_id", "candidate_id", "weight")
 
 

@@ -119,6 +119,37 @@ def test_band_join_equals_brute_force(spark):
     assert got == want
 
 
+def progressive_by_hand(m, rows, enough):
+    """Weight per id, as stated: windows, then one isotope step off, then the nearest in the order of mass and id."""
+    got = {}
+    for ppm, weight in ((20, 1.0), (50, 0.7), (100, 0.4)):
+        got = {i: weight for i, x in rows if abs(x - m) / m * 1e6 <= ppm}
+        if len(got) >= enough:
+            return got
+    for c in (m - bj.ISOTOPE_STEP, m + bj.ISOTOPE_STEP):
+        got = {i: 0.3 for i, x in rows if c > 0 and abs(x - c) <= c * 20e-6} | got
+    if len(got) < enough:
+        order = sorted((x, i) for i, x in rows)
+        at = sum(x < m for x, _ in order)
+        got = {i: 0.1 for _, i in order[max(0, at - 30) : at + 30]} | got
+    return got
+
+
+def test_progressive_equals_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(i, round(rng.uniform(100, 400), 4)) for i in range(300)] + [(300 + i, 250.0 + i * 1e-4) for i in range(30)]
+    rows += [(400 + i, 500.0 + i * 1e-3) for i in range(4)] + [(420 + i, 500.0 + bj.ISOTOPE_STEP) for i in range(21)] + [(450 + i, 320.5) for i in range(40)]
+    asked = {"many": 250.0, "isotopes": 500.0, "few": 180.25, "lowest": 1.0, "highest": 900.0, "ties": 320.51, "equal": rows[7][1]}
+    catalog = spark.createDataFrame([*rows, (999, None)], "candidate_id int, exact_mass double")
+    queries = spark.createDataFrame([*asked.items(), ("none", None)], "query_id string, neutral_mass double")
+    found = bj.progressive(queries, catalog).collect()
+    got = {q: {r["candidate_id"]: r["weight"] for r in found if r["query_id"] == q} for q in asked}
+    assert len(found) == sum(map(len, got.values()))
+    assert got == {q: progressive_by_hand(m, rows, 25) for q, m in asked.items()}
+    assert len(got["isotopes"]) == 25 and got["isotopes"][420] == 0.3 and len(got["highest"]) == 30
+    assert bj.progressive(queries, catalog.limit(0)).count() == 0 and bj.progressive(queries.limit(0), catalog).count() == 0
+
+
 def test_similarities(spark):
     a = [(100.0, 0.5), (200.0, 1.0), (300.0, 0.2)]
     b = [(110.0, 1.0)]
