@@ -104,27 +104,38 @@ def window_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def formula_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10 best formulas of C, H, N, O and S within 5 ppm of each query's mass that keep the composition rules.
+    """The 10 best formulas of C, H, N, O, P and S within 20 ppm of each query's mass that keep the composition rules."""
+    q = ident.masses(ident.queries_with_mass(spark, sf_dir)).where("neutral_mass > 0").select("query_id", F.col("neutral_mass").alias("m"))
+    # Few rows become many, so they are spread by a fixed number of partitions, which isn't made smaller.
+    spread = q.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "query_id")
+    return rk.top_k(formulas_near(spread), "query_id", [F.asc("ppm"), F.asc("formula")], 10)
+
 
-    Counts of the heavy elements are laid out by ranges that the mass allows; hydrogen follows from what is left.
+def formulas_near(q: DataFrame, ppm: float = 20.0) -> DataFrame:
+    """``query_id``, ``formula``, ``ppm``: every formula of C, H, N, O, P and S within ``ppm`` of the mass ``m`` that keeps the composition rules.
+
+    Counts are laid out over all that the mass and the rules allow: each S, P, O or N needs its share of a carbon, each carbon a
+    tenth of a hydrogen at least, and hydrogen, which follows from what is left, is bounded by 3.2 a carbon and by the unsaturation.
     """
-    q = ident.masses(ident.queries_with_mass(spark, sf_dir)).where("neutral_mass > 0").select("query_id", F.col("neutral_mass").alias("m"))
     w = chem.ELEMENT_MASS
-    upto = lambda e, cap, left: F.explode(F.sequence(F.lit(0), F.least(F.lit(cap), F.floor(left / w[e])).cast("int")))
-    q = q.withColumn("s", upto("S", 2, F.col("m")))
-    q = q.withColumn("left", F.col("m") - F.col("s") * w["S"]).withColumn("o", upto("O", 12, F.col("left")))
-    q = q.withColumn("left", F.col("left") - F.col("o") * w["O"]).withColumn("n", upto("N", 8, F.col("left")))
-    q = q.withColumn("left", F.col("left") - F.col("n") * w["N"])
-    # At most four hydrogens a carbon and some more: fewer carbons can't make up the mass.
-    least = F.greatest(F.lit(1), F.ceil((F.col("left") - 24) / (w["C"] + 4 * w["H"]))).cast("int")
-    most = F.floor(F.col("left") / w["C"]).cast("int")
+    unit, room = w["C"] + 0.1 * w["H"], 1e-6
+    per_carbon = {"S": 0.8, "P": 0.4, "O": 1.5, "N": 1.5}
+    q = q.select("query_id", "m", (F.col("m") * (1 + ppm / 1e6)).alias("left"), F.lit(0.0).alias("carbons"))
+    for e, share in per_carbon.items():
+        n = F.col(e.lower())
+        most = F.least(F.col("left") / (w[e] + unit / share), (F.col("left") - F.col("carbons") * unit) / w[e])
+        q = q.withColumn(e.lower(), F.explode(F.sequence(F.lit(0), F.greatest(F.floor(most + room), F.lit(0)).cast("int"))))
+        q = q.withColumns({"left": F.col("left") - n * w[e], "carbons": F.greatest("carbons", n / share)})
+    low = F.col("left") - F.col("m") * (2 * ppm / 1e6)
+    least = F.greatest(F.lit(1.0), F.col("carbons"), low / (w["C"] + 3.2 * w["H"]), (low - w["H"] * (3 + F.col("n") + F.col("p"))) / (w["C"] + 2 * w["H"]))
+    least, most = F.ceil(least - room).cast("int"), F.floor(F.col("left") / unit + room).cast("int")
     q = q.where(least <= most).withColumn("c", F.explode(F.sequence(least, most)))
-    q = q.withColumn("left", F.col("left") - F.col("c") * w["C"]).withColumn("h", F.round(F.col("left") / w["H"]).cast("int"))
-    mass = sum((F.col(e.lower()) * w[e] for e in ("H", "N", "O", "S")), F.col("c") * w["C"])
-    q = q.withColumn("ppm", F.abs(mass - F.col("m")) / F.col("m") * 1e6).where("h >= 0 AND ppm <= 5")
-    counts = F.map_from_arrays(F.array(*(F.lit(e) for e in "CHNOS")), F.array(*(F.col(e) for e in "chnos")))
-    q = q.where(chem.formula_verdict(counts) == "valid").withColumns({"formula": chem.hill_formula(counts), "ppm": F.round("ppm", 4)})
-    return rk.top_k(q.select("query_id", "formula", "ppm"), "query_id", [F.asc("ppm"), F.asc("formula")], 10)
+    heavy = sum((F.col(e.lower()) * w[e] for e in "NOPS"), F.col("c") * w["C"])
+    q = q.withColumn("heavy", heavy).withColumn("h", F.round((F.col("m") - F.col("heavy")) / w["H"]).cast("int"))
+    q = q.withColumn("ppm", F.abs(F.col("heavy") + F.col("h") * w["H"] - F.col("m")) / F.col("m") * 1e6).where((F.col("h") >= 0) & (F.col("ppm") <= ppm))
+    counts = F.map_from_arrays(F.array(*(F.lit(e) for e in "CHNOPS")), F.array(*(F.col(e) for e in "chnops")))
+    q = q.where(chem.formula_verdict(counts) == "valid")
+    return q.select("query_id", chem.hill_formula(counts).alias("formula"), F.round("ppm", 4).alias("ppm"))
 
 
 def isomer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,3 +87,28 @@ def test_peak_list_edges(spark):
     assert peak_list(spark, [1.0], [], pk.normalize) is None and peak_list(spark, None, [1.0], pk.normalize) is None
     assert [p["i"] for p in peak_list(spark, [5.0], [0.0], pk.unit_length)] == [0.0]
     assert peak_list(spark, [5.0], [2.0], pk.fingerprint) == peak_list(spark, [5.0], [2.0], pk.fingerprint)
+
+
+def test_formulas_near_a_mass(spark):
+    from itertools import product
+
+    from massloom.plans.library import formulas_near
+
+    w = chem.ELEMENT_MASS
+    m = 180.0634
+    want = {}
+    for s, p, o, n, c in product(range(6), range(6), range(12), range(13), range(1, 16)):
+        heavy = c * w["C"] + n * w["N"] + o * w["O"] + p * w["P"] + s * w["S"]
+        for h in range(max(0, int((m - heavy) / w["H"]) - 1), int((m - heavy) / w["H"]) + 3) if heavy < m + 1 else ():
+            off = abs(heavy + h * w["H"] - m) / m * 1e6
+            x = c + 1 - h / 2 + n / 2 + p / 2
+            shares = h / c >= 0.1 and h / c <= 3.2 and n / c <= 1.5 and o / c <= 1.5 and p / c <= 0.4 and s / c <= 0.8
+            if off <= 20 and (h + n + p) % 2 == 0 and -0.5 <= x <= 40 and shares and 4 * c + h + 5 * n + 2 * o + 5 * p + 6 * s >= 2 * (6 if s else 5 if p or n else 4):
+                want["".join(e + (str(k) if k > 1 else "") for e, k in zip("CHNOPS", (c, h, n, o, p, s)) if k)] = round(off, 4)
+    rich = {"C10H16N5O13P3": 11.0, "C24H42O21": -19.0, "C20H40N20": 3.0, "C12H25NO2S6": 8.0}
+    mass = lambda f: spark.range(1).select(chem.formula_mass(F.lit(f))).first()[0]
+    rows = [("q", m)] + [(f, mass(f) * (1 + d / 1e6)) for f, d in rich.items()] + [("null", None)]
+    found = formulas_near(spark.createDataFrame(rows, "query_id string, m double"))
+    got = {r["formula"]: r["ppm"] for r in found.where("query_id = 'q'").collect()}
+    assert got == pytest.approx(want, abs=2e-4) and "C6H12O6" in got and any("P" in f for f in got)
+    assert {r["formula"] for r in found.where("query_id = formula").collect()} == set(rich)
