@@ -94,13 +94,27 @@ def embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Peaks of every spectrum up to its precursor: the 8 highest of each window of 50 Da, as square roots of relative intensity."""
+    """Peaks of every spectrum up to its precursor, as square roots of relative intensity; of more than 128 those that ``diverse_peaks`` keeps."""
     ps = pk.peaks(F.col("ms2_mzs"), F.col("ms2_intensities"))
-    t = table(spark, sf_dir, "train").where(F.size(ps) > 0).select("spectrum_id", "precursor_mz", F.explode(pk.keep_relative(ps, 0.001)).alias("p"))
-    t = t.where(F.col("p.mz") <= F.col("precursor_mz") + 1.5).withColumn("window", F.floor(F.col("p.mz") / 50))
+    upto = F.filter(pk.keep_relative(ps, 0.001), lambda p: p["mz"] <= F.col("precursor_mz") + 1.5)
+    t = table(spark, sf_dir, "train").where(F.size(ps) > 0).select("spectrum_id", upto.alias("ps")).where(F.size("ps") > 0)
+    return diverse_peaks(t).select("spectrum_id", "n_peaks", F.round("total", 5).alias("total"))
+
+
+def diverse_peaks(t: DataFrame, cap: int = 128, per_window: int = 8, width: float = 50.0) -> DataFrame:
+    """``n_peaks`` and ``total``, the sum of square roots, of ``ps`` per ``spectrum_id``.
+
+    Up to ``cap`` peaks a list is whole and stays where it lies. Of a longer one the ``per_window`` highest of each window
+    come first, then the others by intensity, up to ``cap`` (so what the windows leave free is filled again).
+    """
+    total = F.aggregate("ps", F.lit(0.0), lambda a, p: a + F.sqrt(p["i"]))
+    whole = t.where(F.size("ps") <= cap).select("spectrum_id", F.size("ps").cast("long").alias("n_peaks"), total.alias("total"))
+    p = t.where(F.size("ps") > cap).select("spectrum_id", F.explode("ps").alias("p")).withColumn("window", F.floor(F.col("p.mz") / width))
     rank = F.row_number().over(W.partitionBy("spectrum_id", "window").orderBy(F.desc("p.i"), "p.mz"))
-    kept = t.withColumn("k", rank).where("k <= 8")
-    return kept.groupBy("spectrum_id").agg(F.count(F.lit(1)).alias("n_peaks"), F.round(F.sum(F.sqrt("p.i")), 5).alias("total"))
+    first = F.when(F.col("k") <= per_window, 0).otherwise(1)
+    place = F.row_number().over(W.partitionBy("spectrum_id").orderBy(first, F.desc("p.i"), "p.mz"))
+    kept = p.withColumn("k", rank).withColumn("place", place).where(F.col("place") <= cap)
+    return whole.unionByName(kept.groupBy("spectrum_id").agg(F.count(F.lit(1)).alias("n_peaks"), F.sum(F.sqrt("p.i")).alias("total")))
 
 
 def formula_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,6 +150,30 @@ def test_progressive_equals_brute_force(spark):
     assert bj.progressive(queries, catalog.limit(0)).count() == 0 and bj.progressive(queries.limit(0), catalog).count() == 0
 
 
+def test_diverse_peaks(spark):
+    from massloom.plans.library import diverse_peaks
+
+    rng = random.Random(6)
+    lists = {"small": [(100 + i * 0.1, 1.0) for i in range(128)], "one window": [(100 + i * 0.1, rng.choice([0.25, 0.5, 1.0])) for i in range(140)],
+             "refilled": [(rng.uniform(50, 300), rng.random()) for _ in range(400)], "cut": [(rng.uniform(0, 2000), rng.random()) for _ in range(900)], "lone": [(5.0, 0.25)]}
+
+    def by_hand(ps):
+        order = sorted(ps, key=lambda p: (-p[1], p[0]))
+        if len(ps) > 128:
+            seen, first = {}, []
+            for p in order:
+                w = p[0] // 50
+                seen[w] = seen.get(w, 0) + 1
+                first += [p] if seen[w] <= 8 else []
+            order = (first + [p for p in order if p not in set(first)])[:128]
+        return len(order), sum(math.sqrt(i) for _, i in order)
+
+    df = spark.createDataFrame(list(lists.items()), "spectrum_id string, ps array<struct<mz:double,i:double>>")
+    got = {r["spectrum_id"]: (r["n_peaks"], r["total"]) for r in diverse_peaks(df).collect()}
+    assert set(got) == set(lists) and got["small"] == (128, 128.0) and got["refilled"][0] == 128
+    assert all(got[k] == pytest.approx(by_hand(ps)) for k, ps in lists.items())
+
+
 def test_similarities(spark):
     a = [(100.0, 0.5), (200.0, 1.0), (300.0, 0.2)]
     b = [(110.0, 1.0)]
