@@ -4,7 +4,8 @@ Centroids are fitted on a bounded sample (oversized clusters are split until lis
 near centroids, held in memory, finds the nearest centroids of each vector; those whose distance is within a ratio of
 the nearest one's are its lists. A vector is stored in the first few of them (boundary vectors in several) and looks
 for its neighbours in all of them. Within a list all comparisons are one product of matrices. Lists longer than a
-block are cut into blocks that each searching vector visits, so no task holds more than a block however hot a list is.
+block are cut into blocks, and so are the vectors that search them: each pair of a stored and a searching block is compared
+on its own, so no comparison holds more than about two blocks however hot a list is.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ SAMPLE_PER_LIST, MOST_SAMPLED, ROUNDS = 12, 50_000, 2
 CENTROID_DIMENSIONS = 96
 #: Lists in which a vector is stored, lists that it searches, and the distance ratio that prunes both.
 STORED, SEARCHED, RATIO = 2, 4, 1.35
-#: Stored vectors of one block.
+#: Stored or searching vectors of one block, about.
 BLOCK = 8192
 #: Graph: neighbours of a centroid, nodes kept while searching, and steps. The search starts from the best of every
 #: second centroid, an upper layer of the graph: with fewer, near vectors end at different centroids too often.
@@ -234,18 +235,34 @@ def _unpacked(packed: tuple) -> np.ndarray:
     return out
 
 
-def search_lists(placed: DataFrame, k: int, least: float) -> DataFrame:
-    """``id``, ``other``, ``cos``: per list and searching vector, the ``k`` best stored ones with at least ``least``."""
+def dealt_to_blocks(placed: DataFrame) -> DataFrame:
+    """``placed`` with a row for each ``list``, ``block`` and ``ask_block`` that a vector takes part in, ``stored`` and ``asks`` in it.
+
+    A stored vector has one block and meets every ask block of its list; a searching one has one ask block and meets every block.
+    """
     at = placed.select("id", "dims", "vals", "asks", "n_stored", F.posexplode("lists").alias("rank", "list"))
     at = at.withColumn("stored", F.col("rank") < F.col("n_stored")).where("stored OR asks")
-    lengths = at.where("stored").groupBy("list").agg(F.count(F.lit(1)).alias("length")).where(F.col("length") > BLOCK)
-    blocks = lengths.select("list", F.ceil(F.col("length") / BLOCK).cast("int").alias("blocks"))
-    at = at.join(F.broadcast(blocks), "list", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))  # at most MOST_LISTS
-    own = F.when(F.col("stored"), F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int")
-    every = F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own)))
-    dealt = at.select("id", "dims", "vals", "asks", "list", own.alias("own"), every.alias("block")).select(
-        "id", "dims", "vals", "asks", "list", "block", F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("stored")
-    )
+    lengths = at.groupBy("list").agg(F.count_if("stored").alias("held"), F.count_if("asks").alias("asking"))
+    pieces = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int").alias(f"{c}_blocks")
+    blocks = lengths.where((F.col("held") > BLOCK) | (F.col("asking") > BLOCK)).select("list", pieces("held"), pieces("asking"))
+    at = at.join(F.broadcast(blocks), "list", "left").fillna(1, ["held_blocks", "asking_blocks"])  # at most MOST_LISTS
+    h = F.xxhash64("id")
+    at = at.withColumns({"own": F.pmod(h, "held_blocks").cast("int"), "own_ask": F.pmod(h, "asking_blocks").cast("int")})
+    cell = lambda block, ask: F.struct(block.alias("block"), ask.alias("ask_block"))
+    none = F.array().cast("array<struct<block:int,ask_block:int>>")
+    as_stored = F.transform(F.sequence(F.lit(0), F.col("asking_blocks") - 1), lambda i: cell(F.col("own"), i))
+    as_asking = F.transform(F.sequence(F.lit(0), F.col("held_blocks") - 1), lambda i: cell(i, F.col("own_ask")))
+    cells = F.array_union(F.when(F.col("stored"), as_stored).otherwise(none), F.when(F.col("asks"), as_asking).otherwise(none))
+    return at.withColumn("cell", F.explode(cells)).select(
+        "id", "dims", "vals", "list", "cell.block", "cell.ask_block",
+        (F.col("stored") & (F.col("own") == F.col("cell.block"))).alias("stored"),
+        (F.col("asks") & (F.col("own_ask") == F.col("cell.ask_block"))).alias("asks"),
+    )
+
+
+def search_lists(placed: DataFrame, k: int, least: float) -> DataFrame:
+    """``id``, ``other``, ``cos``: per list and searching vector, the ``k`` best stored ones of each block with at least ``least``."""
+    dealt = dealt_to_blocks(placed)
     id_type = dict(placed.dtypes)["id"]
 
     def compare(t: pa.Table) -> pa.Table:
@@ -277,7 +294,7 @@ def search_lists(placed: DataFrame, k: int, least: float) -> DataFrame:
         a, b, c = cat(out_a, int), cat(out_b, int), cat(out_c, float)
         return pa.table({"id": ids.take(pa.array(a, pa.int64())), "other": ids.take(pa.array(b, pa.int64())), "cos": pa.array(c)})
 
-    return dealt.groupBy("list", "block").applyInArrow(compare, f"id {id_type}, other {id_type}, cos double").where("id != other")
+    return dealt.groupBy("list", "block", "ask_block").applyInArrow(compare, f"id {id_type}, other {id_type}, cos double").where("id != other")
 
 
 def neighbours(

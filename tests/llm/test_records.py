@@ -162,3 +162,27 @@ def test_registered_queries_run(spark):
 
     for name, f in QUERIES.items():
         assert f(spark, "/root/testdata/sf0.001").count() >= 0, name
+
+
+def test_hot_list_is_searched_by_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from massloom.llm import neighbours as nb
+
+    monkeypatch.setattr(nb, "BLOCK", 20)
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.normal(size=(200, 6))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    dims = np.arange(6, dtype=np.int32).tobytes()
+    rows = [(i, bytearray(dims), bytearray(v.tobytes()), i != 7, [0], 0 if i == 9 else 1) for i, v in enumerate(x)]
+    placed = spark.createDataFrame(rows, "id long, dims binary, vals binary, asks boolean, lists array<int>, n_stored int")
+    groups = nb.dealt_to_blocks(placed).groupBy("list", "block", "ask_block").count().collect()
+    assert len(groups) == 100 and max(r["count"] for r in groups) <= 4 * 20
+    best = {}
+    for r in nb.search_lists(placed, 3, -1.0).collect():
+        best.setdefault(r["id"], []).append((-round(r["cos"], 5), r["other"]))
+    cos = x @ x.T
+    assert set(best) == set(range(200)) - {7}
+    for i, found in best.items():
+        want = sorted(-float(cos[i, j]) for j in range(200) if j not in (i, 9))[:3]
+        assert len({o for _, o in found}) == len(found) and [c for c, _ in sorted(found)[:3]] == [pytest.approx(w, abs=2e-5) for w in want]
