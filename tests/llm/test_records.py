@@ -186,3 +186,13 @@ def test_hot_list_is_searched_by_blocks(spark, monkeypatch):
     for i, found in best.items():
         want = sorted(-float(cos[i, j]) for j in range(200) if j not in (i, 9))[:3]
         assert len({o for _, o in found}) == len(found) and [c for c, _ in sorted(found)[:3]] == [pytest.approx(w, abs=2e-5) for w in want]
+
+
+def test_shares_are_exact(spark):
+    from pyspark.sql import functions as F
+
+    from massloom.llm.queries import shares
+
+    df = spark.range(90_000).select(F.when(F.col("id") < 60_000, "train").otherwise("test").alias("split"), F.floor(F.col("id") / 2).alias("entity"))
+    df = df.unionByName(spark.sql("SELECT 'test' AS split, CAST(NULL AS BIGINT) AS entity"))
+    assert sorted(map(tuple, shares(df).collect())) == [("test", 30_001, 15_000), ("train", 60_000, 30_000)]
