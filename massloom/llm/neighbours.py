@@ -1,36 +1,45 @@
 """The most similar vectors of every vector, by balanced posting lists.
 
-Centroids are fitted on a bounded sample (oversized clusters are split until lists are about equally long). A graph of
-near centroids, held in memory, finds the nearest centroids of each vector; those whose distance is within a ratio of
-the nearest one's are its lists. A vector is stored in the first few of them (boundary vectors in several) and looks
-for its neighbours in all of them. Within a list all comparisons are one product of matrices. Lists longer than a
-block are cut into blocks, and so are the vectors that search them: each pair of a stored and a searching block is compared
-on its own, so no comparison holds more than about two blocks however hot a list is.
+Centroids are fitted on a bounded sample (oversized clusters are split until lists are about equally long). A layered
+graph of near centroids, held in memory, finds the nearest centroids of each vector; those whose distance is within a
+ratio of the nearest one's are its lists. A vector is stored in the first few of them (boundary vectors in several) and
+looks for its neighbours in all of them. Beyond ``FAN`` lists each list has centroids and a graph of its own, fitted in Spark
+from a bounded sample of the list, and so on: the number of lists grows with the vectors and the depth with its logarithm.
+Within a list all comparisons are one product of matrices. Lists longer than a block are cut into blocks, and so are the
+vectors that search them: each pair of a stored and a searching block is compared on its own, so no comparison holds more
+than about two blocks however hot a list is.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from massloom.session import durable_table
+from massloom.session import durable, durable_table
 
-#: Vectors of one list, about; the number of lists follows, up to MOST_LISTS (which bounds what is broadcast).
-LIST_LENGTH, MOST_LISTS = 250, 8192
-#: Sampled vectors for each centroid when centroids are fitted, at most so many in all, and rounds of fitting.
-SAMPLE_PER_LIST, MOST_SAMPLED, ROUNDS = 12, 50_000, 2
-#: A centroid keeps its heaviest dimensions only.
-CENTROID_DIMENSIONS = 96
+#: Vectors of one list, about; centroids of one level at most (which bounds what a task holds of them).
+LIST_LENGTH, FAN = 250, 2048
+#: A list is named by the list above it times NAMES, plus its place there (at most FAN).
+NAMES = 2048
+#: Sampled vectors for each centroid when centroids are fitted, and rounds of fitting.
+SAMPLE_PER_LIST, ROUNDS = 12, 2
+#: A centroid keeps its heaviest dimensions only, and all centroids of a level together the heaviest of the sample.
+CENTROID_DIMENSIONS, DIMENSIONS = 96, 4096
 #: Lists in which a vector is stored, lists that it searches, and the distance ratio that prunes both.
-STORED, SEARCHED, RATIO = 2, 4, 1.35
-#: Stored or searching vectors of one block, about.
-BLOCK = 8192
-#: Graph: neighbours of a centroid, nodes kept while searching, and steps. The search starts from the best of every
-#: second centroid, an upper layer of the graph: with fewer, near vectors end at different centroids too often.
-DEGREE, BEAM, STEPS, UPPER = 16, 12, 14, 0.5
+STORED, SEARCHED, RATIO = 2, 6, 1.35
+#: The same below the first level, in each list of the level above: one, and an eighth of the lists, but so many at least.
+STORED_BELOW, SEARCHED_BELOW, PART_BELOW = 1, 8, 8
+#: Stored or searching vectors of one block, about, and the dimensions that are compared at a time.
+BLOCK, DIMENSIONS_AT_A_TIME = 4096, 2048
+#: Graph: near centroids of a centroid, nodes kept while searching, vectors that search together, and how many times
+#: fewer nodes each layer has than the one below. The top layer has at most TOP nodes, and every search begins there.
+DEGREE, BEAM, TOGETHER, THINNER, TOP = 12, 16, 256, 8, 32
+#: Rows of a table that is sent to all tasks, at most; a longer one is joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 
 def usable(mzs: Column, intensities: Column) -> Column:
@@ -85,6 +94,14 @@ class Sparse:
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), np.diff(self.starts))
 
+    def only(self, rows: np.ndarray) -> Sparse:
+        """The given rows."""
+        out, length = Sparse.__new__(Sparse), np.diff(self.starts)[rows]
+        out.n, out.starts = len(rows), np.r_[0, np.cumsum(length)]
+        at = np.repeat(self.starts[rows] - out.starts[:-1], length) + np.arange(out.starts[-1])
+        out.dims, out.vals = self.dims[at], self.vals[at]
+        return out
+
     def dense(self, space: np.ndarray) -> np.ndarray:
         """The rows over the ascending dimensions ``space``; other dimensions are left out."""
         out = np.zeros((self.n, len(space)), np.float32)
@@ -94,67 +111,91 @@ class Sparse:
         return out
 
 
-def near_graph(matrix: np.ndarray) -> np.ndarray:
-    """For each centroid its ``DEGREE`` nearest (itself among them)."""
-    k = len(matrix)
-    degree = min(DEGREE, k)
-    near = (matrix[s : s + 512] @ matrix.T for s in range(0, k, 512))
-    return np.concatenate([np.argpartition(-x, degree - 1, axis=1)[:, :degree].astype(np.int32) for x in near])
-
-
 class Centroids:
-    """Centroids over their own dimensions, with the graph by which the nearest are found."""
+    """Centroids over their own dimensions, with the layered graph by which the nearest are found.
 
-    def __init__(self, space: np.ndarray, matrix: np.ndarray, graph: np.ndarray) -> None:
-        self.space, self.matrix, self.graph = space, matrix, graph
-        self.starts = np.random.default_rng(1).permutation(len(matrix))[: max(96, int(UPPER * len(matrix)))]
-        self.head = matrix[self.starts]
+    Each layer holds every ``THINNER``-th node of the one below at random, linked to its ``DEGREE`` nearest of the layer, both ways.
+    """
+
+    def __init__(self, space: np.ndarray, matrix: np.ndarray) -> None:
+        self.space, self.matrix = space, matrix
+        drawn = np.random.default_rng(1).permutation(len(matrix))
+        sizes = [len(matrix)]
+        while sizes[-1] > TOP:
+            sizes.append(-(-sizes[-1] // THINNER))
+        self.layers = [(np.sort(drawn[:m]), self._links(matrix[np.sort(drawn[:m])])) for m in reversed(sizes)]
+
+    @staticmethod
+    def _links(matrix: np.ndarray) -> np.ndarray:
+        m = len(matrix)
+        degree = min(DEGREE, m)
+        linked = np.zeros((m, m), bool)
+        for s in range(0, m, 512):
+            near = np.argpartition(-(matrix[s : s + 512] @ matrix.T), degree - 1, axis=1)[:, :degree]
+            linked[np.arange(s, s + len(near))[:, None], near] = True
+        return linked | linked.T
 
     def nearest(self, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each dense row of ``x``, ``want`` near centroids and their cosines, by a search along the graph."""
-        n, k = len(x), len(self.matrix)
-        if want > BEAM or k <= 96:  # so many are wanted that all are looked at
-            cos = x @ self.matrix.T
-            order = np.argsort(-cos, axis=1, kind="stable")[:, :want]
-            return order, np.take_along_axis(cos, order, 1)
-        beam = min(max(BEAM, want), len(self.starts))
-        rows = np.arange(n)[:, None]
-        seen = np.zeros((n, k), bool)
-        first = x @ self.head.T
-        top = np.argpartition(-first, beam - 1, axis=1)[:, :beam]
-        nodes, score = self.starts[top], np.take_along_axis(first, top, 1)
-        seen[:, self.starts] = True
-        done = np.zeros(nodes.shape, bool)
-        for _ in range(STEPS):
-            best = np.where(done, -2, score).argmax(1)
-            if done[rows[:, 0], best].all():
-                break
-            at = nodes[rows[:, 0], best]
-            done[rows[:, 0], best] = True
-            new = self.graph[at]
-            fresh = ~seen[rows, new]
-            seen[rows, new] = True
-            r, c = np.nonzero(fresh)
-            s = np.full(new.shape, -3, np.float32)
-            s[r, c] = self._cosines(x, r, new[r, c])
-            nodes, score = np.concatenate([nodes, new], 1), np.concatenate([score, s], 1)
-            done = np.concatenate([done, ~fresh], 1)
-            keep = np.argpartition(-score, beam - 1, axis=1)[:, :beam]
-            nodes, score, done = (np.take_along_axis(a, keep, 1) for a in (nodes, score, done))
-        order = np.argsort(-score, axis=1, kind="stable")[:, :want]
-        return np.take_along_axis(nodes, order, 1), np.take_along_axis(score, order, 1)
-
-    def _cosines(self, x: np.ndarray, rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        out = np.empty(len(rows), np.float32)
-        for s in range(0, len(rows), 2048):
-            part = slice(s, s + 2048)
-            out[part] = np.einsum("ij,ij->i", x[rows[part]], self.matrix[nodes[part]])
-        return out
+        """For each dense row of ``x``, ``want`` near centroids and their cosines, nearest first, by a search along the graph."""
+        want = min(want, len(self.matrix))
+        nodes, score = np.zeros((len(x), want), np.int32), np.zeros((len(x), want), np.float32)
+        entry = (x @ self.matrix[self.layers[0][0]].T).argmax(1)
+        order = np.argsort(entry, kind="stable")  # vectors that enter at the same node search together
+        for s in range(0, len(x), TOGETHER):
+            part = order[s : s + TOGETHER]
+            nodes[part], score[part] = self._walk(x[part], want)
+        return nodes, score
+
+    def _walk(self, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
+        known = self.layers[0][0]
+        for depth, (members, linked) in enumerate(self.layers):
+            last = depth == len(self.layers) - 1
+            beam = max(BEAM, want) if last else BEAM
+            known = np.searchsorted(members, known)  # what the layer above found is in this one, too
+            seen, done = np.zeros(len(members), bool), np.zeros(len(members), bool)
+            seen[known] = True
+            score = x @ self.matrix[members[known]].T
+            while True:
+                best = known[np.unique(_greatest(score, beam))]
+                front = best[~done[best]]
+                if not len(front):
+                    break
+                done[front] = True
+                new = np.flatnonzero(linked[front].any(0) & ~seen)
+                seen[new] = True
+                known, score = np.concatenate([known, new]), np.concatenate([score, x @ self.matrix[members[new]].T], 1)
+            if not last:
+                known = members[np.sort(best)]
+        top = _greatest(score, want)
+        value = np.take_along_axis(score, top, 1)
+        order = np.argsort(-value, axis=1, kind="stable")
+        return members[known[np.take_along_axis(top, order, 1)]], np.take_along_axis(value, order, 1)
+
+    def packed(self) -> bytes:
+        r, c = np.nonzero(self.matrix)
+        return pickle.dumps((self.space, self.matrix.shape, r.astype(np.int32), c.astype(np.int32), self.matrix[r, c]))
+
+    @staticmethod
+    def unpacked(data: bytes) -> Centroids:
+        space, shape, r, c, v = pickle.loads(data)
+        matrix = np.zeros(shape, np.float32)
+        matrix[r, c] = v
+        return Centroids(space, matrix)
+
+
+def _greatest(score: np.ndarray, n: int) -> np.ndarray:
+    """The columns of the ``n`` greatest values of each row, in no order."""
+    if score.shape[1] <= n:
+        return np.broadcast_to(np.arange(score.shape[1]), score.shape)
+    return np.argpartition(-score, n - 1, axis=1)[:, :n]
 
 
 def fit_centroids(sample: Sparse, k: int, seed: int = 3) -> Centroids:
     """About ``k`` centroids of a sample, from clusters of about equal size."""
-    space = np.unique(sample.dims)
+    space, at = np.unique(sample.dims, return_inverse=True)
+    if len(space) > DIMENSIONS:
+        heaviest = np.argsort(-np.bincount(at, sample.vals.astype(float) ** 2, len(space)), kind="stable")[:DIMENSIONS]
+        space = np.sort(space[heaviest])
     rng = np.random.default_rng(seed)
     k = max(1, min(k, sample.n))
     x = sample.dense(space)
@@ -178,74 +219,137 @@ def fit_centroids(sample: Sparse, k: int, seed: int = 3) -> Centroids:
             c = np.where(c >= floor, c, 0)
         c = (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)).astype(np.float32)
         k = len(c)
-    return Centroids(space, c, near_graph(c))
-
-
-def assigned(vectors: DataFrame, n: int, stored: int, searched: float, ratio: float, list_length: int, lists: int) -> DataFrame:
-    """``vectors`` (with ``asks``) and their ``lists`` (nearest first), of which the first ``n_stored`` store the vector."""
-    k = int(min(lists, MOST_LISTS, max(1, n // list_length)))
-    most = min(SAMPLE_PER_LIST * k + 100, MOST_SAMPLED)
+    return Centroids(space, c)
+
+
+def lists_of(data: Sparse, centroids: Centroids, wants: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector its nearest lists, nearest first, and how many of them count: at most ``wants``, within the distance ratio."""
+    x = data.dense(centroids.space)
+    most = min(most, len(centroids.matrix))
+    lists, far = np.zeros((len(x), most), np.int32), np.full((len(x), most), np.inf)
+    for want in np.unique(wants):
+        rows = np.flatnonzero(wants == want)
+        found, cos = centroids.nearest(x[rows], int(want))
+        w = found.shape[1]
+        lists[rows[:, None], np.arange(w)], far[rows[:, None], np.arange(w)] = found, 1 - np.clip(cos, -1, 1)
+    return lists, (far <= ratio * far[:, :1] + 1e-6).sum(1)  # nearest first, so what counts is a head of the list
+
+
+def assigned(vectors: DataFrame, n: int, stored: int, searched: int, ratio: float, list_length: int) -> DataFrame:
+    """A row of ``vectors`` (with ``asks``) for each ``list`` that it is ``stored`` in or, if it asks, searches."""
+    k = min(FAN, max(1, n // list_length))
+    most = SAMPLE_PER_LIST * k + 100
     share = min(1.0, (1.2 * most + 200) / max(n, 1))
     rows = vectors.select("dims", "vals", F.xxhash64("id").alias("h")).where(
         F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1
     )
-    got = rows.orderBy("h").limit(most).select("dims", "vals").toArrow()  # at most MOST_SAMPLED rows
+    got = rows.orderBy("h").limit(most).select("dims", "vals").toArrow()  # at most SAMPLE_PER_LIST * FAN + 100 rows
     if not got.num_rows:
-        return vectors.select("*", F.array().cast("array<int>").alias("lists"), F.lit(0).alias("n_stored"))
+        return vectors.select("*", F.lit(True).alias("stored"), F.lit(0).cast("long").alias("list"))
     sample = Sparse(got.column("dims").combine_chunks(), got.column("vals").combine_chunks())
-    fitted = fit_centroids(sample, k)
-    shared = vectors.sparkSession.sparkContext.broadcast((fitted.space, _packed(fitted.matrix), fitted.graph))
+    shared = vectors.sparkSession.sparkContext.broadcast(fit_centroids(sample, k).packed())
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, packed, graph = shared.value
-        centroids = Centroids(space, _unpacked(packed), graph)
-        k = len(centroids.matrix)
-        most = min(k, int(searched) if searched >= 1 else max(stored, int(np.ceil(searched * k))))
+        centroids = Centroids.unpacked(shared.value)
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                b = whole.slice(start, 1024)
-                x = Sparse(b.column("dims"), b.column("vals")).dense(space)
+            for start in range(0, whole.num_rows, 4096):
+                b = whole.slice(start, 4096)
                 asks = b.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-                lists = np.zeros((len(x), most), np.int32)
-                far = np.full((len(x), most), np.inf)
-                for rows, want in ((np.flatnonzero(asks), most), (np.flatnonzero(~asks), min(stored, k))):
-                    if len(rows):
-                        found, cos = centroids.nearest(x[rows], want)
-                        lists[rows[:, None], np.arange(want)], far[rows[:, None], np.arange(want)] = found, 1 - np.clip(cos, -1, 1)
-                keep = far <= ratio * far[:, :1] + 1e-6
-                count = keep.sum(1)  # nearest first, so what is kept is a head of the list
-                offsets = np.r_[0, np.cumsum(count)]
-                chosen = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(lists[keep], pa.int32()))
-                n_stored = pa.array(np.minimum(count, stored), pa.int32())
-                yield pa.RecordBatch.from_arrays([*b.columns, chosen, n_stored], names=[*b.schema.names, "lists", "n_stored"])
+                wants = np.where(asks, max(stored, searched), stored)
+                lists, count = lists_of(Sparse(b.column("dims"), b.column("vals")), centroids, wants, max(stored, searched), ratio)
+                yield _entries(b, lists, count, np.full(len(asks), stored), np.zeros(len(asks), np.int64))
 
     types = ", ".join(f"{c} {t}" for c, t in vectors.dtypes)
-    return vectors.mapInArrow(place, f"{types}, lists array<int>, n_stored int")
+    placed = vectors.mapInArrow(place, f"{types}, lists array<bigint>, n_stored int")
+    return list_entries(durable_table(placed))
 
 
-def _packed(matrix: np.ndarray) -> tuple[tuple[int, int], np.ndarray, np.ndarray, np.ndarray]:
-    r, c = np.nonzero(matrix)
-    return matrix.shape, r.astype(np.int32), c.astype(np.int32), matrix[r, c]
+def _entries(b: pa.RecordBatch, lists: np.ndarray, count: np.ndarray, stored: np.ndarray, above: np.ndarray) -> pa.RecordBatch:
+    """``b`` with its ``lists`` (numbered below the list ``above``), of which the first ``n_stored`` store the vector."""
+    keep = np.arange(lists.shape[1]) < count[:, None]
+    named = (above[:, None] * NAMES + lists)[keep]
+    chosen = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(named, pa.int64()))
+    n_stored = pa.array(np.minimum(count, stored), pa.int32())
+    return pa.RecordBatch.from_arrays([*b.columns, chosen, n_stored], names=[*b.schema.names, "lists", "n_stored"])
 
 
-def _unpacked(packed: tuple) -> np.ndarray:
-    shape, r, c, v = packed
-    out = np.zeros(shape, np.float32)
-    out[r, c] = v
-    return out
+def list_entries(placed: DataFrame) -> DataFrame:
+    """A row for each list that a vector is ``stored`` in (the first ``n_stored`` of its ``lists``) or searches."""
+    at = placed.select("id", "dims", "vals", "asks", "n_stored", F.posexplode("lists").alias("rank", "list"))
+    return at.select("id", "dims", "vals", "asks", (F.col("rank") < F.col("n_stored")).alias("stored"), "list").where("stored OR asks")
+
+
+def list_lengths(at: DataFrame) -> DataFrame:
+    """``list``, ``held``, ``asking``: vectors that each list stores, and that search it. Kept, for it is used several times."""
+    return durable(at.groupBy("list").agg(F.count_if("stored").alias("held"), F.count_if("asks").alias("asking")))
+
 
+def small_enough(df: DataFrame) -> DataFrame:
+    """``df``, to be sent to all tasks if it has few rows (it is kept already, so counting costs little)."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
-def dealt_to_blocks(placed: DataFrame) -> DataFrame:
-    """``placed`` with a row for each ``list``, ``block`` and ``ask_block`` that a vector takes part in, ``stored`` and ``asks`` in it.
+
+def subdivided(at: DataFrame, lengths: DataFrame, searched: int, ratio: float, list_length: int) -> DataFrame:
+    """``at`` with every list that stores more than four times ``list_length`` divided by centroids of its own.
+
+    They are fitted where the list lies, from a sample of at most SAMPLE_PER_LIST * FAN of its vectors; the vectors of the list
+    are placed in parts of a block.
+    """
+    fan = F.least(F.lit(FAN), F.ceil(F.col("held") / list_length)).cast("int")
+    pieces = F.ceil((F.col("held") + F.col("asking")) / BLOCK).cast("int")
+    longer = lengths.where(F.col("held") > 4 * list_length)
+    longer = durable(longer.select("list", "held", fan.alias("fan"), pieces.alias("pieces")))
+    deep = at.join(small_enough(longer), "list")
+    share = F.least(F.lit(1.0), F.col("fan") * SAMPLE_PER_LIST / F.col("held"))
+    sampled = deep.where(F.col("stored") & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)))
+
+    def fit(t: pa.Table) -> pa.Table:
+        found = fit_centroids(Sparse(t.column("dims"), t.column("vals")), int(t.column("fan")[0].as_py()))
+        return pa.table({"list": t.column("list").slice(0, 1), "centroids": pa.array([found.packed()], pa.binary())})
+
+    fitted = durable_table(sampled.select("list", "fan", "dims", "vals").groupBy("list").applyInArrow(fit, "list bigint, centroids binary"))
+    every = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")
+    sent = fitted.join(longer, "list").select("list", every, "centroids")
+    dealt = deep.withColumn("piece", F.pmod(F.xxhash64("id", F.lit(2)), F.col("pieces")).cast("int"))
+    below = max(SEARCHED_BELOW, -(-searched // PART_BELOW))
+
+    def place(rows: pa.Table, centroids: pa.Table) -> pa.Table:
+        b = rows.select(["id", "dims", "vals", "asks"]).combine_chunks()
+        if not b.num_rows:
+            return pa.table({c: pa.array([], t) for c, t in zip([*b.schema.names, "lists", "n_stored"], [*b.schema.types, pa.list_(pa.int64()), pa.int32()], strict=True)})
+        own, asks = rows.column("stored").to_numpy(), rows.column("asks").to_numpy()
+        above = rows.column("list").to_numpy()
+        data = Sparse(b.column("dims"), b.column("vals"))
+        if centroids.num_rows:
+            wants = np.where(asks, below, STORED_BELOW)
+            lists, count = lists_of(data, Centroids.unpacked(centroids.column("centroids")[0].as_py()), wants, below, ratio)
+        else:  # no vector of the list is in the sample: it stays one list
+            lists, count = np.zeros((len(own), 1), np.int32), np.ones(len(own), int)
+        out = _entries(b.to_batches()[0], lists, count, np.where(own, STORED_BELOW, 0), above)
+        return pa.Table.from_batches([out])
+
+    types = ", ".join(f"{c} {t}" for c, t in at.dtypes if c in ("id", "dims", "vals", "asks"))
+    placed = dealt.groupBy("list", "piece").cogroup(sent.groupBy("list", "piece")).applyInArrow(place, f"{types}, lists array<bigint>, n_stored int")
+    rest = at.join(small_enough(longer.select("list")), "list", "left_anti").withColumn("list", F.col("list") * NAMES)
+    return rest.select("id", "dims", "vals", "asks", "stored", "list").unionByName(list_entries(durable_table(placed)))
+
+
+def levels(n: int, list_length: int) -> int:
+    """Levels of lists for ``n`` vectors: as many as are needed for lists of about ``list_length``."""
+    depth, room = 1, FAN * list_length
+    while room * 4 < n:
+        depth, room = depth + 1, room * FAN
+    return depth
+
+
+def dealt_to_blocks(at: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``at`` with a row for each ``list``, ``block`` and ``ask_block`` that a vector takes part in, ``stored`` and ``asks`` in it.
 
     A stored vector has one block and meets every ask block of its list; a searching one has one ask block and meets every block.
     """
-    at = placed.select("id", "dims", "vals", "asks", "n_stored", F.posexplode("lists").alias("rank", "list"))
-    at = at.withColumn("stored", F.col("rank") < F.col("n_stored")).where("stored OR asks")
-    lengths = at.groupBy("list").agg(F.count_if("stored").alias("held"), F.count_if("asks").alias("asking"))
     pieces = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int").alias(f"{c}_blocks")
     blocks = lengths.where((F.col("held") > BLOCK) | (F.col("asking") > BLOCK)).select("list", pieces("held"), pieces("asking"))
-    at = at.join(F.broadcast(blocks), "list", "left").fillna(1, ["held_blocks", "asking_blocks"])  # at most MOST_LISTS
+    at = at.join(small_enough(durable(blocks)), "list", "left").fillna(1, ["held_blocks", "asking_blocks"])
     h = F.xxhash64("id")
     at = at.withColumns({"own": F.pmod(h, "held_blocks").cast("int"), "own_ask": F.pmod(h, "asking_blocks").cast("int")})
     cell = lambda block, ask: F.struct(block.alias("block"), ask.alias("ask_block"))
@@ -260,10 +364,9 @@ def dealt_to_blocks(placed: DataFrame) -> DataFrame:
     )
 
 
-def search_lists(placed: DataFrame, k: int, least: float) -> DataFrame:
+def search_lists(dealt: DataFrame, k: int, least: float) -> DataFrame:
     """``id``, ``other``, ``cos``: per list and searching vector, the ``k`` best stored ones of each block with at least ``least``."""
-    dealt = dealt_to_blocks(placed)
-    id_type = dict(placed.dtypes)["id"]
+    id_type = dict(dealt.dtypes)["id"]
 
     def compare(t: pa.Table) -> pa.Table:
         ids = t.column("id").combine_chunks()
@@ -273,11 +376,14 @@ def search_lists(placed: DataFrame, k: int, least: float) -> DataFrame:
         if len(data) and len(ask):
             all_rows = Sparse(t.column("dims"), t.column("vals"))
             space = np.unique(all_rows.dims)
-            dense = all_rows.dense(space)
+            spaces = [space[i : i + DIMENSIONS_AT_A_TIME] for i in range(0, len(space), DIMENSIONS_AT_A_TIME)]
+            dense = all_rows.dense(spaces[0])
             stored = np.ascontiguousarray(dense[data].T)
             for s in range(0, len(ask), 1024):
                 part = ask[s : s + 1024]
                 cos = dense[part] @ stored
+                for more in spaces[1:]:
+                    cos += all_rows.only(part).dense(more) @ all_rows.only(data).dense(more).T
                 same = np.searchsorted(data, part)
                 same_ok = (same < len(data)) & (data[np.minimum(same, len(data) - 1)] == part)
                 cos[np.flatnonzero(same_ok), same[same_ok]] = -2
@@ -299,8 +405,7 @@ def search_lists(placed: DataFrame, k: int, least: float) -> DataFrame:
 
 def neighbours(
     spectra: DataFrame, key: str, mzs: str, intensities: str, k: int = 10, least: float = -1.0, queries: Column | None = None,
-    stored: int = STORED, searched: float = SEARCHED, ratio: float = RATIO, list_length: int = LIST_LENGTH,
-    lists: int = MOST_LISTS,
+    stored: int = STORED, searched: int = SEARCHED, ratio: float = RATIO, list_length: int = LIST_LENGTH,
 ) -> DataFrame:
     """``id``, ``other``, ``cos``, ``rank``: for every usable spectrum its ``k`` most similar others.
 
@@ -310,13 +415,17 @@ def neighbours(
     are neither searched nor found. Copies are neighbours of each other with cosine 1. A ``key`` that occurs in several
     rows is no neighbour of itself; its rows take places of their own in a search, so a list may then hold fewer than ``k``
     others. Cosines are exact to about 1e-6; the search is
-    approximate: recall grows with ``searched`` (lists, or below 1 a share of all lists) and ``ratio``. An empty table gives an empty result.
+    approximate: recall grows with ``stored``, ``searched`` and ``ratio``. An empty table gives an empty result.
     """
     vectors = peak_vectors(spectra, key, mzs, intensities)
     vectors = vectors.withColumn("asks", F.coalesce(queries if queries is not None else F.lit(True), F.lit(False)))
     n = spectra.where(usable(F.col(mzs), F.col(intensities))).count()
-    placed = durable_table(assigned(vectors, n, stored, searched, ratio, list_length, lists))
-    found = search_lists(placed, k, least)
+    at = assigned(vectors, n, stored, searched, ratio, list_length)
+    lengths = list_lengths(at)
+    for _ in range(1, levels(n, list_length)):
+        at = subdivided(at, lengths, searched, ratio, list_length)
+        lengths = list_lengths(at)
+    found = search_lists(dealt_to_blocks(at, lengths), k, least)
     best = found.groupBy("id", "other").agg(F.max("cos").alias("cos"))  # a pair may meet in several lists
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("cos"), "other"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)

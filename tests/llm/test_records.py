@@ -51,7 +51,7 @@ def test_near_pairs_and_recall(spark):
     got = nb.neighbours(spectra(spark, rows), "spectrum_id", "m", "x", least=0.92).collect()
     found = {(min(r["id"], r["other"]), max(r["id"], r["other"])) for r in got}
     assert found == want | {(5004, 5005)} and max(r["rank"] for r in got) <= 10
-    everything = nb.neighbours(spectra(spark, rows), "spectrum_id", "m", "x", k=10, searched=0.8, ratio=100.0, list_length=40).collect()
+    everything = nb.neighbours(spectra(spark, rows), "spectrum_id", "m", "x", k=10, searched=8, ratio=100.0, list_length=40).collect()
     lists = {}
     for r in everything:
         lists.setdefault(r["id"], []).append(r["other"])
@@ -63,6 +63,36 @@ def test_near_pairs_and_recall(spark):
     assert hit >= 0.9 * total
 
 
+def test_lists_of_several_levels(spark, monkeypatch):
+    monkeypatch.setattr(nb, "FAN", 4)
+    rows = made(400)
+    assert nb.levels(440, 5) == 3 and nb.levels(20, 5) == 1
+    want = {p for p, c in exact(rows).items() if c >= 0.92}
+    got = nb.neighbours(spectra(spark, rows), "spectrum_id", "m", "x", least=0.92, list_length=5).collect()
+    assert {(min(r["id"], r["other"]), max(r["id"], r["other"])) for r in got} == want
+
+
+def test_graph_finds_the_nearest_centroids():
+    rng = np.random.default_rng(2)
+    matrix = rng.random((700, 30), np.float32) ** 4
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    c = nb.Centroids.unpacked(nb.Centroids(np.arange(30), matrix).packed())
+    assert [len(m) for m, _ in c.layers] == [11, 88, 700]
+    x = matrix[:300] + rng.random((300, 30), np.float32) / 10
+    nodes, cos = c.nearest(x, 5)
+    best = np.argsort(-(x @ matrix.T), axis=1)[:, :5]
+    assert (nodes == best).mean() > 0.98 and (np.diff(cos, axis=1) <= 0).all()
+
+
+def test_many_dimensions_are_compared_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(nb, "DIMENSIONS_AT_A_TIME", 16)
+    monkeypatch.setattr(nb, "DIMENSIONS", 20)
+    rows = made(60)
+    want = {p for p, c in exact(rows).items() if c >= 0.92}
+    got = nb.neighbours(spectra(spark, rows), "spectrum_id", "m", "x", least=0.92).collect()
+    assert {(min(r["id"], r["other"]), max(r["id"], r["other"])) for r in got} == want
+
+
 def test_hot_list_is_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(nb, "BLOCK", 16)
     rows = made(60)
@@ -175,11 +205,12 @@ def test_hot_list_is_searched_by_blocks(spark, monkeypatch):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     dims = np.arange(6, dtype=np.int32).tobytes()
     rows = [(i, bytearray(dims), bytearray(v.tobytes()), i != 7, [0], 0 if i == 9 else 1) for i, v in enumerate(x)]
-    placed = spark.createDataFrame(rows, "id long, dims binary, vals binary, asks boolean, lists array<int>, n_stored int")
-    groups = nb.dealt_to_blocks(placed).groupBy("list", "block", "ask_block").count().collect()
+    placed = spark.createDataFrame(rows, "id long, dims binary, vals binary, asks boolean, lists array<long>, n_stored int")
+    at = nb.list_entries(placed)
+    groups = nb.dealt_to_blocks(at, nb.list_lengths(at)).groupBy("list", "block", "ask_block").count().collect()
     assert len(groups) == 100 and max(r["count"] for r in groups) <= 4 * 20
     best = {}
-    for r in nb.search_lists(placed, 3, -1.0).collect():
+    for r in nb.search_lists(nb.dealt_to_blocks(at, nb.list_lengths(at)), 3, -1.0).collect():
         best.setdefault(r["id"], []).append((-round(r["cos"], 5), r["other"]))
     cos = x @ x.T
     assert set(best) == set(range(200)) - {7}
