@@ -40,6 +40,8 @@ BLOCK, DIMENSIONS_AT_A_TIME = 4096, 2048
 DEGREE, BEAM, TOGETHER, THINNER, TOP = 12, 16, 256, 8, 32
 #: Rows of a table that is sent to all tasks, at most; a longer one is joined by a shuffle.
 MOST_BROADCAST = 100_000
+#: Vectors, counted once for each list that they are in, that one task compares, about.
+ENTRIES_PER_TASK = 100_000
 
 
 def usable(mzs: Column, intensities: Column) -> Column:
@@ -425,7 +427,10 @@ def neighbours(
     for _ in range(1, levels(n, list_length)):
         at = subdivided(at, lengths, searched, ratio, list_length)
         lengths = list_lengths(at)
-    found = search_lists(dealt_to_blocks(at, lengths), k, least)
+    entries = lengths.agg(F.sum(F.greatest("held", "asking"))).first()[0] or 0
+    tasks = max(int(spectra.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries // ENTRIES_PER_TASK))
+    dealt = dealt_to_blocks(at, lengths).repartition(tasks, "list", "block", "ask_block")  # tasks stay equally large as rows grow
+    found = search_lists(dealt, k, least)
     best = found.groupBy("id", "other").agg(F.max("cos").alias("cos"))  # a pair may meet in several lists
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("cos"), "other"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
