@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from massloom.functions.peaks import fine_bin
@@ -65,33 +66,54 @@ def binned_entropy_similarity(queries: DataFrame, library: DataFrame, query_key:
 def greedy_cosine(pairs: DataFrame, q: str, r: str, delta: str, within: float = 0.015) -> DataFrame:
     """Adds ``greedy_cosine`` and ``n_matched`` to pairs of unit-length peak lists: each peak is used once.
 
-    Library peaks take, in order, the nearest free query peak within ``within``; the best of the shifts 0, +delta and
-    -delta counts. Null or empty lists give 0. The pairs come from a join, and stay in its partitions.
+    Each library peak asks for the query peak nearest to it, if that is within ``within`` (ties to the lower m/z); of several
+    that ask for one peak the first in the list has it, and the others stay without. The best of the shifts 0, +delta and
+    -delta counts, the first of equal ones. Null or empty lists give 0. The pairs come from a join, and stay in its partitions.
     """
 
-    def one(a: list, b: list, shift: float) -> tuple[float, int]:
-        mz, free = np.array([p["mz"] for p in a]) + shift, np.ones(len(a), bool)
-        dot, n = 0.0, 0
-        for p in b:
-            near = np.flatnonzero(free & (np.abs(mz - p["mz"]) <= within))
-            if len(near):
-                best = near[np.argmin(np.abs(mz[near] - p["mz"]))]
-                free[best] = False
-                dot, n = dot + a[best]["i"] * p["i"], n + 1
-        return dot, n
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for a, b, d in zip(pdf[q], pdf[r], pdf[delta], strict=True):
-                empty = a is None or b is None or not len(a) or not len(b)
-                shifts = [0.0] if empty or d is None or np.isnan(d) or abs(d) < 1e-4 else [0.0, d, -d]
-                out.append((0.0, 0) if empty else max(one(a, b, s) for s in shifts))
-            got = np.array(out, float).reshape(-1, 2)
-            yield pdf.drop(columns=[q, r]).assign(greedy_cosine=np.minimum(got[:, 0], 1.0), n_matched=got[:, 1].astype("int32"))
+    def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        p = lists.flatten()
+        return np.repeat(np.arange(len(lists)), length), *(p.field(c).to_numpy(zero_copy_only=False) for c in ("mz", "i"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(s, 2000) for x in batches for s in range(0, x.num_rows, 2000)):
+            qrow, qmz, qi = flat(b.column(q))
+            rrow, rmz, ri = flat(b.column(r))
+            d = b.column(delta).to_numpy(zero_copy_only=False).astype(float)
+            best, count = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int32)
+            for sign in (0, 1, -1):
+                shift = sign * np.where(np.abs(d) >= 1e-4, d, 0.0)  # NaN, null and small: no shift
+                mz = qmz + shift[qrow]
+                order = np.lexsort((mz, qrow))
+                row, mz, i = qrow[order], mz[order], qi[order]
+                at = _nearest(row, mz, rrow, rmz)
+                fine = np.flatnonzero((at >= 0) & (np.abs(mz[at] - rmz) <= within)) if len(mz) else np.zeros(0, int)
+                _, first = np.unique(at[fine], return_index=True)
+                used = fine[first]
+                dot = np.bincount(rrow[used], i[at[used]] * ri[used], b.num_rows)
+                n = np.bincount(rrow[used], minlength=b.num_rows)
+                better = dot > best + 1e-9
+                best, count = np.where(better, dot, best), np.where(better, n, count).astype(np.int32)
+            kept = [c for c in b.schema.names if c not in (q, r)]
+            columns = [b.column(c) for c in kept] + [pa.array(np.minimum(best, 1.0)), pa.array(count)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "greedy_cosine", "n_matched"])
 
     keep = ", ".join(f"{c} {t}" for c, t in pairs.dtypes if c not in (q, r))
-    return pairs.mapInPandas(score, f"{keep}, greedy_cosine double, n_matched int")
+    return pairs.mapInArrow(score, f"{keep}, greedy_cosine double, n_matched int")
+
+
+def _nearest(row: np.ndarray, mz: np.ndarray, rrow: np.ndarray, rmz: np.ndarray) -> np.ndarray:
+    """For each (``rrow``, ``rmz``) the place of the nearest ``mz`` of the same row (ascending in both); -1 if the row has none."""
+    if not len(mz):
+        return np.full(len(rmz), -1)
+    room = 4.0 * (max(np.abs(mz).max(), np.abs(rmz).max() if len(rmz) else 0.0) + 1.0)  # rows lie apart on one axis
+    key, asked = row * room + mz, rrow * room + rmz
+    right = np.searchsorted(key, asked)
+    left = np.searchsorted(key, key[np.maximum(right - 1, 0)])  # the first of equal ones
+    gap = lambda at: np.where((at < len(mz)) & (row[np.minimum(at, len(mz) - 1)] == rrow), np.abs(mz[np.minimum(at, len(mz) - 1)] - rmz), np.inf)
+    to_left, to_right = np.where(right > 0, gap(left), np.inf), gap(right)
+    return np.where(np.isinf(to_left) & np.isinf(to_right), -1, np.where(to_left <= to_right, left, right))
 
 
 def tanimoto(a: Column, b: Column) -> Column:

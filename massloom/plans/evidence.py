@@ -95,11 +95,11 @@ def random_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def isomer_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By cohort: how often the truth outscores an isomer in the pool, over all such pairs."""
+    """By cohort and overall: how often the truth outscores an isomer in the pool, over all such pairs."""
     f = ident._fused(spark, sf_dir).join(table(spark, sf_dir, "candidates").select("candidate_id", "formula"), "candidate_id").where("formula IS NOT NULL")
     truth = f.where("inchikey = true_inchikey").select("query_id", F.col("formula"), F.col("score").alias("true_score"))
     pairs = f.where("inchikey != true_inchikey").join(truth, ["query_id", "formula"])
-    return pairs.groupBy("query_group").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg((F.col("true_score") > F.col("score")).cast("int")), 6).alias("accuracy"))
+    return pairs.rollup("query_group").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg((F.col("true_score") > F.col("score")).cast("int")), 6).alias("accuracy"))
 
 
 def isotope_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +215,7 @@ SQL = {
     "isomer_accuracy": ident._FUSED
     + """, g AS (SELECT f.*, d.formula FROM f JOIN candidates d USING (candidate_id) WHERE d.formula IS NOT NULL)
  SELECT a.query_group, count(*) AS n_pairs, round(avg((b.score > a.score)::INT), 6) AS accuracy FROM g a JOIN g b ON a.query_id = b.query_id AND a.formula = b.formula
- AND a.inchikey <> a.true_inchikey AND b.inchikey = b.true_inchikey GROUP BY 1""",
+ AND a.inchikey <> a.true_inchikey AND b.inchikey = b.true_inchikey GROUP BY ROLLUP (a.query_group)""",
     "isotope_ranking": ident._Q
     + ident._BINS
     + """st AS (SELECT unnest([0.0e0, 1.003354835e0, -1.003354835e0]) AS st),

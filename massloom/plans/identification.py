@@ -254,8 +254,15 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def popularity_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates within 20 ppm by how many library spectra their molecule has (without the query's own)."""
-    counts = library(spark, sf_dir).groupBy("inchikey").agg(F.count(F.lit(1)).alias("n_spectra"))
+    """Candidates within 20 ppm by how many library spectra their molecule has, without what the benchmark withholds.
+
+    Withheld are the molecules of the groups C2 and C3 and the source spectrum of every query.
+    """
+    held = table(spark, sf_dir, "benchmark_queries")
+    keys = held.where("query_group IN ('C2', 'C3')").select(F.col("true_inchikey").alias("inchikey")).distinct()
+    own = held.select(F.col("source_spectrum_id").alias("spectrum_id")).distinct()
+    left = library(spark, sf_dir).select("spectrum_id", "inchikey").join(keys, "inchikey", "left_anti").join(own, "spectrum_id", "left_anti")
+    counts = left.groupBy("inchikey").agg(F.count(F.lit(1)).alias("n_spectra"))
     pairs = bj.band_join(masses(queries_with_mass(spark, sf_dir)).where("neutral_mass > 0"), F.array(bj.window(F.col("neutral_mass"), 20.0)), catalog(spark, sf_dir).drop("fp"), "exact_mass")
     pairs = pairs.join(counts, "inchikey", "left").withColumn("n_spectra", F.coalesce("n_spectra", F.lit(0)))
     best = rk.top_k(pairs, "query_id", [F.desc("n_spectra"), F.asc("inchikey"), F.asc("candidate_id")])
@@ -358,9 +365,18 @@ SQL = {
  UNION ALL SELECT query_id, candidate_id, 3, 0.85 FROM q JOIN c ON mass BETWEEN (m - 1.003354835e0) * (1 - 20.0e0 / 1e6) AND (m - 1.003354835e0) * (1 + 20.0e0 / 1e6) WHERE m > 1.003354835e0)
  GROUP BY 1, 2""",
     "retrieval_progressive": _Q
-    + """g AS (SELECT query_id, candidate_id, abs(mass - m) / m * 1e6 AS ppm FROM q JOIN c ON mass BETWEEN m * (1 - 100.0e0 / 1e6) AND m * (1 + 100.0e0 / 1e6) WHERE m > 0),
- n AS (SELECT query_id, CASE WHEN count(*) FILTER (ppm <= 20) >= 25 THEN 20 WHEN count(*) FILTER (ppm <= 50) >= 25 THEN 50 ELSE 100 END AS chosen FROM g GROUP BY 1)
- SELECT query_id, candidate_id, (CASE chosen WHEN 20 THEN 1.0 WHEN 50 THEN 0.7 ELSE 0.4 END)::DOUBLE AS weight FROM g JOIN n USING (query_id) WHERE ppm <= chosen""",
+    + """g0 AS (SELECT query_id, candidate_id, abs(mass - m) / m * 1e6 AS ppm, mass BETWEEN (m + 1.003354835e0) * (1 - 20.0e0 / 1e6) AND (m + 1.003354835e0) * (1 + 20.0e0 / 1e6)
+  OR m > 1.003354835e0 AND mass BETWEEN (m - 1.003354835e0) * (1 - 20.0e0 / 1e6) AND (m - 1.003354835e0) * (1 + 20.0e0 / 1e6) AS off FROM q JOIN c ON mass BETWEEN m - 2 AND m + 2 WHERE m > 0),
+ g AS (SELECT * FROM g0 WHERE ppm <= 100 OR off),
+ n AS (SELECT query_id, CASE WHEN count(*) FILTER (ppm <= 20) >= 25 THEN 20 WHEN count(*) FILTER (ppm <= 50) >= 25 THEN 50 ELSE 100 END AS chosen, count(*) FILTER (ppm <= 100) < 25 AS short FROM g GROUP BY 1),
+ k AS (SELECT query_id, candidate_id, CASE WHEN ppm > chosen THEN 0.3 WHEN chosen = 20 THEN 1.0 WHEN chosen = 50 THEN 0.7 ELSE 0.4 END AS weight
+  FROM g JOIN n USING (query_id) WHERE ppm <= chosen OR off AND short),
+ few AS (SELECT query_id, m FROM q LEFT JOIN (SELECT query_id, count(*) AS n FROM k GROUP BY 1) USING (query_id) WHERE m > 0 AND coalesce(n, 0) < 25),
+ o AS (SELECT candidate_id, row_number() OVER (ORDER BY mass, candidate_id) AS place FROM c),
+ lower_ AS (SELECT query_id, count(candidate_id) AS below FROM few LEFT JOIN c ON mass < m GROUP BY 1),
+ nn AS (SELECT query_id, candidate_id FROM lower_ JOIN o ON place > below - 30 AND place <= below + 30)
+ SELECT query_id, candidate_id, weight::DOUBLE AS weight FROM k
+ UNION ALL SELECT query_id, candidate_id, 0.1::DOUBLE FROM nn ANTI JOIN k USING (query_id, candidate_id)""",
     "retrieval_pool": _Q
     + """g AS (SELECT query_id, candidate_id, abs(mass - m) / m * 1e6 AS ppm FROM q JOIN c ON mass BETWEEN m * (1 - 30.0e0 / 1e6) AND m * (1 + 30.0e0 / 1e6) WHERE m > 0)
  SELECT query_id, candidate_id FROM g WHERE ppm <= 8.5 OR query_id NOT IN (SELECT query_id FROM g WHERE ppm <= 8.5)""",
@@ -390,6 +406,19 @@ SQL = {
  v AS (SELECT query_id, spectrum_id, k, coalesce(sum(CASE WHEN abs(a.mz + shift - b.mz) <= 0.01 THEN a.i * b.i END), 0) AS dot
   FROM sh JOIN qp a USING (query_id) JOIN lp b USING (spectrum_id) GROUP BY 1, 2, 3)
  SELECT query_id, spectrum_id, round(max(dot / (qn.n * ln_.n)), 6) AS modified_cosine FROM v JOIN qn USING (query_id) JOIN ln_ USING (spectrum_id) GROUP BY 1, 2""",
+    "greedy_pairs": _Q
+    + """qp AS (SELECT query_id, unnest(range(len(qm))) AS pos, unnest(qm) AS mz, unnest(qi) AS i FROM q),
+ lp AS (SELECT spectrum_id, unnest(range(len(lm))) AS pos, unnest(lm) AS mz, unnest(li) AS i FROM lib),
+ qn AS (SELECT query_id, sqrt(sum(i * i)) AS n FROM qp GROUP BY 1), ln_ AS (SELECT spectrum_id, sqrt(sum(i * i)) AS n FROM lp GROUP BY 1),
+ e AS (SELECT query_id, spectrum_id, m - lib_mass AS delta FROM q JOIN lib ON lib_mass BETWEEN m * (1 - 20.0e0 / 1e6) AND m * (1 + 20.0e0 / 1e6)
+  WHERE m > 0 AND sgn = lib_sgn AND spectrum_id <> source_spectrum_id),
+ sh AS (SELECT query_id, spectrum_id, k, k * delta AS shift FROM e CROSS JOIN (VALUES (0), (1), (-1)) o(k) WHERE k = 0 OR abs(delta) >= 1e-4),
+ near AS (SELECT query_id, spectrum_id, k, b.pos AS pos, a.pos AS qpos, a.i / qn.n * b.i / ln_.n AS v FROM sh JOIN qp a USING (query_id) JOIN lp b USING (spectrum_id) JOIN qn USING (query_id)
+  JOIN ln_ USING (spectrum_id) WHERE abs(a.mz + shift - b.mz) <= 0.015 QUALIFY row_number() OVER (PARTITION BY query_id, spectrum_id, k, b.pos ORDER BY abs(a.mz + shift - b.mz), a.mz, a.pos) = 1),
+ once AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY query_id, spectrum_id, k, qpos ORDER BY pos) = 1),
+ v AS (SELECT query_id, spectrum_id, k, sum(v) AS dot, count(*)::INT AS n FROM once GROUP BY 1, 2, 3),
+ best AS (SELECT *, row_number() OVER (PARTITION BY query_id, spectrum_id ORDER BY round(dot, 9) DESC, abs(k), k DESC) AS r FROM v)
+ SELECT query_id, spectrum_id, round(least(coalesce(dot, 0), 1), 6) AS greedy_cosine, coalesce(n, 0)::INT AS n_matched FROM e LEFT JOIN (SELECT * FROM best WHERE r = 1) USING (query_id, spectrum_id)""",
     "truth_similarity": _Q
     + _END
     + """SELECT query_id, p.candidate_id, round(coalesce(list_sum(list_transform(list_zip(p.fp, t.fp), lambda z: bit_count(z[1] & z[2]))) * 1.0e0
@@ -406,7 +435,9 @@ SQL = {
  SELECT (tau / 10.0)::DOUBLE AS tau, count(*) FILTER (cosv >= tau / 10.0) AS n_answered, round(coalesce(avg(ok) FILTER (cosv >= tau / 10.0), 0), 6) AS precision
  FROM x CROSS JOIN range(1, 10) g(tau) GROUP BY g.tau""",
     "popularity_ranking": _Q
-    + """n AS (SELECT inchikey, count(*) AS n_spectra FROM lib WHERE lib_mass > 0 GROUP BY 1),
+    + """n AS (SELECT inchikey, count(*) AS n_spectra FROM lib WHERE lib_mass > 0
+  AND NOT EXISTS (SELECT 1 FROM benchmark_queries b WHERE b.true_inchikey = lib.inchikey AND b.query_group IN ('C2', 'C3'))
+  AND NOT EXISTS (SELECT 1 FROM benchmark_queries b WHERE b.source_spectrum_id = lib.spectrum_id) GROUP BY 1),
  g AS (SELECT query_id, candidate_id, inchikey, coalesce(n_spectra, 0) AS n_spectra FROM q JOIN c ON mass BETWEEN m * (1 - 20.0e0 / 1e6) AND m * (1 + 20.0e0 / 1e6) LEFT JOIN n USING (inchikey) WHERE m > 0)
  SELECT query_id, candidate_id, n_spectra, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_spectra DESC, inchikey, candidate_id) AS rank FROM g) WHERE rank <= 25""",
     "submission": _Q

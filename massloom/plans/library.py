@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from massloom.functions import chem, peaks as pk
 from massloom.functions.keys import single_key
@@ -43,14 +43,44 @@ def mgf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("spectrum_id", "adduct", F.round("precursor_mz", 4).alias("precursor_mz"), F.size("peaks").alias("n_read"), top.alias("highest"))
 
 
+#: The columns of the domain tables by kind: text or whole number, number, list of numbers, list of whole numbers or texts, time.
+CONTENT = {
+    "train": {
+        "plain": "spectrum_id accession session_id inchikey inchikey14 normalized_smiles molecular_formula adduct ionization_mode instrument_type ingest_lib num_peaks",
+        "number": "precursor_mz collision_energy", "numbers": "ms2_mzs ms2_intensities", "time": "acquired_at ingested_at",
+    },
+    "external_spectra": {
+        "plain": "spectrum_id split source_library canonical_smiles inchikey precursor_charge precursor_type ion_mode formula peak_count",
+        "number": "precursor_mz collision_energy neutral_mass", "numbers": "peaks_mz peaks_intensity", "time": "added_at",
+    },
+    "candidates": {"plain": "candidate_id inchikey inchikey14 canonical_smiles formula", "number": "exact_mass", "plains": "source fp"},
+    "sessions": {"plain": "session_id instrument_type ingest_lib", "time": "started_at finished_at"},
+    "benchmark_queries": {
+        "plain": "query_id query_group source_spectrum_id observed_adduct true_inchikey true_smiles withheld_exact_query",
+        "number": "observed_precursor_mz observed_collision_energy observed_collision_energy_raw", "numbers": "observed_ms2_mzs observed_ms2_intensities",
+    },
+}
+
+
+def _as_text(kind: str, c: Column) -> Column:
+    """A value as text that doesn't depend on how an engine writes numbers: numbers in thousandths (NaN as null), times in microseconds."""
+    number = lambda x: F.when(~F.isnan(x), F.floor(x.cast("double") * 1000).cast("string"))
+    forms = {
+        "plain": lambda: c.cast("string"), "number": lambda: number(c), "time": lambda: F.unix_micros(c.cast("timestamp")).cast("string"),
+        "numbers": lambda: F.array_join(F.transform(c, number), ",", "~"),
+        "plains": lambda: F.array_join(F.transform(c, lambda x: x.cast("string")), ",", "~"),
+    }
+    return F.coalesce(forms[kind](), F.lit("~"))
+
+
 def table_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and an order-free checksum of the ids of every domain table, from one pass each."""
-    ids = {"train": "spectrum_id", "external_spectra": "spectrum_id", "candidates": "candidate_id", "sessions": "session_id", "benchmark_queries": "query_id"}
-    part = lambda c: F.conv(F.substring(F.md5(F.col(c).cast("string")), 1, 8), 16, 10).cast("long")
-    parts = [
-        table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(part(c)).alias("checksum")).select(F.lit(t).alias("name"), "n_rows", "checksum")
-        for t, c in ids.items()
-    ]
+    """Rows and an order-free checksum of the whole content of every domain table, from one pass each."""
+    parts = []
+    for name, kinds in CONTENT.items():
+        text = F.concat_ws("|", *(_as_text(kind, F.col(c)) for kind, names in kinds.items() for c in names.split()))
+        part = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+        rows = table(spark, sf_dir, name).select(part.alias("part"))
+        parts.append(rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("part").alias("checksum")).select(F.lit(name).alias("name"), "n_rows", "checksum"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -60,13 +90,15 @@ def table_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spectra and highest number of peaks of each molecule, kept up to date by a stream over train's files."""
     s = file_stream(spark, f"{sf_dir}/train.parquet").select(single_key(F.col("inchikey")).alias("inchikey"), "num_peaks").where("inchikey IS NOT NULL")
-    return run_to_end(s.groupBy("inchikey").agg(F.count(F.lit(1)).alias("n_spectra"), F.max("num_peaks").alias("most_peaks")))
+    state = s.groupBy("inchikey").agg(F.count(F.lit(1)).alias("n_spectra"), F.max("num_peaks").alias("most_peaks"))
+    return run_to_end(state, ["inchikey"], f"molecules-{uuid.uuid4().hex}", "count and most peaks by single key")
 
 
 def stream_acquisitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spectra per library and window of 30 days of acquisition, from a stream with late rows."""
     s = file_stream(spark, f"{sf_dir}/train.parquet").select(F.col("acquired_at").cast("timestamp").alias("acquired_at"), "ingest_lib").where("acquired_at IS NOT NULL")
-    counts = run_to_end(windowed_counts(s, "acquired_at", "30 days", "3650 days", "ingest_lib"))
+    windows = windowed_counts(s, "acquired_at", "30 days", "3650 days", "ingest_lib")
+    counts = run_to_end(windows, ["w", "ingest_lib"], f"acquisitions-{uuid.uuid4().hex}", "rows by 30 days and library")
     return counts.select(F.unix_timestamp(F.col("w.start").cast("timestamp")).alias("starts"), "ingest_lib", "n")
 
 
@@ -96,7 +128,7 @@ def embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def window_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peaks of every spectrum up to its precursor, as square roots of relative intensity; of more than 128 those that ``diverse_peaks`` keeps."""
     ps = pk.peaks(F.col("ms2_mzs"), F.col("ms2_intensities"))
-    upto = F.filter(pk.keep_relative(ps, 0.001), lambda p: p["mz"] <= F.col("precursor_mz") + 1.5)
+    upto = pk.keep_relative(F.filter(ps, lambda p: p["mz"] <= F.col("precursor_mz") + 1.5), 0.001)
     t = table(spark, sf_dir, "train").where(F.size(ps) > 0).select("spectrum_id", upto.alias("ps")).where(F.size("ps") > 0)
     return diverse_peaks(t).select("spectrum_id", "n_peaks", F.round("total", 5).alias("total"))
 
@@ -117,19 +149,24 @@ def diverse_peaks(t: DataFrame, cap: int = 128, per_window: int = 8, width: floa
     return whole.unionByName(kept.groupBy("spectrum_id").agg(F.count(F.lit(1)).alias("n_peaks"), F.sum(F.sqrt("p.i")).alias("total")))
 
 
+# The most atoms of each element besides carbon and hydrogen, below 500 Da and from there on.
+MOST_ATOMS = {"S": (2, 4), "P": (2, 5), "O": (11, 23), "N": (9, 17)}
+HEAVY_FROM = 500.0
+
+
 def formula_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10 best formulas of C, H, N, O, P and S within 20 ppm of each query's mass that keep the composition rules."""
+    """The 50 best formulas of C, H, N, O, P and S within 20 ppm of each query's mass that keep the composition rules."""
     q = ident.masses(ident.queries_with_mass(spark, sf_dir)).where("neutral_mass > 0").select("query_id", F.col("neutral_mass").alias("m"))
     # Few rows become many, so they are spread by a fixed number of partitions, which isn't made smaller.
     spread = q.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "query_id")
-    return rk.top_k(formulas_near(spread), "query_id", [F.asc("ppm"), F.asc("formula")], 10)
+    return rk.top_k(formulas_near(spread, most_atoms=MOST_ATOMS), "query_id", [F.asc("ppm"), F.asc("formula")], 50)
 
 
-def formulas_near(q: DataFrame, ppm: float = 20.0) -> DataFrame:
+def formulas_near(q: DataFrame, ppm: float = 20.0, most_atoms: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """``query_id``, ``formula``, ``ppm``: every formula of C, H, N, O, P and S within ``ppm`` of the mass ``m`` that keeps the composition rules.
 
-    Counts are laid out over all that the mass and the rules allow: each S, P, O or N needs its share of a carbon, each carbon a
-    tenth of a hydrogen at least, and hydrogen, which follows from what is left, is bounded by 3.2 a carbon and by the unsaturation.
+    S, P, O and N go as far as the mass and the rules allow, or up to ``most_atoms`` (below HEAVY_FROM and from there on): each of
+    their atoms needs its share of a carbon and each carbon a tenth of a hydrogen at least. Hydrogen follows from what is left, is at most 3.2 a carbon and bounded by the unsaturation.
     """
     w = chem.ELEMENT_MASS
     unit, room = w["C"] + 0.1 * w["H"], 1e-6
@@ -137,7 +174,8 @@ def formulas_near(q: DataFrame, ppm: float = 20.0) -> DataFrame:
     q = q.select("query_id", "m", (F.col("m") * (1 + ppm / 1e6)).alias("left"), F.lit(0.0).alias("carbons"))
     for e, share in per_carbon.items():
         n = F.col(e.lower())
-        most = F.least(F.col("left") / (w[e] + unit / share), (F.col("left") - F.col("carbons") * unit) / w[e])
+        bound = F.when(F.col("m") < HEAVY_FROM, most_atoms[e][0]).otherwise(most_atoms[e][1]) if most_atoms else F.lit(None)
+        most = F.least(F.col("left") / (w[e] + unit / share), (F.col("left") - F.col("carbons") * unit) / w[e], bound.cast("double"))
         q = q.withColumn(e.lower(), F.explode(F.sequence(F.lit(0), F.greatest(F.floor(most + room), F.lit(0)).cast("int"))))
         q = q.withColumns({"left": F.col("left") - n * w[e], "carbons": F.greatest("carbons", n / share)})
     low = F.col("left") - F.col("m") * (2 * ppm / 1e6)
@@ -216,19 +254,27 @@ QUERIES = {
     )
 }
 
-_CS = "sum(('0x' || left(md5({0}::VARCHAR), 8))::BIGINT)::BIGINT"
-_VALID = """c > 0 AND (h + n) % 2 = 0 AND c + 1 - h / 2.0 + n / 2.0 BETWEEN -0.5 AND 40 AND h / c >= 0.1 AND h / c <= 3.2 AND n / c <= 1.5 AND o / c <= 1.5 AND s / c <= 0.8
- AND c * 4 + h + n * 5 + o * 2 + s * 6 >= 2 * (CASE WHEN s > 0 THEN 6 WHEN n > 0 THEN 5 ELSE 4 END)"""
+_NUMBER = "TRY_CAST(floor({0}::DOUBLE * 1000) AS BIGINT)::VARCHAR"
+_TEXT = {
+    "plain": "{0}::VARCHAR", "number": _NUMBER, "time": "epoch_us({0})::VARCHAR", "numbers": "array_to_string(list_transform({0}, lambda x: coalesce(" + _NUMBER.replace("{0}", "x") + ", '~')), ',')",
+    "plains": "array_to_string(list_transform({0}, lambda x: coalesce(x::VARCHAR, '~')), ',')",
+}
+
+
+def _manifest_sql(name: str, kinds: dict[str, str]) -> str:
+    text = ", ".join(f"coalesce({_TEXT[kind].format(c)}, '~')" for kind, names in kinds.items() for c in names.split())
+    return f"SELECT '{name}' AS name, count(*) AS n_rows, sum(('0x' || left(md5(concat_ws('|', {text})), 8))::BIGINT)::BIGINT AS checksum FROM {name}"
+
+
+_VALID = """c > 0 AND (h + n + p) % 2 = 0 AND c + 1 - h / 2.0e0 + n / 2.0e0 + p / 2.0e0 BETWEEN -0.5 AND 40 AND h / c >= 0.1 AND h / c <= 3.2 AND n / c <= 1.5 AND o / c <= 1.5
+ AND p / c <= 0.4 AND s / c <= 0.8 AND c * 4 + h + n * 5 + o * 2 + p * 5 + s * 6 >= 2 * (CASE WHEN s > 0 THEN 6 WHEN p > 0 OR n > 0 THEN 5 ELSE 4 END)"""
 
 SQL = {
     "msp_round_trip": """SELECT spectrum_id, nullif(trim(inchikey), '') AS inchikey, round(precursor_mz, 4) AS precursor_mz, len(peaks_mz)::INT AS num_peaks, len(peaks_mz)::INT AS n_read
  FROM external_spectra WHERE len(peaks_mz) = len(peaks_intensity) AND len(peaks_mz) > 0""",
     "mgf_round_trip": """SELECT spectrum_id, coalesce(nullif(regexp_extract(precursor_type, '(\\[[^\\]]+\\]\\d*[+-])', 1), ''), '[M+H]+') AS adduct, round(precursor_mz, 4) AS precursor_mz,
  len(peaks_mz)::INT AS n_read, round(list_max(peaks_intensity)::DOUBLE, 2) AS highest FROM external_spectra WHERE len(peaks_mz) = len(peaks_intensity) AND len(peaks_mz) > 0""",
-    "table_manifest": " UNION ALL ".join(
-        f"SELECT '{t}' AS name, count(*) AS n_rows, {_CS.format(c)} AS checksum FROM {t}"
-        for t, c in (("train", "spectrum_id"), ("external_spectra", "spectrum_id"), ("candidates", "candidate_id"), ("sessions", "session_id"), ("benchmark_queries", "query_id"))
-    ),
+    "table_manifest": " UNION ALL ".join(_manifest_sql(t, k) for t, k in CONTENT.items()),
     "stream_molecules": """WITH t AS (SELECT list_distinct(regexp_extract_all(upper(inchikey), '\\b([A-Z]{14}-[A-Z]{10}-[A-Z])\\b', 1)) AS ks, num_peaks FROM train)
  SELECT ks[1] AS inchikey, count(*) AS n_spectra, max(num_peaks) AS most_peaks FROM t WHERE len(ks) = 1 GROUP BY 1""",
     "stream_acquisitions": """SELECT (floor(epoch(acquired_at) / 2592000) * 2592000)::BIGINT AS starts, ingest_lib, count(*) AS n FROM train WHERE acquired_at IS NOT NULL GROUP BY 1, 2""",
@@ -240,19 +286,24 @@ SQL = {
  FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC NULLS LAST, other) AS rank FROM p) SELECT vec_id, other, cosine, rank FROM r WHERE rank <= 10""",
     "window_peaks": """WITH p AS (SELECT spectrum_id, precursor_mz, unnest(ms2_mzs) AS mz, unnest(ms2_intensities) AS i FROM train WHERE len(ms2_mzs) = len(ms2_intensities) AND len(ms2_mzs) > 0),
- n AS (SELECT *, i / max(i) OVER (PARTITION BY spectrum_id) AS r FROM p),
- k AS (SELECT *, row_number() OVER (PARTITION BY spectrum_id, floor(mz / 50) ORDER BY r DESC, mz) AS k FROM n WHERE r >= 0.001 AND mz <= precursor_mz + 1.5)
- SELECT spectrum_id, count(*) AS n_peaks, round(sum(sqrt(r)), 5) AS total FROM k WHERE k <= 8 GROUP BY 1""",
+ n AS (SELECT *, i / max(i) OVER (PARTITION BY spectrum_id) AS r FROM p WHERE mz <= precursor_mz + 1.5),
+ k AS (SELECT *, row_number() OVER (PARTITION BY spectrum_id, floor(mz / 50) ORDER BY r DESC, mz) AS k, count(*) OVER (PARTITION BY spectrum_id) AS size FROM n WHERE r >= 0.001),
+ o AS (SELECT *, row_number() OVER (PARTITION BY spectrum_id ORDER BY k > 8, r DESC, mz) AS place FROM k)
+ SELECT spectrum_id, count(*) AS n_peaks, round(sum(sqrt(r)), 5) AS total FROM o WHERE size <= 128 OR place <= 128 GROUP BY 1""",
     "formula_search": ident._Q
-    + f"""g AS (SELECT query_id, m, s, o, n, m - s * 31.9720711744e0 - o * 15.99491461957e0 - n * 14.00307400443e0 AS l
-  FROM q CROSS JOIN range(0, 3) a(s) CROSS JOIN range(0, 13) b(o) CROSS JOIN range(0, 9) d(n) WHERE m > 0),
- cc AS (SELECT *, unnest(range(1, (floor(l / 12.0) + 1)::BIGINT)) AS c FROM g WHERE l >= 12),
- hh AS (SELECT *, round((l - c * 12.0e0) / 1.00782503223e0)::INT AS h FROM cc),
- e AS (SELECT *, abs(c * 12.0e0 + h * 1.00782503223e0 + n * 14.00307400443e0 + o * 15.99491461957e0 + s * 31.9720711744e0 - m) / m * 1e6 AS ppm FROM hh),
- f AS (SELECT query_id, round(ppm, 4) AS ppm, 'C' || CASE WHEN c > 1 THEN c::VARCHAR ELSE '' END || CASE WHEN h = 0 THEN '' WHEN h = 1 THEN 'H' ELSE 'H' || h END
-  || CASE WHEN n = 0 THEN '' WHEN n = 1 THEN 'N' ELSE 'N' || n END || CASE WHEN o = 0 THEN '' WHEN o = 1 THEN 'O' ELSE 'O' || o END
-  || CASE WHEN s = 0 THEN '' WHEN s = 1 THEN 'S' ELSE 'S' || s END AS formula FROM e WHERE h >= 0 AND ppm <= 5 AND {_VALID}),
- r_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ppm, formula) AS rank FROM f) SELECT query_id, formula, ppm, rank FROM r_ WHERE rank <= 10""",
+    + f"""b AS (SELECT query_id, m, m * (1 + 20.0e0 / 1e6) AS top, CASE WHEN m < 500 THEN 2 ELSE 5 END AS mp, CASE WHEN m < 500 THEN 2 ELSE 4 END AS ms, CASE WHEN m < 500 THEN 9 ELSE 17 END AS mn,
+  CASE WHEN m < 500 THEN 11 ELSE 23 END AS mo FROM q WHERE m > 0),
+ g AS (SELECT query_id, m, top, p, s, n, o, top - p * 30.97376199842e0 - s * 31.9720711744e0 - n * 14.00307400443e0 - o * 15.99491461957e0 AS l
+  FROM b JOIN range(0, 6) a1(p) ON p <= mp JOIN range(0, 5) a2(s) ON s <= ms JOIN range(0, 18) a3(n) ON n <= mn JOIN range(0, 24) a4(o) ON o <= mo
+  WHERE p * 30.97376199842e0 + s * 31.9720711744e0 + n * 14.00307400443e0 + o * 15.99491461957e0 <= top),
+ cc AS (SELECT *, unnest(range(1, (floor(l / 12.0e0) + 1)::BIGINT)) AS c FROM g WHERE l >= 12),
+ hh AS (SELECT *, c * 12.0e0 + n * 14.00307400443e0 + o * 15.99491461957e0 + p * 30.97376199842e0 + s * 31.9720711744e0 AS heavy FROM cc),
+ e AS (SELECT *, round((m - heavy) / 1.00782503223e0)::INT AS h FROM hh),
+ f AS (SELECT query_id, abs(heavy + h * 1.00782503223e0 - m) / m * 1e6 AS ppm, 'C' || CASE WHEN c > 1 THEN c::VARCHAR ELSE '' END || CASE WHEN h = 0 THEN '' WHEN h = 1 THEN 'H' ELSE 'H' || h END
+  || CASE WHEN n = 0 THEN '' WHEN n = 1 THEN 'N' ELSE 'N' || n END || CASE WHEN o = 0 THEN '' WHEN o = 1 THEN 'O' ELSE 'O' || o END || CASE WHEN p = 0 THEN '' WHEN p = 1 THEN 'P' ELSE 'P' || p END
+  || CASE WHEN s = 0 THEN '' WHEN s = 1 THEN 'S' ELSE 'S' || s END AS formula FROM e WHERE h >= 0 AND {_VALID}),
+ r_ AS (SELECT query_id, formula, round(ppm, 4) AS ppm, row_number() OVER (PARTITION BY query_id ORDER BY round(ppm, 4), formula) AS rank FROM f WHERE ppm <= 20)
+ SELECT query_id, formula, ppm, rank FROM r_ WHERE rank <= 50""",
     "isomer_counts": "SELECT formula, count(*) AS n_entries, count(DISTINCT inchikey14) AS n_blocks, max(len(source))::INT AS most_sources FROM candidates WHERE formula IS NOT NULL GROUP BY 1",
     "hard_negatives": ident._Q
     + """tr AS (SELECT c.inchikey AS true_inchikey, d.formula AS true_formula FROM c JOIN candidates d USING (candidate_id)),

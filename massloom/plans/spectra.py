@@ -285,7 +285,10 @@ SQL = {
     "purged_library": _TRAIN
     + """SELECT spectrum_id, inchikey, energy FROM t WHERE inchikey IS NULL OR (
  inchikey NOT IN (SELECT true_inchikey FROM benchmark_queries WHERE query_group IN ('C2', 'C3') AND true_inchikey IS NOT NULL)
- AND NOT EXISTS (SELECT 1 FROM benchmark_queries b WHERE b.query_group = 'C1' AND b.true_inchikey = t.inchikey AND abs(b.observed_collision_energy - t.energy) <= 5))""",
+ AND NOT EXISTS (SELECT 1 FROM benchmark_queries b WHERE b.query_group = 'C1' AND b.true_inchikey = t.inchikey AND abs(b.observed_collision_energy - t.energy) <= 5))""".replace(
+        "FROM t WHERE inchikey IS NULL OR (", """FROM t WHERE spectrum_id NOT IN (SELECT source_spectrum_id FROM benchmark_queries WHERE query_group = 'C1' AND source_spectrum_id IS NOT NULL) AND (inchikey IS NULL OR (
+ NOT EXISTS (SELECT 1 FROM benchmark_queries b WHERE b.query_group = 'C1' AND b.true_inchikey = t.inchikey AND len(t.ms2_mzs) > 0
+  AND list_transform(list_sort(b.observed_ms2_mzs), lambda x: printf('%.3f', x)) = list_transform(list_sort(t.ms2_mzs), lambda x: printf('%.3f', x))) AND""") + ")",
     "leakage_audit": f"""WITH tk AS (SELECT DISTINCT unnest({_KEYS.format("inchikey")}) AS v FROM train), ek AS (SELECT DISTINCT unnest({_KEYS.format("inchikey")}) AS v FROM external_spectra)
  SELECT 'full key' AS level, (SELECT count(*) FROM (SELECT v FROM tk INTERSECT SELECT v FROM ek)) AS n_shared
  UNION ALL SELECT 'first block', (SELECT count(*) FROM (SELECT left(v, 14) FROM tk INTERSECT SELECT left(v, 14) FROM ek))

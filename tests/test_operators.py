@@ -183,6 +183,10 @@ def test_similarities(spark):
     unit = df.select("k", pk.unit_length(F.col("q")).alias("q"), pk.unit_length(F.col("r")).alias("r"), "d")
     greedy = {r["k"]: (r["greedy_cosine"], r["n_matched"]) for r in sim.greedy_cosine(unit, "q", "r", "d").collect()}
     assert greedy[1] == (pytest.approx(1.0), 3) and greedy[3] == (0.0, 0) and greedy[4][0] == pytest.approx(1.0)
+    taken = [(100.0, 1.0), (100.01, 1.0)], [(100.004, 1.0), (100.003, 1.0), (100.011, 1.0), (100.09, 1.0)]  # two ask for the first peak
+    once = spark.createDataFrame([(1, *taken, None), (2, None, a, 1.0), (3, a, None, float("nan"))], "k int, q array<struct<mz:double,i:double>>, r array<struct<mz:double,i:double>>, d double")
+    got = {r["k"]: (r["greedy_cosine"], r["n_matched"]) for r in sim.greedy_cosine(once, "q", "r", "d").collect()}
+    assert got == {1: (1.0, 2), 2: (0.0, 0), 3: (0.0, 0)}
     shares = spark.createDataFrame([(1, 5, 0.5), (1, 6, 0.5), (2, 7, 1.0)], "q int, bin long, v double")
     same = sim.binned_entropy_similarity(shares, shares.withColumnRenamed("q", "r"), "q", "r").collect()
     assert {(r["q"], r["r"]) for r in same} == {(1, 1), (2, 2)} and all(r["similarity"] == pytest.approx(1.0) for r in same)

@@ -1,7 +1,9 @@
 """Text formats, streams, purge and block search on small inline inputs."""
 
 import math
+import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from massloom.operators.blocks import block_search
@@ -52,9 +54,17 @@ def test_stream_equals_batch(spark, tmp_path):
     df.repartition(6).write.parquet(str(tmp_path / "x.parquet"))
     counts = lambda d: d.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     stream = file_stream(spark, str(tmp_path / "x.parquet"), files_per_batch=1)
-    assert sorted(map(tuple, run_to_end(counts(stream)).collect())) == sorted(map(tuple, counts(df).collect()))
-    windows = run_to_end(windowed_counts(file_stream(spark, str(tmp_path / "x.parquet")), "t", "1 day", "10 days", "k"))
-    assert windows.agg(F.sum("n")).first()[0] == 60 and windows.count() == 15
+    name = uuid.uuid4().hex
+    run = lambda s: run_to_end(counts(s), ["k"], name, "counts")
+    assert sorted(map(tuple, run(stream).collect())) == sorted(map(tuple, counts(df).collect()))
+    assert sorted(map(tuple, run(stream).collect())) == sorted(map(tuple, counts(df).collect()))  # goes on with nothing new
+    df.where("k = 1").coalesce(1).write.mode("append").parquet(str(tmp_path / "x.parquet"))
+    assert sorted(map(tuple, run(stream).collect())) == [(0, 20), (1, 40), (2, 20)]  # the changed group is replaced, the others stay
+    with pytest.raises(ValueError, match="computes 'counts'"):
+        run_to_end(counts(stream), ["k"], name, "sums")
+    late = windowed_counts(file_stream(spark, str(tmp_path / "x.parquet")), "t", "1 day", "10 days", "k")
+    windows = run_to_end(late, ["w", "k"], uuid.uuid4().hex, "windows")
+    assert windows.agg(F.sum("n")).first()[0] == 80 and windows.count() == 15
 
 
 def test_purge_case(spark):
