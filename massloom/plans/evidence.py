@@ -99,7 +99,9 @@ def isomer_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = ident._fused(spark, sf_dir).join(table(spark, sf_dir, "candidates").select("candidate_id", "formula"), "candidate_id").where("formula IS NOT NULL")
     truth = f.where("inchikey = true_inchikey").select("query_id", F.col("formula"), F.col("score").alias("true_score"))
     pairs = f.where("inchikey != true_inchikey").join(truth, ["query_id", "formula"])
-    return pairs.rollup("query_group").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg((F.col("true_score") > F.col("score")).cast("int")), 6).alias("accuracy"))
+    pairs = pairs.select("query_id", (F.col("true_score") > F.col("score")).cast("int").alias("right"))
+    every = ident.masses(ident.queries_with_mass(spark, sf_dir)).select("query_id", "query_group").join(pairs, "query_id", "left")
+    return every.rollup("query_group").agg(F.count("right").alias("n_pairs"), F.round(F.avg("right"), 6).alias("accuracy"))
 
 
 def isotope_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,9 +215,9 @@ SQL = {
     + """g AS (SELECT query_id, count(*) AS n, coalesce(max((inchikey = true_inchikey)::INT), 0) AS hit FROM p GROUP BY 1)
  SELECT query_id, n, round(CASE WHEN hit = 1 THEN list_sum(list_transform(range(1, least(n, 25) + 1), lambda r: 1.0e0 / r)) / n ELSE 0 END, 6) AS expected_rr FROM g""",
     "isomer_accuracy": ident._FUSED
-    + """, g AS (SELECT f.*, d.formula FROM f JOIN candidates d USING (candidate_id) WHERE d.formula IS NOT NULL)
- SELECT a.query_group, count(*) AS n_pairs, round(avg((b.score > a.score)::INT), 6) AS accuracy FROM g a JOIN g b ON a.query_id = b.query_id AND a.formula = b.formula
- AND a.inchikey <> a.true_inchikey AND b.inchikey = b.true_inchikey GROUP BY ROLLUP (a.query_group)""",
+    + """, g AS (SELECT f.*, d.formula FROM f JOIN candidates d USING (candidate_id) WHERE d.formula IS NOT NULL),
+ h AS (SELECT a.query_id, (b.score > a.score)::INT AS ok FROM g a JOIN g b ON a.query_id = b.query_id AND a.formula = b.formula AND a.inchikey <> a.true_inchikey AND b.inchikey = b.true_inchikey)
+ SELECT query_group, count(ok) AS n_pairs, round(avg(ok), 6) AS accuracy FROM q LEFT JOIN h USING (query_id) GROUP BY ROLLUP (query_group)""",
     "isotope_ranking": ident._Q
     + ident._BINS
     + """st AS (SELECT unnest([0.0e0, 1.003354835e0, -1.003354835e0]) AS st),
