@@ -216,8 +216,8 @@ SQL = {
  SELECT query_id, n, round(CASE WHEN hit = 1 THEN list_sum(list_transform(range(1, least(n, 25) + 1), lambda r: 1.0e0 / r)) / n ELSE 0 END, 6) AS expected_rr FROM g""",
     "isomer_accuracy": ident._FUSED
     + """, g AS (SELECT f.*, d.formula FROM f JOIN candidates d USING (candidate_id) WHERE d.formula IS NOT NULL),
- h AS (SELECT a.query_id, (b.score > a.score)::INT AS ok FROM g a JOIN g b ON a.query_id = b.query_id AND a.formula = b.formula AND a.inchikey <> a.true_inchikey AND b.inchikey = b.true_inchikey)
- SELECT query_group, count(ok) AS n_pairs, round(avg(ok), 6) AS accuracy FROM q LEFT JOIN h USING (query_id) GROUP BY ROLLUP (query_group)""",
+ pair AS (SELECT a.query_id, (b.score > a.score)::INT AS ok FROM g a JOIN g b ON a.query_id = b.query_id AND a.formula = b.formula AND a.inchikey <> a.true_inchikey AND b.inchikey = b.true_inchikey)
+ SELECT query_group, count(ok) AS n_pairs, round(avg(ok), 6) AS accuracy FROM q LEFT JOIN pair USING (query_id) GROUP BY ROLLUP (query_group)""",
     "isotope_ranking": ident._Q
     + ident._BINS
     + """st AS (SELECT unnest([0.0e0, 1.003354835e0, -1.003354835e0]) AS st),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from massloom.functions.keys import single_key
 from massloom.functions.settings import known_energy
 from massloom.operators.heavy_keys import per_key_summary
-from massloom.operators.impute import completed, filled_fields, unanimous_fills
+from massloom.operators.impute import completed, filled_fields, held_out_accuracy, unanimous_fills
 from massloom.sources.tables import table
 
 
@@ -49,7 +49,12 @@ def p4_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return completed(table(spark, sf_dir, "train"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_keys, p4_found, p4_fills, p4_completed)}
+def p4_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hidden known values per field: how many the model fills right, and how many the group's commonest value would."""
+    return held_out_accuracy(table(spark, sf_dir, "train"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_keys, p4_found, p4_fills, p4_completed, p4_accuracy)}
 
 _KEYED = r"""
 WITH t AS (SELECT *, list_distinct(regexp_extract_all(upper(inchikey), '\b([A-Z]{14}-[A-Z]{10}-[A-Z])\b', 1)) AS ks FROM train),

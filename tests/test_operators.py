@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from massloom.functions import peaks as pk
 from massloom.operators import bandjoin as bj, ranking as rk, similarity as sim
 from massloom.operators.heavy_keys import heavy_keys, per_key_summary, skew_join
-from massloom.operators.impute import completed, filled_fields, unanimous_fills
+from massloom.operators.impute import completed, filled_fields, held_out_accuracy, unanimous_fills
 
 SCHEMA = "key string, v double, s double, hk_key string, n_rows int, bucket int"
 
@@ -99,6 +99,29 @@ def test_model_fill_beats_chance(spark):
     assert sum(got[i] == v for i, v in held.items()) >= 0.95 * len(held)
 
 
+def test_every_valid_value_can_be_decoded(spark):
+    """2,000 energies, each told by its session: none is lost to another one. Too many values are refused."""
+    rows = [(i, i // 2, None, None, "[M+H]+", "positive", (i // 2 + 1) / 10 if i % 2 else None) for i in range(4000)]
+    got = {r["spectrum_id"]: r["value"] for r in filled_fields(train(spark, rows)).where("field = 'collision_energy'").collect()}
+    assert got == {i: f"{(i // 2 + 1) / 10:.1f}" for i in range(0, 4000, 2)}
+    many = spark.range(20_000).selectExpr("id AS spectrum_id", "id AS session_id", "'x' AS inchikey", "1D AS precursor_mz", "concat('[M+', id, ']+') AS adduct", "'p' AS ionization_mode", "1D AS collision_energy")
+    with pytest.raises(ValueError, match="more than"):
+        filled_fields(many)
+
+
+def test_factors_decide_where_the_group_disagrees(spark):
+    """A session with both modes: the adduct of the record says which one is missing, whatever is commoner."""
+    rng = random.Random(8)
+    rows = [(i, i // 20, None, None, *((("[M+H]+", "positive"), ("[M-H]-", "negative"))[rng.random() < 0.3]), 20.0) for i in range(2000)]
+    held = {i: rows[i][5] for i in range(0, 2000, 5)}
+    rows = [r[:5] + (None,) + r[6:] if r[0] in held else r for r in rows]
+    fills = {r["spectrum_id"]: r for r in filled_fields(train(spark, rows)).where("field = 'ionization_mode'").collect()}
+    open_ones = {i: v for i, v in held.items() if fills[i]["n_values"] == 2}
+    assert len(open_ones) > 350 and sum(fills[i]["value"] == v for i, v in open_ones.items()) >= 0.98 * len(open_ones)
+    by_field = {r["field"]: r for r in held_out_accuracy(train(spark, rows)).collect()}
+    assert by_field["ionization_mode"]["n_model_right"] > by_field["ionization_mode"]["n_commonest_right"]
+
+
 def test_band_join_equals_brute_force(spark):
     rng = random.Random(5)
     masses = [rng.uniform(100, 104) for _ in range(200)] + [None, 101.0]
