@@ -2,8 +2,8 @@
 
 Texts are split into words by the tokenizer's own pattern in Spark. Each slice of texts is written as codes into the
 slice's own list of distinct words; the distinct words of all slices are encoded once, joined back to the slices' lists
-by word, and from there to the texts by position. A word has one row per slice, however often it occurs, so no word is
-hot in that join.
+by word, and from there to the texts by position. A word has one row per slice, however often it occurs; the words that
+occur in most slices are sent to all tasks, so the shuffle carries the others only.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from massloom.session import durable_table
 
 TOKENIZER_DIR = "/opt/tokenizers"
-#: Texts of one slice.
-SLICE = 4000
+#: Texts of one slice, and words of one slice (a longer text is a slice of its own).
+SLICE, SLICE_WORDS = 4000, 2_000_000
+#: Words that are sent to all tasks with their ids: those in most slices.
+FREQUENT = 4096
 
 # The word pattern of the tokenizer, with its white space written out (Java's \s is ASCII only).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -72,7 +74,7 @@ def encode_texts(docs: DataFrame, key: str, text: str, ranks: dict[bytes, int] |
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        for n, b in enumerate(_slices(batches, rows)):
+        for n, b in enumerate(_slices(batches, rows, SLICE_WORDS)):
             words = b.column("words")
             coded = _flat(words).dictionary_encode()
             codes = pa.ListArray.from_arrays(pa.array(_offsets(words), pa.int32()), coded.indices.cast(pa.int32()))
@@ -85,8 +87,11 @@ def encode_texts(docs: DataFrame, key: str, text: str, ranks: dict[bytes, int] |
     split = docs.select(F.col(key).alias("k"), split_words(F.col(text)).alias("words"))
     coded = durable_table(split.mapInArrow(code, f"slice long, k {key_type}, codes array<int>, words array<string>"))
     listed = coded.where("words IS NOT NULL").select("slice", F.posexplode("words").alias("code", "word"))
-    table = encode_words(listed.select("word").distinct(), ranks)  # one row per distinct word
-    by_code = listed.join(table, "word").select(F.col("slice").alias("of"), "code", "ids")
+    table = durable_table(encode_words(listed.groupBy("word").agg(F.count(F.lit(1)).alias("n")), ranks))  # one row per distinct word
+    frequent = F.broadcast(table.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "ids"))
+    marked = listed.join(frequent, "word", "left")
+    rest = marked.where("ids IS NULL").drop("ids").join(table.select("word", "ids"), "word")
+    by_code = marked.where("ids IS NOT NULL").unionByName(rest).select(F.col("slice").alias("of"), "code", "ids")
 
     def join(texts: pa.Table, words: pa.Table) -> pa.Table:
         order = np.argsort(words.column("code").to_numpy())  # a slice's codes run from 0 without gaps
@@ -119,9 +124,17 @@ def _regroup(words: pa.Array, lists: pa.ListArray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(inner[_offsets(words)], pa.int32()), values)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of at most ``rows``, which bounds what a task holds of long texts."""
-    return (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, words: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` and, if given, ``words`` entries of the column ``words`` (or one row), which bounds what a task holds of long texts."""
+    for b in batches:
+        ends = _offsets(b.column("words")) if words else None
+        i = 0
+        while i < b.num_rows:
+            j = min(i + rows, b.num_rows)
+            if ends is not None:
+                j = min(j, max(i + 1, int(np.searchsorted(ends, ends[i] + words, "right")) - 1))
+            yield b.slice(i, j - i)
+            i = j
 
 
 def piece_table(ranks: dict[bytes, int]) -> pa.Array:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from massloom.functions.keys import row_blocks
 from massloom.functions.settings import known_energy
-from massloom.operators.heavy_keys import skew_join
+from massloom.operators.heavy_keys import HEAVY_SHARE, skew_join
 from massloom.session import durable
 
 #: Target shares, in the order in which ties are broken.
@@ -31,28 +31,36 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates two star operations: every node's larger neighbours are linked to its least neighbour, then its smaller
     ones. Each round is two joins on the shrinking set of links, kept durably; the number of rounds grows with the
-    logarithm of the longest chain. Null ends and loops are left out.
+    logarithm of the longest chain. A node with a large share of all links takes its least neighbour by broadcast, so its links
+    stay spread over tasks. Null ends and loops are left out.
     """
     edges = links.where("u IS NOT NULL AND v IS NOT NULL AND u != v")
     edges = durable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
+    state, ends = None, 2 * edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        )
-        edges = durable(small.where("u != v").distinct())
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u"))
+        large = _joined(both.where("v > u"), least, ends).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _joined(large, low, ends).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = durable(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
-        state = now
+        state, ends = now, 2 * now[0]
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _joined(edges: DataFrame, side: DataFrame, ends: int) -> DataFrame:
+    """``edges`` with the ``m`` of their ``u``. Nodes with HEAVY_SHARE of all ``ends`` of links (at most 1 / HEAVY_SHARE nodes) are joined by broadcast."""
+    hub = F.col("n") >= HEAVY_SHARE * ends
+    hubs = F.broadcast(side.where(hub).select("u", F.col("m").alias("hub_m")))
+    marked = edges.join(hubs, "u", "left")
+    rest = marked.where("hub_m IS NULL").select("u", "v").join(side.where(~hub).select("u", "m"), "u")
+    return marked.where("hub_m IS NOT NULL").select("u", "v", F.col("hub_m").alias("m")).unionByName(rest)
+
+
 def block_components(train: DataFrame) -> DataFrame:
     """``node``, ``root`` of the blocks that share a record with another block, directly or through further records."""
     named = train.select(row_blocks(F.col("inchikey"), F.col("inchikey14")).alias("blocks")).where(F.size("blocks") > 1).distinct()
@@ -60,6 +68,13 @@ def block_components(train: DataFrame) -> DataFrame:
     return components(links)
 
 
+def block_entities(train: DataFrame) -> DataFrame:
+    """``block``, ``entity``: every block that a record names, and the least block that must share its split (itself if it is tied to none)."""
+    blocks = train.select(F.explode(row_blocks(F.col("inchikey"), F.col("inchikey14"))).alias("block")).distinct()
+    roots = block_components(train).distinct().withColumnRenamed("node", "block")
+    return blocks.join(roots, "block", "left").select("block", F.coalesce("root", "block").alias("entity"))
+
+
 def difference(weights: np.ndarray, bins: int) -> np.ndarray:
     """The bin (0 to bins - 1) of each weight by largest differencing into nearly equal bins.
 

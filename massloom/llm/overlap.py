@@ -1,45 +1,50 @@
 """Records of evaluation splits whose structure the training split holds, exactly or written in another way.
 
-Every evaluation record is normalised into passages: the first block of its key and the connectivity code of its
-structure. The distinct passages are dealt to shards of bounded size; each shard's Aho-Corasick automaton scans all
-distinct normalised training texts; matched intervals are merged into the coverage of each evaluation record.
+Every evaluation record is normalised into passages: the first block of its key, the connectivity code of its
+structure and that of its ring part. The distinct passages are dealt to shards of bounded size, and an Aho-Corasick automaton
+is made of each; every automaton is sent to the distinct normalised training texts and scans them where they lie. Matched
+intervals are merged into the coverage of each evaluation record.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from massloom.functions.keys import readable_keys, row_blocks
-from massloom.llm.structures import connectivity_code
+from massloom.llm.structures import structure_codes
 from massloom.session import durable_table
 
-#: Passages of one automaton, and training texts that one task scans with it.
-SHARD, CHUNK = 100_000, 200_000
+#: Passages of one automaton, about (which bounds what is sent to the tasks).
+SHARD = 100_000
 #: Normalised texts are short; a training text is the passages of one distinct record, set off from each other.
 START, END = "<", ">"
 
 
 def codes(df: DataFrame, column: str) -> DataFrame:
-    """The distinct notations of ``column`` (null ones left out) and their connectivity ``code`` (null: unreadable)."""
+    """The distinct notations of ``column`` (null ones left out) with the ``code`` of the structure (null: unreadable) and of its ``core`` (null: no rings)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = pa.array([connectivity_code(t) for t in b.column(0).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), found], names=[column, "code"])
+            found = [structure_codes(t) or (None, None) for t in b.column(0).to_pylist()]
+            parts = [pa.array([x[i] for x in found], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *parts], names=[column, "code", "core"])
 
     distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
     # Short texts, long work: adaptive execution would put megabytes of them into one task.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return distinct.repartition(tasks, F.xxhash64(column)).mapInArrow(read, f"{column} string, code string")
+    return distinct.repartition(tasks, F.xxhash64(column)).mapInArrow(read, f"{column} string, code string, core string")
 
 
-def _passages(blocks: Column, code: Column) -> Column:
-    """The passages of a record: ``<k:BLOCK>`` for each block, ``<s:code>`` for the structure."""
+def _passages(blocks: Column, code: Column, core: Column) -> Column:
+    """The passages of a record: ``<k:BLOCK>`` for each block, ``<s:code>`` for the structure, ``<r:core>`` for its ring part."""
     mark = lambda kind: lambda x: F.concat(F.lit(f"{START}{kind}:"), x, F.lit(END))
-    return F.concat(F.transform(blocks, mark("k")), F.transform(F.array_compact(F.array(code)), mark("s")))
+    one = lambda kind, c: F.transform(F.array_compact(F.array(c)), mark(kind))
+    return F.concat(F.transform(blocks, mark("k")), one("s", code), one("r", core))
 
 
 def training_texts(train: DataFrame) -> DataFrame:
@@ -49,7 +54,7 @@ def training_texts(train: DataFrame) -> DataFrame:
     ).distinct()
     distinct = durable_table(distinct)
     coded = distinct.join(codes(distinct, "notation"), "notation", "left")
-    text = F.array_join(_passages(F.col("blocks"), F.col("code")), "")
+    text = F.array_join(_passages(F.col("blocks"), F.col("code"), F.col("core")), "")
     return coded.select(text.alias("text")).where("text != ''").distinct()
 
 
@@ -57,44 +62,51 @@ def evaluation_passages(external: DataFrame) -> DataFrame:
     """``split``, ``source_library``, ``spectrum_id``, ``text`` and ``passages`` (with their place in the text)."""
     blocks = F.array_distinct(F.transform(readable_keys(F.col("inchikey")), lambda k: F.substring(k, 1, 14)))
     ext = external.select("split", "source_library", "spectrum_id", F.col("canonical_smiles").alias("notation"), blocks.alias("blocks"))
-    coded = ext.join(codes(ext, "notation"), "notation", "left").withColumn("passages", _passages(F.col("blocks"), F.col("code")))
+    coded = ext.join(codes(ext, "notation"), "notation", "left").withColumn("passages", _passages(F.col("blocks"), F.col("code"), F.col("core")))
     return coded.select("split", "source_library", "spectrum_id", "passages")
 
 
-def scan(passages: DataFrame, texts: DataFrame) -> DataFrame:
-    """The distinct ``passage`` values that occur in a ``text``, each shard of passages scanning all texts."""
-    n_passages, n_texts = passages.count(), texts.count()
-    shards, chunks = -(-n_passages // SHARD) or 1, -(-n_texts // CHUNK) or 1
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = passages.select(
-        "passage", F.pmod(F.xxhash64("passage"), F.lit(shards)).cast("int").alias("shard"), every(chunks).alias("chunk")
-    )
-    read = texts.select(
-        "text", F.pmod(F.xxhash64("text"), F.lit(chunks)).cast("int").alias("chunk"), every(shards).alias("shard")
-    )
+def automata(passages: DataFrame) -> DataFrame:
+    """``shard``, ``automaton``: a pickled automaton for each shard of about SHARD of the distinct values of ``passage``."""
+    shards = -(-passages.count() // SHARD) or 1
 
-    def find(needles: pa.Table, hay: pa.Table) -> pa.Table:
+    def build(t: pa.Table) -> pa.Table:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        for p in needles.column("passage").to_pylist():
+        for p in t.column("passage").to_pylist():
             automaton.add_word(p, p)
-        found: set[str] = set()
-        if len(automaton):
-            automaton.make_automaton()
-            for t in hay.column("text").to_pylist():
-                found.update(p for _, p in automaton.iter(t))
-        return pa.table({"passage": pa.array(sorted(found), pa.string())})
+        automaton.make_automaton()
+        return pa.table({"shard": t.column("shard").slice(0, 1), "automaton": pa.array([pickle.dumps(automaton)], pa.binary())})
+
+    dealt = passages.withColumn("shard", F.pmod(F.xxhash64("passage"), F.lit(shards)).cast("int"))
+    return dealt.groupBy("shard").applyInArrow(build, "shard int, automaton binary")
+
+
+def scan(passages: DataFrame, texts: DataFrame) -> DataFrame:
+    """The distinct values of ``passage`` that occur in a ``text``: each shard's automaton is sent to all texts, which stay where they are."""
+    built = durable_table(automata(passages))
+    found = None
+    for shard in sorted(r["shard"] for r in built.select("shard").collect()):  # a number for each SHARD passages
+        sent = texts.sparkSession.sparkContext.broadcast(built.where(F.col("shard") == shard).first()["automaton"])
+
+        def find(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            automaton, seen = pickle.loads(sent.value), set()
+            for b in batches:
+                new = {p for t in b.column("text").to_pylist() for _, p in automaton.iter(t)} - seen
+                seen |= new  # at most the passages of the shard
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(new), pa.string())], names=["passage"])
 
-    together = dealt.groupBy("shard", "chunk").cogroup(read.groupBy("shard", "chunk"))
-    return together.applyInArrow(find, "passage string").distinct()
+        hits = texts.select("text").mapInArrow(find, "passage string")
+        found = hits if found is None else found.unionByName(hits)
+    return (passages.limit(0) if found is None else found).distinct()
 
 
 def overlaps(external: DataFrame, train: DataFrame) -> DataFrame:
-    """Evaluation records with a part that training holds: ids, ``by_key``, ``by_structure`` and ``coverage``.
+    """Evaluation records with a part that training holds: ids, ``by_key``, ``by_structure``, ``by_rings`` and ``coverage``.
 
-    ``coverage`` is the share of the record's normalised text under the merged matched intervals; a record overlaps if a
-    whole passage (its key block or its structure) is matched. Records in which neither structure nor key can be read
+    ``coverage`` is the share of the record's normalised text under the merged matched intervals. A record is the same as
+    one in training if its key block or its structure is matched, and near to one if only its ring part is. Records in which neither structure nor key can be read
     have no passage and never overlap. Nulls in any column are allowed; repeated rows come out as often as they occur;
     empty tables give an empty result.
     """
@@ -113,6 +125,7 @@ def overlaps(external: DataFrame, train: DataFrame) -> DataFrame:
         F.first(whole).alias("length"),
         F.max(F.col("passage").startswith(f"{START}k:")).alias("by_key"),
         F.max(F.col("passage").startswith(f"{START}s:")).alias("by_structure"),
+        F.max(F.col("passage").startswith(f"{START}r:")).alias("by_rings"),
         F.array_sort(F.collect_list(F.struct(F.col("start").alias("a"), (F.col("start") + F.length("passage")).alias("b")))).alias("at"),
     )
     # Intervals in order: each adds what reaches beyond the furthest end so far (a record has a few passages).
@@ -126,17 +139,20 @@ def overlaps(external: DataFrame, train: DataFrame) -> DataFrame:
         lambda s: s["covered"],
     )
     return per_record.select(
-        "split", "source_library", "spectrum_id", "by_key", "by_structure", F.round(merged / F.col("length"), 4).alias("coverage")
+        "split", "source_library", "spectrum_id", "by_key", "by_structure", "by_rings", F.round(merged / F.col("length"), 4).alias("coverage")
     )
 
 
 def overlap_report(external: DataFrame, train: DataFrame) -> DataFrame:
-    """Per split and source: records, overlapping records, and how they were found."""
+    """Per split and source: records, records that training holds, how they were found, and records that only share a ring part."""
+    same = F.col("by_key") | F.col("by_structure")
     found = overlaps(external, train).groupBy("split", "source_library").agg(
-        F.count(F.lit(1)).alias("n_overlap"),
+        F.count_if(same).alias("n_overlap"),
         F.count_if("by_key").alias("n_by_key"),
         F.count_if("by_structure").alias("n_by_structure"),
+        F.count_if(~same).alias("n_near"),
     )
     every = external.groupBy("split", "source_library").agg(F.count(F.lit(1)).alias("n_records"))
     joined = every.join(found, ["split", "source_library"], "left")
-    return joined.select("split", "source_library", "n_records", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_overlap", "n_by_key", "n_by_structure")))
+    counts = ("n_overlap", "n_by_key", "n_by_structure", "n_near")
+    return joined.select("split", "source_library", "n_records", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from massloom.llm.encode import decode_ids, encode_texts
-from massloom.llm.group_split import split_records, tied_blocks
+from massloom.llm.group_split import block_entities, split_records, tied_blocks
 from massloom.llm.neighbours import neighbours
 from massloom.llm.overlap import overlap_report, overlaps
 from massloom.llm.pack import CAPACITY, pack
-from massloom.llm.skeleton import same_look_pairs, with_skeleton
+from massloom.llm.skeleton import same_look_classes, same_look_pairs, with_skeleton
 from massloom.sources.tables import table
 
 
@@ -35,7 +35,7 @@ def p2_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evaluation records whose structure occurs in train."""
-    return p3_overlaps(spark, sf_dir).select("split", "source_library", "spectrum_id")
+    return p3_overlaps(spark, sf_dir).where("by_key OR by_structure").select("split", "source_library", "spectrum_id")
 
 
 def p3_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tied_blocks(table(spark, sf_dir, "train"))
 
 
+def p5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every short key and the entity that it belongs to: membership instead of pairs."""
+    return block_entities(table(spark, sf_dir, "train"))
+
+
 def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The split of every spectrum."""
     return split_records(table(spark, sf_dir, "train"))
@@ -104,14 +109,29 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with a visible character and its class of equal look: membership instead of pairs."""
+    return same_look_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text in the consistent form."""
     return with_skeleton(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "skeleton")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_knn, p3_found, p3_overlaps, p3_report, p5_found, p5_splits, p5_shares, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found, p8_forms)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_knn, p3_found, p3_overlaps, p3_report, p5_found, p5_blocks, p5_splits, p5_shares, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found, p8_classes, p8_forms)}
+
+_BLOCKS = r"""WITH RECURSIVE b AS (SELECT spectrum_id, list_distinct(list_concat(list_transform(regexp_extract_all(upper(inchikey), '\b([A-Z]{14}-[A-Z]{10}-[A-Z])\b', 1), lambda k: left(k, 14)),
+  CASE WHEN regexp_matches(upper(inchikey14), '^\s*([A-Z][A-Z0-9 ]*[=:]\s*)?[A-Z]{14}\s*$') THEN [regexp_extract(upper(inchikey14), '([A-Z]{14})\s*$', 1)] ELSE [] END)) AS bs FROM train),
+ n AS (SELECT DISTINCT unnest(bs) AS block FROM b),
+ l AS (SELECT DISTINCT x.block AS u, y.block AS v FROM (SELECT spectrum_id, unnest(bs) AS block FROM b WHERE len(bs) > 1) x JOIN (SELECT spectrum_id, unnest(bs) AS block FROM b WHERE len(bs) > 1) y
+  USING (spectrum_id) WHERE x.block <> y.block),
+ reach(u, v) AS (SELECT u, v FROM l UNION SELECT reach.u, l.v FROM reach JOIN l ON reach.v = l.u)
+"""
 
 SQL = {
+    "p5_found": _BLOCKS + "SELECT u AS block_a, v AS block_b FROM reach WHERE u < v",
+    "p5_blocks": _BLOCKS + "SELECT block, coalesce(least(block, min(v)), block) AS entity FROM n LEFT JOIN reach ON u = block GROUP BY block",
     "p2_found": """WITH p AS (SELECT spectrum_id, floor(unnest(ms2_mzs))::INT AS d, unnest(ms2_intensities) AS i FROM train
   WHERE len(ms2_mzs) = len(ms2_intensities) AND len(ms2_mzs) > 0),
  v AS (SELECT spectrum_id, d, sum(i) AS x FROM p GROUP BY 1, 2), n AS (SELECT spectrum_id, sqrt(sum(x * x)) AS n FROM v GROUP BY 1),

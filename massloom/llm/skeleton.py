@@ -9,31 +9,46 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from massloom.operators.heavy_keys import skew_join
 from massloom.session import durable_table
 
-# Letters of other alphabets and the letter they look like, in the order of the alphabets.
-LOOK_ALIKES = dict(
-    zip(
-        "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "νορϲϳ" "ЅІЈАВЕКМНОРСТХҮӀԚԜ" "аеорсухѕіјһӏԁԛԝү" "ՕՏօ" "µ",
-        "ABEZHIKMNOPTYX" "vopcj" "SIJABEKMHOPCTXYlQW" "aeopcyxsijhldqwy" "OSo" "μ",
-        strict=True,
+# Letters and the letter they look like, by alphabet, in the order of the alphabets.
+LOOK_ALIKES = {
+    ord(a): b
+    for letters, prototypes in (
+        ("ıɑɡɩɪʏᴄᴏᴜᴠᴡᴢꜱƽ", "iagiiycouvwzss"),  # Latin
+        ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿϺ", "ABEZHIKMNOPTYXCJM"),  # Greek
+        ("αγινορσυϲϳ", "ayivopoucj"),
+        ("ЅІЈАВЕКМНОРСТУХҮӀԌԚԜѴ", "SIJABEKMHOPCTYXYlGQWV"),  # Cyrillic
+        ("аеорсухѕіјһӏԁԛԝүѵ", "aeopcyxsijhldqwyv"),
+        ("ՕՏՍ", "OSU"),  # Armenian
+        ("գզհոռսցքօ", "qqhnnugfo"),
+        ("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏃᏒᏔᏚᏙᏕᏞᏟᏢᏦᏧᏴ", "DRTiAJEWMHYGZRWSVSLCPKdB"),  # Cherokee
+        ("ⲎⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "HKMNOPCTYXopc"),  # Coptic
+        ("ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPdDTGKJCZFMNLSRVHWXYAElOU"),  # Lisu
+        ("µ", "μ"),
     )
-)
+    for a, b in zip(letters, prototypes, strict=True)
+}
+#: Code points that may be replaced: all but the ideographs and syllables, which have no form of another character here.
+RANGES = ((0x80, 0x3400), (0xA000, 0xAC00), (0xF900, 0x1F800), (0xE0000, 0xE0200))
 
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[dict[int, str | None], dict[int, str | None]]:
     """What is replaced before and after decomposition, by rule from the character database and the table above.
 
-    Wide, narrow and no-break forms become what they are a form of; blanks of every kind become the plain blank; line
-    ends become the line feed; characters that print nothing go.
+    Wide, narrow, no-break and font forms become what they are a form of, and so do letters and letter numbers that are made of
+    plain letters (ligatures, Roman numerals); raised, lowered and circled forms stay. Blanks of every kind become the plain
+    blank; line ends become the line feed; characters that print nothing go.
     """
     first: dict[int, str | None] = {}
-    for cp in [*range(0x80, 0x3400), *range(0xA000, 0xABFF), *range(0xF900, 0x10000), *range(0xE0000, 0xE0200)]:
+    for cp in (c for lo, hi in RANGES for c in range(lo, hi)):
         ch = chr(cp)
         tag = unicodedata.decomposition(ch).partition(" ")[0]
         kind = unicodedata.category(ch)
-        if tag in ("<wide>", "<narrow>", "<noBreak>"):
+        whole = unicodedata.normalize("NFKC", ch) if tag == "<compat>" and kind[0] in "LN" else ""
+        if tag in ("<wide>", "<narrow>", "<noBreak>", "<font>") or (whole.isascii() and whole.isalpha()):
             first[cp] = unicodedata.normalize("NFKC", ch)
         if kind == "Zs":
             first[cp] = " "
@@ -46,7 +61,7 @@ def _tables() -> tuple[dict[int, str | None], dict[int, str | None]]:
     for cp in (*range(0x20), 0x7F):
         first[cp] = None
     first |= {0x09: " ", 0x0A: "\n", 0x0D: "\n", 0x85: "\n"}
-    return first, {ord(a): b for a, b in LOOK_ALIKES.items()}
+    return first, LOOK_ALIKES
 
 
 def skeleton(text: str) -> str:
@@ -98,6 +113,18 @@ def same_look_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def same_look_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, ``class_id``, ``n_texts``, ``n_forms``: the least key among the texts of a look, how many there are and in how many forms.
+
+    A row for each text with a visible character, copies too; nothing is expanded into pairs. A look that many texts have is
+    joined by broadcast, so it's left to no single task. Null keys come out, but name no class if another key is there.
+    """
+    groups = durable_table(same_look_groups(docs, key, text).withColumn("look", F.hex("look")))
+    forms = groups.groupBy("look", "form").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n"))  # combined before the shuffle
+    looks = forms.groupBy("look").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_texts"), F.count(F.lit(1)).alias("n_forms"))
+    return skew_join(groups.select(key, "look"), looks, "look").select(key, "class_id", "n_texts", "n_forms")
+
+
 def same_look_pairs(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``a`` < ``b``: the pairs of texts that look the same but are not the same characters.
 

@@ -6,9 +6,10 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from massloom.llm import group_split as gs, neighbours as nb, overlap
-from massloom.llm.structures import connectivity_code
+from massloom.llm.structures import connectivity_code, structure_codes
 
 SPECTRA = "spectrum_id long, m array<double>, x array<double>, id string, dims int"
 
@@ -120,6 +121,60 @@ def test_connectivity_code():
     assert [connectivity_code(s) for s in (None, "", "  ", "N/A", "C1CC", "C(C", "C)", "?")] == [None] * 8
 
 
+ALIKE = [  # pairs that refinement alone can't tell apart
+    ("C1CCC2CCCCC2C1", "C1CCC(C1)C1CCCC1"), ("C1CC1C1CC1", "C1CCCCC1"), ("C12C3C4C1C5C2C3C45", "C12C3C1C4C2C5C3C45"), ("C1CCCCC1.C1CCCCC1", "C1CCCCCCCCCCC1"),
+    ("OC1CCC2CCCCC2C1", "OC1CCC(C1)C1CCCC1"),
+]
+
+
+def shuffled(smiles, seed):
+    """The structure written anew: another order of atoms and bonds, rings opened elsewhere."""
+    from massloom.llm.structures import read_graph
+
+    atoms, bonds, _ = read_graph(smiles)
+    rng = random.Random(seed)
+    near = {i: [] for i in range(len(atoms))}
+    for a, b, o in bonds:
+        near[a].append((b, o))
+        near[b].append((a, o))
+    for n in near.values():
+        rng.shuffle(n)
+    mark = {1: "", 2: "=", 3: "#"}
+    seen, used, closing = set(), set(), {i: [] for i in near}
+
+    def tree(i, came):
+        seen.add(i)
+        kids = []
+        for j, o in near[i]:
+            if j == came or frozenset((i, j)) in used:
+                continue
+            used.add(frozenset((i, j)))
+            if j in seen:
+                number = len([1 for x in closing.values() for _ in x]) // 2 + 10
+                closing[i].append(f"{mark[o]}%{number}")
+                closing[j].append(f"{mark[o]}%{number}")
+            else:
+                kids.append((tree(j, i), o))
+        return i, kids
+
+    def text(node):
+        i, kids = node
+        parts = [mark[o] + text(k) for k, o in kids]
+        return atoms[i] + "".join(closing[i]) + "".join(f"({p})" for p in parts[:-1]) + (parts[-1] if parts else "")
+
+    return text(tree(rng.randrange(len(atoms)), -1))
+
+
+def test_codes_are_canonical():
+    for a, b in ALIKE:
+        assert connectivity_code(a) != connectivity_code(b) or "." in a
+        assert len({connectivity_code(shuffled(a.split(".")[0], s)) for s in range(8)}) == 1
+    for s in [*SAME[:1], *OTHER, "CC1(C)C2CCC1(C)C(=O)C2", "C1CC2CCC1C2N1C=CC2=CC=CC=C21", "C(C1CCCCC1)(C1CCCCC1)(C1CCCCC1)C1CCCCC1"]:
+        assert {connectivity_code(shuffled(s, k)) for k in range(8)} == {connectivity_code(s)}
+    assert connectivity_code("CCO") == "7921fbcb843755023e14dbea"  # the digest is fixed
+    assert structure_codes("CCO")[1] is None and structure_codes("OC1CCCCC1CC")[1] == structure_codes("C1CCCCC1")[1]
+
+
 K = "ABCDEFGHIJKLMN-UHFFFAOYSA-N"
 EXT = "split string, source_library string, spectrum_id string, inchikey string, canonical_smiles string, text string"
 TRAIN = "spectrum_id long, inchikey string, inchikey14 string, normalized_smiles string, collision_energy double, code string"
@@ -133,13 +188,19 @@ def test_overlaps(spark, monkeypatch):
     tr = [(1, None, "abcdefghijklmn", None, None), (2, f"{K} | QQQDEFGHIJKLMN-UHFFFAOYSA-N", None, "N/A", 1.0), (3, None, None, SAME[0], 1.0), (4, "", "", "", None)]
     e = spark.createDataFrame([(*r, "t") for r in ext], EXT)
     t = spark.createDataFrame([(*r, "c") for r in tr], TRAIN)
-    got = {r["spectrum_id"]: (r["by_key"], r["by_structure"], r["coverage"]) for r in overlap.overlaps(e, t).collect()}
+    found = {r["spectrum_id"]: r for r in overlap.overlaps(e, t).collect()}
+    got = {k: (r["by_key"], r["by_structure"], r["coverage"]) for k, r in found.items() if r["by_key"] or r["by_structure"]}
     assert got == {"e1": (True, False, 1.0), "e2": (False, True, 1.0), "e6": (True, True, 1.0), "e7": (False, True, 1.0)}
+    near = {k: (r["by_rings"], r["coverage"]) for k, r in found.items() if k not in got}
+    assert near == {}
+    rings = spark.createDataFrame([(6, None, None, "OC1CCCCC1", 1.0, "c")], TRAIN)
+    other = e.where("spectrum_id = 'e1'").withColumns({"canonical_smiles": F.lit("CC1CCCCC1"), "inchikey": F.lit(None).cast("string")})
+    part = overlap.overlaps(other, rings).collect()
+    assert len(part) == 1 and part[0]["by_rings"] and not part[0]["by_structure"] and part[0]["coverage"] == 0.5
     report = {(r["split"], r["source_library"]): (r["n_records"], r["n_overlap"]) for r in overlap.overlap_report(e.where("source_library IS NOT NULL"), t).collect()}
     assert report == {("test", "A"): (3, 2), ("validation", "B"): (1, 0), ("test", "B"): (2, 0), ("validation", "A"): (1, 1)}
     monkeypatch.setattr(overlap, "SHARD", 1)
-    monkeypatch.setattr(overlap, "CHUNK", 1)
-    assert {r["spectrum_id"] for r in overlap.overlaps(e, t).collect()} == set(got)
+    assert {r["spectrum_id"] for r in overlap.overlaps(e, t).collect()} == set(found)
     assert overlap.overlaps(e.limit(0), t).count() == 0 and overlap.overlaps(e, t.limit(0)).count() == 0
 
 
@@ -176,6 +237,20 @@ def test_long_chain_is_one_component(spark):
     assert {r for n, r in got.items() if n[0] == "n"} == {"n000"} and len(got) == 63 and got["z"] == "y"
 
 
+def test_hub_is_one_component(spark):
+    """A node with most links, and a chain from it."""
+    links = [("hub", f"leaf{i:04d}") for i in range(1500)] + [(f"leaf{i:04d}", f"next{i:04d}") for i in range(0, 300)] + [("x", "y"), (None, "z"), ("q", "q")]
+    got = {r["node"]: r["root"] for r in gs.components(spark.createDataFrame(links, "u string, v string")).collect()}
+    assert len(got) == 1 + 1500 + 300 + 2 and {v for k, v in got.items() if k not in ("x", "y")} == {"hub"} and got["y"] == got["x"] == "x"
+
+
+def test_block_entities(spark):
+    rows = [(1, f"{key('A')} | {key('B')}", None, None), (2, key("B"), "C" * 14, 1.0), (3, key("D"), None, 1.0), (4, None, None, None)]
+    df = spark.createDataFrame(rows, "spectrum_id long, inchikey string, inchikey14 string, collision_energy double")
+    got = {r["block"][0]: r["entity"][0] for r in gs.block_entities(df).collect()}
+    assert got == {"A": "A", "B": "A", "C": "A", "D": "D"} and gs.block_entities(df.limit(0)).count() == 0
+
+
 def test_differencing_makes_equal_bins():
     rng = np.random.default_rng(1)
     w = rng.integers(1, 50, 3000).astype(float)

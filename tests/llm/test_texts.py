@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from massloom.llm import encode as enc
 from massloom.llm.pack import CAPACITY, OpenBins, pack
-from massloom.llm.skeleton import same_look_pairs, skeleton, skeletons, with_skeleton
+from massloom.llm.skeleton import LOOK_ALIKES, same_look_classes, same_look_pairs, skeleton, skeletons, with_skeleton
 
 VOCABULARY = Path(enc.TOKENIZER_DIR, "byte_bpe_50k.json")
 TEXTS = [
@@ -30,9 +30,11 @@ def exact(texts):
 
 
 @pytest.mark.skipif(not VOCABULARY.exists(), reason="no tokenizer files here")
-@pytest.mark.parametrize("rows", [enc.SLICE, 3])
-def test_ids_equal_the_tokenizer(spark, monkeypatch, rows):
+@pytest.mark.parametrize(("rows", "words", "frequent"), [(enc.SLICE, enc.SLICE_WORDS, enc.FREQUENT), (3, enc.SLICE_WORDS, 2), (enc.SLICE, 4, 0)])
+def test_ids_equal_the_tokenizer(spark, monkeypatch, rows, words, frequent):
     monkeypatch.setattr(enc, "SLICE", rows)  # 3: several slices in a task, some without a word
+    monkeypatch.setattr(enc, "SLICE_WORDS", words)  # 4: most texts are longer than a slice
+    monkeypatch.setattr(enc, "FREQUENT", frequent)
     texts = TEXTS + ["the same words again and again the same words", TEXTS[4]]
     got = {r["doc_id"]: list(r["ids"]) for r in enc.encode_texts(documents(spark, texts), "doc_id", "text").collect()}
     assert got == exact(texts)
@@ -103,6 +105,23 @@ def test_different_look(a, b):
     assert skeleton(a) != skeleton(b)
 
 
+PROTOTYPES = {"𝐀": "A", "ℂ": "C", "ℓ": "l", "Ⅰ": "I", "ⅳ": "iv", "Ꭺ": "A", "ι": "i", "υ": "u", "γ": "y", "σ": "o", "ɑ": "a", "ɡ": "g", "ı": "i", "ѵ": "v", "ո": "n", "ս": "u", "ց": "g",
+              "հ": "h", "Ϲ": "C", "Ϳ": "J", "𝟎": "0", "𝛂": "a", "ꓐ": "B", "ﬁ": "fi"}
+
+
+def test_prototypes():
+    assert {c: skeleton(c) for c in PROTOTYPES} == PROTOTYPES and len(LOOK_ALIKES) < 200
+    assert [skeleton(c) for c in "²ª①₂☎"] == list("²ª①₂☎") and skeleton("a\U000e0061b") == "ab"
+
+
+def test_same_look_classes(spark):
+    texts = ["a b", "a b", "а b", None, "", " ", "other", "A b"]
+    docs = documents(spark, texts)
+    got = sorted(map(tuple, same_look_classes(docs, "doc_id", "text").collect()))
+    assert got == [(0, 0, 3, 2), (1, 0, 3, 2), (2, 0, 3, 2), (6, 6, 1, 1), (7, 7, 1, 1)]
+    assert same_look_classes(docs.limit(0), "doc_id", "text").count() == 0
+
+
 def test_same_look_pairs(spark):
     texts = ["a b", "a b", "a b", "а b", None, "", " ", "​", "A b", "alone"]
     got = sorted(map(tuple, same_look_pairs(documents(spark, texts), "doc_id", "text").collect()))
