@@ -12,22 +12,32 @@ from pyspark.sql import Column, DataFrame, functions as F
 from massloom.functions.peaks import fine_bin
 
 
-def binned(spectra: DataFrame, key: str, ps: str, neighbours: bool = False) -> DataFrame:
-    """``key``, ``bin``, ``v``: intensities at unit length summed per fine bin; with ``neighbours`` also one bin to each side."""
-    lengths = spectra.select(key, ps, _length(F.col(ps)).alias("length")).where("length > 0")  # once per spectrum, not per peak
-    rows = lengths.select(key, F.explode(ps).alias("p"), "length")
-    rows = rows.select(key, fine_bin(F.col("p.mz")).alias("bin"), (F.col("p.i") / F.col("length")).alias("v"))
+def binned(spectra: DataFrame, key: str, ps: str, *carried: str, neighbours: bool = False) -> DataFrame:
+    """``key``, ``carried``, ``bin``, ``v``: intensities at unit length summed per fine bin; with ``neighbours`` also one bin to each side.
+
+    ``carried`` columns belong to the spectrum and go with each of its bins.
+    """
+    lengths = spectra.select(key, *carried, ps, _length(F.col(ps)).alias("length")).where("length > 0")  # once per spectrum, not per peak
+    rows = lengths.select(key, *carried, F.explode(ps).alias("p"), "length")
+    rows = rows.select(key, *carried, fine_bin(F.col("p.mz")).alias("bin"), (F.col("p.i") / F.col("length")).alias("v"))
     rows = rows.where("bin IS NOT NULL")
     if neighbours:
         rows = rows.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1))).where("bin >= 0 AND bin < 148000")
-    return rows.groupBy(key, "bin").agg(F.sum("v").alias("v"))
+    return rows.groupBy(key, *carried, "bin").agg(F.sum("v").alias("v"))
+
+
+def asked_buckets(queries: DataFrame, lo: Column, hi: Column, width: float) -> DataFrame:
+    """``queries`` with the mass window ``lo`` to ``hi`` and a row for each mass ``bucket`` that it touches; queries without a window are left out."""
+    windows = queries.withColumns({"lo": lo, "hi": hi}).where("lo <= hi")
+    return windows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+
 
+def bins_met(queries: DataFrame, library: DataFrame, mass: str) -> DataFrame:
+    """Bins that a query (``lo``, ``hi``, ``bucket``, ``bin``, ``vq``) shares with a spectrum (``bucket``, ``bin``, ``v``) whose mass is in its window.
 
-def sparse_cosine(queries: DataFrame, library: DataFrame, query_key: str, library_key: str) -> DataFrame:
-    """``query_key``, ``library_key``, ``cosine`` of all pairs that share a bin (inputs as ``binned`` makes them)."""
-    q = queries.select(query_key, "bin", F.col("v").alias("vq"))
-    pairs = q.join(library.select(library_key, "bin", "v"), "bin")
-    return pairs.groupBy(query_key, library_key).agg(F.sum(F.col("vq") * F.col("v")).alias("cosine"))
+    Mass bucket and bin are one join key, so only spectra of near mass meet; a spectrum has one bucket, so each shared bin comes once.
+    """
+    return queries.join(library, ["bucket", "bin"]).where(F.col(mass).between(F.col("lo"), F.col("hi")))
 
 
 def _length(ps: Column) -> Column:
@@ -50,16 +60,21 @@ def modified_cosine(q: Column, r: Column, delta: Column, within: float = 0.01) -
     return F.greatest(matched_cosine(q, r, F.lit(0.0), within), matched_cosine(q, r, delta, within), matched_cosine(q, r, -delta, within))
 
 
+def entropy_gain(a: Column, b: Column) -> Column:
+    """f(a + b) - f(a) - f(b) with f(x) = x ln x: what a bin with the shares a and b adds to the similarity, times ln 4."""
+    f = lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
+    return f(a + b) - f(a) - f(b)
+
+
 def binned_entropy_similarity(queries: DataFrame, library: DataFrame, query_key: str, library_key: str) -> DataFrame:
     """``query_key``, ``library_key``, ``similarity``: 1 - (2 S(AB) - S(A) - S(B)) / ln 4 over shared bins, from sums only.
 
     With shares a and b that each sum to 1, all bins that aren't shared add up to what the shared ones leave, so the
     similarity is the sum over shared bins of f(a + b) - f(a) - f(b), f(x) = x ln x, over ln 4.
     """
-    f = lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
     share = lambda df, key, name: df.groupBy(key, "bin").agg(F.sum("v").alias(name))
     a, b = share(queries, query_key, "a"), share(library, library_key, "b")
-    gain = f(F.col("a") + F.col("b")) - f(F.col("a")) - f(F.col("b"))
+    gain = entropy_gain(F.col("a"), F.col("b"))
     return a.join(b, "bin").groupBy(query_key, library_key).agg((F.sum(gain) / F.log(F.lit(4.0))).alias("similarity"))
 
 

@@ -7,10 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from massloom.functions import chem
 from massloom.functions.keys import readable_keys, single_key
 from massloom.functions.settings import known_energy
-from massloom.operators import bandjoin as bj, ranking as rk, similarity as sim
+from massloom.operators import bandjoin as bj, ranking as rk
 from massloom.operators.dedup import best_per_group
 from massloom.plans import identification as ident
-from massloom.session import durable_table
 from massloom.sources.tables import table
 
 # When evidence is full (matched peaks, supporting spectra), the decay over energies, the share of an
@@ -24,13 +23,10 @@ WEIGHTS, BOOST = (0.6, 0.15, 0.1, 0.15), 4.5
 
 def spectrum_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per query and library spectrum of near mass: cosine, shared bins, and the gap between the energies."""
-    q, lib = ident.queries_with_mass(spark, sf_dir), ident.library(spark, sf_dir)
-    pairs = durable_table(ident._eligible(q.drop("qps"), lib.drop("ps")).select("query_id", "spectrum_id", "inchikey", "energy", "lib_energy"))
-    seen = lib.select("spectrum_id", "ps").join(pairs.select("spectrum_id").distinct(), "spectrum_id", "left_semi")
-    a = sim.binned(q, "query_id", "qps").withColumnRenamed("v", "vq")
-    met = a.join(sim.binned(seen, "spectrum_id", "ps"), "bin").groupBy("query_id", "spectrum_id")
-    met = met.agg(F.round(F.sum(F.col("vq") * F.col("v")), 9).alias("cosine"), F.count(F.lit(1)).alias("n_matched"))
-    return met.join(pairs, ["query_id", "spectrum_id"]).withColumn("energy_gap", F.abs(F.col("energy") - F.col("lib_energy")))
+    met = ident.near_bins(ident.queries_with_mass(spark, sf_dir), ident.library(spark, sf_dir))
+    hits = met.groupBy("query_id", "spectrum_id", "inchikey", "energy", "lib_energy")
+    hits = hits.agg(F.round(F.sum(F.col("vq") * F.col("v")), 9).alias("cosine"), F.count(F.lit(1)).alias("n_matched"))
+    return hits.withColumn("energy_gap", F.abs(F.col("energy") - F.col("lib_energy")))
 
 
 def evidence_score(cosine: Column, matched: Column, gap: Column, supporting: Column, sources: Column) -> Column:

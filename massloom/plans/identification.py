@@ -8,7 +8,6 @@ from massloom.functions import chem, peaks as pk
 from massloom.functions.keys import single_key
 from massloom.functions.settings import known_adduct, known_energy
 from massloom.operators import bandjoin as bj, ranking as rk, similarity as sim
-from massloom.session import durable_table
 from massloom.sources.tables import table
 
 HITS = 80
@@ -132,17 +131,27 @@ def _eligible(q: DataFrame, lib: DataFrame, ppm: float = 20.0) -> DataFrame:
     return pairs.where("sgn = lib_sgn AND spectrum_id != source_spectrum_id")
 
 
-def direct_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per query and molecule: the best fine-bin cosine among library spectra of near mass.
+#: Widths (Da) of the mass buckets in which spectra meet: for near masses, and for analogs.
+NEAR_WIDTH, ANALOG_WITHIN = 0.5, 200.0
 
-    The pairs that may meet are found by mass first and kept as ids; only their library spectra are binned (semi-join).
-    Spectra then meet on bins: few pairs share a bin of 0.01 Da, so this moves less than spreading every pair over its bins.
-    """
-    q, lib = queries_with_mass(spark, sf_dir), library(spark, sf_dir)
-    pairs = durable_table(_eligible(q.drop("qps"), lib.drop("ps")).select("query_id", "spectrum_id", "inchikey"))
-    seen = lib.select("spectrum_id", "ps").join(pairs.select("spectrum_id").distinct(), "spectrum_id", "left_semi")
-    cosines = sim.sparse_cosine(sim.binned(q, "query_id", "qps"), sim.binned(seen, "spectrum_id", "ps"), "query_id", "spectrum_id")
-    return cosines.join(pairs, ["query_id", "spectrum_id"]).groupBy("query_id", "inchikey").agg(F.max("cosine").alias("direct"))
+
+def near_bins(q: DataFrame, lib: DataFrame) -> DataFrame:
+    """``query_id``, ``spectrum_id``, what both carry, and ``vq``, ``v`` of each bin shared by spectra within 20 ppm, of one polarity and not the same."""
+    m = F.col("neutral_mass")
+    w = bj.window(m, 20.0)
+    asked = sim.asked_buckets(q.where(m > 0), w["lo"], w["hi"], NEAR_WIDTH)
+    held = lib.withColumn("bucket", F.floor(F.col("lib_mass") / NEAR_WIDTH))
+    held = held.join(asked.select("bucket").distinct(), "bucket", "left_semi")  # spectra that no query's window touches aren't spread
+    a = sim.binned(asked, "query_id", "qps", "source_spectrum_id", "energy", "sgn", "lo", "hi", "bucket").withColumnRenamed("v", "vq")
+    b = sim.binned(held, "spectrum_id", "ps", "inchikey", "lib_energy", "lib_sgn", "lib_mass", "bucket")
+    return sim.bins_met(a, b, "lib_mass").where("sgn = lib_sgn AND spectrum_id != source_spectrum_id")
+
+
+def direct_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per query and molecule: the best fine-bin cosine among library spectra of near mass."""
+    met = near_bins(queries_with_mass(spark, sf_dir), library(spark, sf_dir))
+    cosines = met.groupBy("query_id", "spectrum_id", "inchikey").agg(F.sum(F.col("vq") * F.col("v")).alias("cosine"))
+    return cosines.groupBy("query_id", "inchikey").agg(F.max("cosine").alias("direct"))
 
 
 def direct_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,17 +161,16 @@ def direct_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entropy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binned spectral-entropy similarity per query and library spectrum of near mass."""
-    q, lib = queries_with_mass(spark, sf_dir), library(spark, sf_dir)
-    pairs = durable_table(_eligible(q.drop("qps"), lib.drop("ps")).select("query_id", "spectrum_id"))
-    seen = lib.select("spectrum_id", "ps").join(pairs.select("spectrum_id").distinct(), "spectrum_id", "left_semi")
 
-    def shares(df: DataFrame, key: str, ps: str) -> DataFrame:
+    def shares(df: DataFrame, ps: str) -> DataFrame:  # intensities as shares; spectra without intensity have none
         total = F.aggregate(ps, F.lit(0.0), lambda a, p: a + p["i"])
-        rows = df.select(key, ps, total.alias("total")).where("total > 0").select(key, F.explode(ps).alias("p"), "total")
-        return rows.select(key, pk.fine_bin(F.col("p.mz")).alias("bin"), (F.col("p.i") / F.col("total")).alias("v")).where("bin IS NOT NULL")
+        length = F.sqrt(F.aggregate(ps, F.lit(0.0), lambda a, p: a + p["i"] * p["i"]))
+        return df.withColumn("scale", length / total).where(total > 0)
 
-    s = sim.binned_entropy_similarity(shares(q, "query_id", "qps"), shares(seen, "spectrum_id", "ps"), "query_id", "spectrum_id")
-    return s.join(pairs, ["query_id", "spectrum_id"]).select("query_id", "spectrum_id", F.round("similarity", 6).alias("similarity"))
+    q, lib = shares(queries_with_mass(spark, sf_dir), "qps"), shares(library(spark, sf_dir), "ps")
+    met = near_bins(q, lib).join(q.select("query_id", F.col("scale").alias("q_scale")), "query_id").join(lib.select("spectrum_id", F.col("scale").alias("l_scale")), "spectrum_id")
+    gain = sim.entropy_gain(F.col("vq") * F.col("q_scale"), F.col("v") * F.col("l_scale"))
+    return met.groupBy("query_id", "spectrum_id").agg(F.round(F.sum(gain) / F.log(F.lit(4.0)), 6).alias("similarity"))
 
 
 def pair_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,10 +203,13 @@ def truth_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _analog_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per query the ``HITS`` best library molecules of any mass within 200 Da with a cosine of at least 0.15."""
     q, lib = queries_with_mass(spark, sf_dir), library(spark, sf_dir)
-    cosines = sim.sparse_cosine(sim.binned(q, "query_id", "qps", neighbours=True), sim.binned(lib, "spectrum_id", "ps"), "query_id", "spectrum_id")
-    cosines = cosines.where("cosine >= 0.15")
-    hits = cosines.join(q.drop("qps", "true_inchikey"), "query_id").join(lib.drop("ps"), "spectrum_id")
-    hits = hits.where("spectrum_id != source_spectrum_id AND abs(neutral_mass - lib_mass) <= 200")
+    m = F.col("neutral_mass")
+    asked = sim.asked_buckets(q.where(m.isNotNull()), m - ANALOG_WITHIN, m + ANALOG_WITHIN, ANALOG_WITHIN)
+    held = lib.withColumn("bucket", F.floor(F.col("lib_mass") / ANALOG_WITHIN))
+    a = sim.binned(asked, "query_id", "qps", "source_spectrum_id", "lo", "hi", "bucket", neighbours=True).withColumnRenamed("v", "vq")
+    met = sim.bins_met(a, sim.binned(held, "spectrum_id", "ps", "lib_mass", "bucket"), "lib_mass").where("spectrum_id != source_spectrum_id")
+    cosines = met.groupBy("query_id", "spectrum_id").agg(F.sum(F.col("vq") * F.col("v")).alias("cosine")).where("cosine >= 0.15")
+    hits = cosines.join(q.select("query_id", "energy", "neutral_mass"), "query_id").join(lib.drop("ps"), "spectrum_id")
     best = F.max_by(F.struct("cosine", "energy", "lib_energy", "neutral_mass", "lib_mass"), F.struct("cosine", -F.col("spectrum_id")))
     hits = hits.groupBy("query_id", "inchikey").agg(best.alias("h")).select("query_id", F.col("inchikey").alias("hit_key"), "h.*")
     return rk.top_k(hits, "query_id", [F.desc(F.round("cosine", 9)), F.asc("hit_key")], HITS)
