@@ -74,6 +74,26 @@ def drop_isotopes(ps: Column, step: float = 1.003355, within: float = 0.015, bel
     return let(ps, lambda x: F.filter(x, lambda p: ~child(x, p)))
 
 
+# The isotope step of the variants and how near it must be met; the variants: least relative intensity, precursor and isotopes dropped or not.
+VARIANT_STEP, VARIANT_WITHIN = 1.00335, 0.005
+VARIANTS = {"1A": (0.0, False, False), "1B": (0.01, False, False), "1C": (0.01, True, False), "1D": (0.01, True, True)}
+
+
+def variant(ps: Column, precursor: Column, name: str, cap: int = 100) -> Column:
+    """A peak list prepared as a variant says, the steps first and the ``cap`` highest last. A peak that isn't above its lower isotope companion goes.
+
+    Companions are looked for from above, so a lower one is always still there: no chaining.
+    """
+    least, no_precursor, no_isotopes = VARIANTS[name]
+    out = keep_relative(ps, least)
+    if no_precursor:
+        out = drop_precursor(out, precursor)
+    if no_isotopes:
+        lower = lambda x, p: F.exists(x, lambda q: (F.abs(p["mz"] - VARIANT_STEP - q["mz"]) <= VARIANT_WITHIN) & (p["i"] <= q["i"]))
+        out = let(out, lambda x: F.filter(x, lambda p: ~lower(x, p)))
+    return by_mz(top_peaks(out, cap))
+
+
 # The four profiles of preparation, from the plainest: least relative intensity, precursor and isotopes dropped or not.
 PROFILES = {"A": (0.0, False, False), "B": (0.01, False, False), "C": (0.01, True, False), "D": (0.01, True, True)}
 

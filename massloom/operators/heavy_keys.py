@@ -11,12 +11,19 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from massloom.session import durable
 
-#: A key with this share of the rows is heavy, so at most 1 / HEAVY_SHARE keys are.
-HEAVY_SHARE = 0.002
+#: A key with this share of the rows is heavy at least, so at most 1 / HEAVY_SHARE keys are where tasks are few; and the least share
+#: that is heavy however many tasks there are, which bounds the keys that are sent to all of them.
+HEAVY_SHARE, LEAST_SHARE = 0.002, 0.00002
 #: Counters of the sketch; its error is below 4 / SKETCH_ITEMS of the rows.
 SKETCH_ITEMS = 8192
 
 
+def heavy_share(df: DataFrame) -> float:
+    """The share of rows from which a key is heavy: half of what a task of an even shuffle holds, HEAVY_SHARE at most."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(LEAST_SHARE, min(HEAVY_SHARE, 0.5 / tasks))
+
+
 def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame:
     """One column, ``key``: the keys that hold at least ``share`` of the rows with a key (and perhaps some just below).
 
@@ -65,7 +72,7 @@ def exact_median_in_buckets(df: DataFrame, key: str, value: str, width: float =
     )
 
 
-def per_key_summary(df: DataFrame, key: str, value: str, seen: Column, share: float = HEAVY_SHARE) -> DataFrame:
+def per_key_summary(df: DataFrame, key: str, value: str, seen: Column, share: float | None = None) -> DataFrame:
     """Per key: ``n_rows``, ``median`` of ``value`` and ``seen_values``, the distinct values of ``seen``, sorted.
 
     Rows with a null key belong to no key. Null and NaN values count as rows but not for the median; a key without a
@@ -77,7 +84,7 @@ def per_key_summary(df: DataFrame, key: str, value: str, seen: Column, share: fl
         F.when(~F.isnan(value), F.col(value)).alias("hk_value"),
         seen.alias("hk_seen"),
     ).where(F.col("hk_key").isNotNull())
-    heavy = durable(heavy_keys(rows, "hk_key", share))  # found once, used by both parts
+    heavy = durable(heavy_keys(rows, "hk_key", share or heavy_share(rows)))  # found once, used by both parts
     flagged = rows.join(F.broadcast(heavy.withColumn("is_heavy", F.lit(True))), "hk_key", "left")
     few, rest = flagged.where("is_heavy"), flagged.where("is_heavy IS NULL")
 
@@ -97,13 +104,13 @@ def per_key_summary(df: DataFrame, key: str, value: str, seen: Column, share: fl
     return rest_part.unionByName(heavy_part).withColumnRenamed("hk_key", key)
 
 
-def skew_join(rows: DataFrame, side: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame:
+def skew_join(rows: DataFrame, side: DataFrame, key: str, share: float | None = None) -> DataFrame:
     """Left join of ``rows`` with ``side`` (one row per ``key``) when a few keys hold most of ``rows``.
 
     The part of ``side`` for the heavy keys (at most 2 / share of them) is broadcast to their rows, which stay where
     they are; the rest goes through an ordinary shuffle. Rows with a null key, or without a partner, get nulls.
     """
-    heavy = durable(heavy_keys(rows, key, share))
+    heavy = durable(heavy_keys(rows, key, share or heavy_share(rows)))
     marked = rows.join(F.broadcast(heavy.withColumn("sj_heavy", F.lit(True))), key, "left")
     few = marked.where("sj_heavy").drop("sj_heavy").join(F.broadcast(side.join(F.broadcast(heavy), key, "left_semi")), key, "left")
     rest = marked.where("sj_heavy IS NULL").drop("sj_heavy").join(side, key, "left")

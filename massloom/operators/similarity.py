@@ -131,9 +131,13 @@ def _nearest(row: np.ndarray, mz: np.ndarray, rrow: np.ndarray, rmz: np.ndarray)
     return np.where(np.isinf(to_left) & np.isinf(to_right), -1, np.where(to_left <= to_right, left, right))
 
 
+def bit_total(words: Column) -> Column:
+    """Bits set in a fingerprint of words."""
+    return F.aggregate(words, F.lit(0), lambda n, w: n + F.bit_count(w))
+
+
 def tanimoto(a: Column, b: Column) -> Column:
     """Shared bits over all bits of two fingerprints of words; 0 if neither has a bit."""
-    bits = lambda words: F.aggregate(words, F.lit(0), lambda n, w: n + F.bit_count(w))
-    both = bits(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)))
-    either = bits(F.zip_with(a, b, lambda x, y: x.bitwiseOR(y)))
+    both = bit_total(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)))
+    either = bit_total(F.zip_with(a, b, lambda x, y: x.bitwiseOR(y)))
     return F.when(either > 0, both / either).otherwise(0.0)

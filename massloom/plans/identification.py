@@ -215,16 +215,59 @@ def _analog_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rk.top_k(hits, "query_id", [F.desc(F.round("cosine", 9)), F.asc("hit_key")], HITS)
 
 
-def analog_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per query and candidate: the best cosine^2 times energy decay, mass decay and Tanimoto over the analog hits."""
+def _analog_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of each query with the bits of its analog hits and their ``strength``: cosine^2 times energy and mass decay."""
     c = catalog(spark, sf_dir)
     gap = F.coalesce(F.abs(F.col("energy") - F.col("lib_energy")), F.lit(0.0))
     decay = F.exp(-gap / 20.0) * F.exp(-F.abs(F.col("neutral_mass") - F.col("lib_mass")) / 100.0)
     hits = _analog_hits(spark, sf_dir).select("query_id", "hit_key", (F.col("cosine") * F.col("cosine") * decay).alias("strength"))
     hits = hits.join(c.select(F.col("inchikey").alias("hit_key"), F.col("fp").alias("hit_fp")), "hit_key")
     pairs = _union(spark, sf_dir).select("query_id", "candidate_id").join(c.select("candidate_id", "fp"), "candidate_id")
+    return pairs.join(hits, "query_id")
+
+
+def analog_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per query and candidate: the best strength times Tanimoto over the analog hits."""
     value = F.col("strength") * sim.tanimoto(F.col("fp"), F.col("hit_fp"))
-    return pairs.join(hits, "query_id").groupBy("query_id", "candidate_id").agg(F.max(value).alias("analog"))
+    return _analog_pairs(spark, sf_dir).groupBy("query_id", "candidate_id").agg(F.max(value).alias("analog"))
+
+
+def _bit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``query_id``, ``candidate_id``, ``bits``: how well a candidate's fingerprint agrees with the bits that the analogs let expect.
+
+    A bit's expectation is twice the share of the hits that have it, by strength, less one; a candidate has the sum over its bits by
+    the root of their number. Summed over hits this needs the overlaps only, so bits are never spread out.
+    """
+    n, both = sim.bit_total(F.col("fp")), sim.bit_total(F.zip_with("fp", "hit_fp", lambda x, y: x.bitwiseAND(y)))
+    pairs = _analog_pairs(spark, sf_dir).select("query_id", "candidate_id", "strength", n.alias("n"), both.alias("both"))
+    size = F.sqrt(F.greatest(F.max("n"), F.lit(1)).cast("double"))
+    total = F.sum("strength")
+    agreed = F.sum(F.col("strength") * (2 * F.col("both") - F.col("n")))
+    return pairs.groupBy("query_id", "candidate_id").agg(F.when(total > 0, agreed / total / size).otherwise(0.0).alias("bits"))
+
+
+def bit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The agreement of candidates with the expected bits, standardised within the query in three ways."""
+    b = F.col("bits")
+    return _bit_scores(spark, sf_dir).select(
+        "query_id", "candidate_id", F.round(rk.z_score(b, "query_id"), 4).alias("z"),
+        F.round(rk.clipped_z(b, "query_id"), 4).alias("clipped"), F.round(rk.min_max(b, "query_id"), 4).alias("min_max"),
+    )
+
+
+# From this direct cosine on a query's best hit comes first, by this much.
+DECISIVE, DECISIVE_BONUS = 0.85, 10.0
+
+
+def fused_with_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 25 best candidates by the fused score with the expected bits; a decisive direct hit comes first."""
+    b = _bit_scores(spark, sf_dir).withColumn("z", rk.z_score(F.col("bits"), "query_id")).select("query_id", "candidate_id", "z")
+    f = _fused(spark, sf_dir).join(b, ["query_id", "candidate_id"], "left")
+    per = W.partitionBy("query_id").orderBy(F.desc(F.round("direct", 9)), "candidate_id")
+    decisive = (F.row_number().over(per) == 1) & (F.round("direct", 9) >= DECISIVE)
+    score = F.col("score") + rk.BIT_WEIGHT * F.coalesce("z", F.lit(0.0)) + F.when(decisive, DECISIVE_BONUS).otherwise(0.0)
+    best = rk.top_k(f.withColumn("score", F.round(score, 6)), "query_id", [F.desc("score"), F.asc("candidate_id")])
+    return best.select("query_id", "candidate_id", "score", "rank")
 
 
 def analog_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,7 +343,7 @@ QUERIES = {
     for f in (
         retrieval_union, retrieval_tiered, retrieval_progressive, retrieval_pool, retrieval_recall, top25, mass_metrics,
         score_statistics, direct_search, entropy_search, pair_cosines, greedy_pairs, truth_similarity, analog_propagation,
-        fused_ranking, fused_metrics, threshold_sweep, popularity_ranking, submission,
+        fused_ranking, fused_metrics, bit_scores, fused_with_bits, threshold_sweep, popularity_ranking, submission,
     )
 }
 
@@ -360,6 +403,13 @@ _FUSED = (
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS rnk FROM f)
 """
 )
+_BITS = """bo AS (SELECT query_id, candidate_id, strength, list_sum(list_transform(p.fp, lambda x: bit_count(x))) AS n, list_sum(list_transform(list_zip(p.fp, hit_fp), lambda z: bit_count(z[1] & z[2]))) AS ov
+ FROM p JOIN h USING (query_id)),
+bs AS (SELECT query_id, candidate_id, coalesce(sum(strength * (2 * ov - n)) / nullif(sum(strength), 0), 0) / sqrt(greatest(max(n), 1)) AS bits FROM bo GROUP BY 1, 2),
+bw AS (SELECT *, avg(bits) OVER w AS mean, stddev_pop(bits) OVER w AS sd, min(bits) OVER w AS lo, max(bits) OVER w AS hi FROM bs WINDOW w AS (PARTITION BY query_id)),
+bz AS (SELECT query_id, candidate_id, CASE WHEN sd > 1e-9 THEN (bits - mean) / sd ELSE 0 END AS z, greatest(-2.5e0, least(2.5e0, (bits - mean) / greatest(sd, 0.5e0))) AS clipped,
+ CASE WHEN hi > lo THEN (bits - lo) / (hi - lo) ELSE 0 END AS min_max FROM bw),
+"""
 _METRICS = """SELECT query_group, count(*) AS n, round(avg(CASE WHEN rnk <= 25 THEN 1.0e0 / rnk ELSE 0 END), 6) AS mrr,
  round(avg(CASE WHEN rnk <= 1 THEN 1.0e0 ELSE 0 END), 6) AS hit_1, round(avg(CASE WHEN rnk <= 5 THEN 1.0e0 ELSE 0 END), 6) AS hit_5,
  round(avg(CASE WHEN rnk <= 25 THEN 1.0e0 ELSE 0 END), 6) AS hit_k FROM x GROUP BY ROLLUP (query_group)"""
@@ -439,6 +489,13 @@ SQL = {
     "fused_metrics": _FUSED
     + """, x AS (SELECT q.query_id, q.query_group, min(rnk) AS rnk FROM q LEFT JOIN (SELECT * FROM fr WHERE rnk <= 25 AND inchikey = true_inchikey) USING (query_id) GROUP BY 1, 2) """
     + _METRICS,
+    "bit_scores": _Q + _BINS + _ANALOG + _BITS + _END + "SELECT query_id, candidate_id, round(z, 4) AS z, round(clipped, 4) AS clipped, round(min_max, 4) AS min_max FROM bz",
+    "fused_with_bits": _FUSED
+    + ", "
+    + _BITS
+    + """fd AS (SELECT f.query_id, f.candidate_id, score, z, round(coalesce(direct, 0), 9) AS dd FROM f LEFT JOIN d ON d.query_id = f.query_id AND d.inchikey = f.inchikey LEFT JOIN bz ON bz.query_id = f.query_id AND bz.candidate_id = f.candidate_id),
+ fe AS (SELECT query_id, candidate_id, round(score + 0.1e0 * coalesce(z, 0) + CASE WHEN dd >= 0.85 AND row_number() OVER (PARTITION BY query_id ORDER BY dd DESC, candidate_id) = 1 THEN 10.0e0 ELSE 0 END, 6) AS score FROM fd)
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS rank FROM fe) WHERE rank <= 25""",
     "threshold_sweep": _Q
     + _BINS
     + """b AS (SELECT query_id, round(direct, 6) AS cosv, inchikey, row_number() OVER (PARTITION BY query_id ORDER BY round(direct, 6) DESC, inchikey) AS k FROM d),

@@ -8,10 +8,10 @@ from massloom.functions import chem, peaks as pk
 from massloom.functions.keys import readable_keys, single_key
 from massloom.functions.settings import known_adduct, known_energy, known_mode
 from massloom.operators.dedup import best_per_group, hash_split, molecule_table, purge, representatives
+from massloom.operators.heavy_keys import skew_join
 from massloom.sources.tables import table
 
 
-
 def _peaks() -> Column:
     return pk.peaks(F.col("ms2_mzs"), F.col("ms2_intensities"))
 
@@ -69,11 +69,11 @@ def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def peak_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Peaks that are left, and their summed relative intensity, under the profiles A to C."""
+    """Peaks that are left, and their summed relative intensity, under the profiles A to D."""
     t = _train(spark, sf_dir).where(F.size(_peaks()) > 0).select("spectrum_id", "precursor_mz", _peaks().alias("ps"))
     forms = [
         F.struct(F.lit(name).alias("profile"), pk.profile(F.col("ps"), F.coalesce("precursor_mz", F.lit(-10.0)), name).alias("kept"))
-        for name in "ABC"
+        for name in pk.PROFILES
     ]
     return t.select("spectrum_id", F.explode(F.array(*forms)).alias("f")).select(
         "spectrum_id",
@@ -83,6 +83,19 @@ def peak_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def peak_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks that are left, and their summed relative intensity, under the variants of preparation (the two that only search otherwise are left out)."""
+    t = _train(spark, sf_dir).where(F.size(_peaks()) > 0).select("spectrum_id", "precursor_mz", _peaks().alias("ps"))
+    forms = [
+        F.struct(F.lit(name).alias("variant"), pk.variant(F.col("ps"), F.coalesce("precursor_mz", F.lit(-10.0)), name).alias("kept"))
+        for name in pk.VARIANTS
+    ]
+    return t.select("spectrum_id", F.explode(F.array(*forms)).alias("f")).select(
+        "spectrum_id", F.col("f.variant").alias("variant"), F.size("f.kept").alias("n_peaks"),
+        F.round(F.aggregate("f.kept", F.lit(0.0), lambda a, p: a + p["i"]), 5).alias("intensity"),
+    )
+
+
 def isotope_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peaks of every spectrum that are no isotope companion of a stronger peak."""
     t = _train(spark, sf_dir).where(F.size(_peaks()) > 0)
@@ -179,6 +192,40 @@ def molecule_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_split(t, "inchikey", 5).groupBy("fold").agg(F.count(F.lit(1)).alias("n_spectra"), F.countDistinct("inchikey").alias("n_keys"))
 
 
+def _held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train rows of one key, with ``held`` for the tenth of the molecules of at least two spectra that a digest of the key draws."""
+    t = _train(spark, sf_dir).select("spectrum_id", single_key(F.col("inchikey")).alias("inchikey")).where("inchikey IS NOT NULL")
+    several = t.groupBy("inchikey").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("inchikey")
+    held = hash_split(several, "inchikey", 10).where("fold = 0").select("inchikey", F.lit(True).alias("held"))
+    return skew_join(t, held, "inchikey").withColumn("held", F.coalesce("held", F.lit(False)))
+
+
+def validation_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query spectrum of each held-out molecule, drawn by a digest of its id, and whether it's for tuning or frozen (one in five)."""
+    drawn = F.struct(F.md5(F.col("spectrum_id").cast("string")), "spectrum_id")
+    q = _held_out(spark, sf_dir).where("held").groupBy("inchikey").agg(F.min_by("spectrum_id", drawn).alias("spectrum_id"))
+    part = F.when(F.conv(F.substring(F.md5("inchikey"), 8, 7), 16, 10).cast("long") % 5 == 0, "frozen").otherwise("tuning")
+    return q.select("inchikey", "spectrum_id", part.alias("part"))
+
+
+def protocol_libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library that each protocol leaves to search: A without the query spectra, B without the held-out molecules, C without their first blocks."""
+    t = _held_out(spark, sf_dir)
+    queries = validation_queries(spark, sf_dir).select("spectrum_id")
+    blocks = t.where("held").select(F.substring("inchikey", 1, 14).alias("block")).distinct()
+    libraries = {
+        "A": t.join(queries, "spectrum_id", "left_anti"),
+        "B": t.where("NOT held"),
+        "C": t.withColumn("block", F.substring("inchikey", 1, 14)).join(blocks, "block", "left_anti"),
+    }
+    out = None
+    for name, lib in libraries.items():
+        per = lib.groupBy("inchikey").agg(F.count(F.lit(1)).alias("n"))  # a hot molecule is counted first
+        part = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_spectra"), F.count(F.lit(1)).alias("n_molecules")).select(F.lit(name).alias("protocol"), "n_spectra", "n_molecules")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def session_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per session: spectra, and those ingested before they were acquired."""
     t = _train(spark, sf_dir).where("session_id IS NOT NULL").groupBy("session_id").agg(
@@ -190,9 +237,9 @@ def session_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        neutral_mass, adduct_dimension, formula_features, catalog_mass_error, settings, peak_profiles, isotope_free,
+        neutral_mass, adduct_dimension, formula_features, catalog_mass_error, settings, peak_profiles, peak_variants, isotope_free,
         spectral_entropy, entropy_weighted, coarse_bins, merged_peaks, best_per_energy, richest_spectrum, molecules,
-        catalog_sources, purged_library, leakage_audit, molecule_split, session_delays,
+        catalog_sources, purged_library, leakage_audit, molecule_split, validation_queries, protocol_libraries, session_delays,
     )
 }
 
@@ -222,6 +269,7 @@ s AS (SELECT candidate_id, exact_mass, sum(n * w) AS mass, coalesce(sum(n) FILTE
  string_agg(e || CASE WHEN n > 1 THEN n::VARCHAR ELSE '' END, '' ORDER BY CASE e WHEN 'C' THEN 0 WHEN 'H' THEN 1 ELSE 2 END, e) AS hill
  FROM g JOIN m USING (e) GROUP BY ALL)
 """
+_HELD = ", hk AS (SELECT inchikey FROM t WHERE inchikey IS NOT NULL GROUP BY 1 HAVING count(*) >= 2 AND ('0x' || left(md5(inchikey), 7))::BIGINT % 10 = 0) "
 _BIN = "CASE WHEN energy IS NULL THEN -9999 ELSE round_even(energy / 5, 0)::INT END"
 
 SQL = {
@@ -247,9 +295,19 @@ SQL = {
     "peak_profiles": _PEAKS
     + """, a AS (SELECT *, row_number() OVER (PARTITION BY spectrum_id ORDER BY i DESC, mz) AS k FROM n), q(profile, least, drop_precursor) AS
  (VALUES ('A', 0.0, false), ('B', 0.01, false), ('C', 0.01, true)),
- j AS (SELECT o.spectrum_id, q.profile, a.r, a.mz IS NOT NULL AND a.k <= 100 AND a.r >= q.least AND NOT (q.drop_precursor AND abs(a.mz - coalesce(a.precursor_mz, -10)) <= 0.5) AS kept
-   FROM ok o CROSS JOIN q JOIN a USING (spectrum_id))
+ j0 AS (SELECT o.spectrum_id, q.profile, a.r, a.mz, a.mz IS NOT NULL AND a.k <= 100 AND a.r >= q.least AND NOT (q.drop_precursor AND abs(a.mz - coalesce(a.precursor_mz, -10)) <= 0.5) AS kept
+   FROM ok o CROSS JOIN q JOIN a USING (spectrum_id)),
+ c AS (SELECT * FROM j0 WHERE profile = 'C' AND kept),
+ j AS (SELECT spectrum_id, profile, r, kept FROM j0 UNION ALL SELECT spectrum_id, 'D', r, kept AND NOT EXISTS (SELECT 1 FROM c WHERE c.spectrum_id = x.spectrum_id
+   AND abs(x.mz - c.mz - 1.003355) <= 0.015 AND x.r < 0.9 * c.r) FROM j0 x WHERE profile = 'C')
  SELECT spectrum_id, profile, count(*) FILTER (kept)::INT AS n_peaks, round(coalesce(sum(r) FILTER (kept), 0), 5) AS intensity FROM j GROUP BY ALL""",
+    "peak_variants": _PEAKS
+    + """, q(variant, least, drop_precursor, drop_isotopes) AS (VALUES ('1A', 0.0, false, false), ('1B', 0.01, false, false), ('1C', 0.01, true, false), ('1D', 0.01, true, true)),
+ a AS (SELECT n.spectrum_id, variant, mz, r, drop_isotopes FROM n CROSS JOIN q WHERE r >= least AND NOT (drop_precursor AND abs(mz - coalesce(precursor_mz, -10)) <= 0.5)),
+ b AS (SELECT *, row_number() OVER (PARTITION BY spectrum_id, variant ORDER BY r DESC, mz) AS k FROM a x WHERE NOT drop_isotopes OR NOT EXISTS (SELECT 1 FROM a y
+   WHERE y.spectrum_id = x.spectrum_id AND y.variant = x.variant AND abs(x.mz - 1.00335 - y.mz) <= 0.005 AND x.r <= y.r))
+ SELECT o.spectrum_id, q.variant, count(b.mz)::INT AS n_peaks, round(coalesce(sum(r), 0), 5) AS intensity FROM ok o CROSS JOIN q
+ LEFT JOIN b ON b.spectrum_id = o.spectrum_id AND b.variant = q.variant AND k <= 100 GROUP BY ALL""",
     "isotope_free": _PEAKS
     + """SELECT a.spectrum_id, count(*)::INT AS n_peaks FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.spectrum_id = a.spectrum_id
  AND abs(a.mz - b.mz - 1.003355) <= 0.015 AND a.i < 0.9 * b.i) GROUP BY 1""",
@@ -296,6 +354,16 @@ SQL = {
  UNION ALL SELECT 'formula', (SELECT count(*) FROM (SELECT molecular_formula AS v FROM train WHERE molecular_formula IS NOT NULL INTERSECT SELECT formula FROM external_spectra))""",
     "molecule_split": _TRAIN
     + """SELECT (('0x' || left(md5(inchikey), 7))::INT % 5)::BIGINT AS fold, count(*) AS n_spectra, count(DISTINCT inchikey) AS n_keys FROM t WHERE inchikey IS NOT NULL GROUP BY 1""",
+    "validation_queries": _TRAIN
+    + _HELD
+    + """SELECT inchikey, arg_min(spectrum_id, (md5(spectrum_id::VARCHAR), spectrum_id)) AS spectrum_id, CASE WHEN ('0x' || substr(md5(inchikey), 8, 7))::BIGINT % 5 = 0 THEN 'frozen' ELSE 'tuning' END AS part
+ FROM t JOIN hk USING (inchikey) GROUP BY inchikey""",
+    "protocol_libraries": _TRAIN
+    + _HELD
+    + """SELECT 'A' AS protocol, count(*) AS n_spectra, count(DISTINCT inchikey) AS n_molecules FROM t WHERE inchikey IS NOT NULL
+  AND spectrum_id NOT IN (SELECT arg_min(spectrum_id, (md5(spectrum_id::VARCHAR), spectrum_id)) FROM t JOIN hk USING (inchikey) GROUP BY inchikey)
+ UNION ALL SELECT 'B', count(*), count(DISTINCT inchikey) FROM t WHERE inchikey IS NOT NULL AND inchikey NOT IN (SELECT inchikey FROM hk)
+ UNION ALL SELECT 'C', count(*), count(DISTINCT inchikey) FROM t WHERE inchikey IS NOT NULL AND left(inchikey, 14) NOT IN (SELECT left(inchikey, 14) FROM hk)""",
     "session_delays": """SELECT s.session_id, s.ingest_lib, s.finished_at IS NULL AS open_end, count(t.spectrum_id) AS n, count(*) FILTER (t.ingested_at < t.acquired_at) AS n_early
  FROM sessions s LEFT JOIN train t USING (session_id) GROUP BY ALL""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from massloom.functions import peaks as pk
 from massloom.operators import bandjoin as bj, ranking as rk, similarity as sim
-from massloom.operators.heavy_keys import heavy_keys, per_key_summary, skew_join
+from massloom.operators.heavy_keys import heavy_share, heavy_keys, per_key_summary, skew_join
 from massloom.operators.impute import completed, filled_fields, held_out_accuracy, unanimous_fills
 
 SCHEMA = "key string, v double, s double, hk_key string, n_rows int, bucket int"
@@ -42,6 +42,18 @@ def test_heavy_keys_and_empty(spark):
     assert heavy_keys(df.limit(0), "key").count() == 0 and summary(spark, []) == {}
 
 
+def test_heavy_share_follows_the_tasks(spark):
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        shares = []
+        for n in ("8", "5000", "1000000"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            shares.append(heavy_share(spark.range(1)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert shares == [0.002, 0.0001, 0.00002]
+
+
 def test_skew_join_keeps_all_rows(spark):
     rows = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1), (None, 2), ("c", 3)], "k string, i int")
     side = spark.createDataFrame([("a", 1), ("b", 2)], "k string, w int")
