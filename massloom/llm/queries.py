@@ -24,11 +24,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 most similar spectra of every spectrum whose id is divisible by 100, against all spectra.
 
-    Most true neighbours have a cosine of 0.3 to 0.5, so up to 64 lists are searched, pruned by the distance ratio.
+    Most true neighbours have a cosine of 0.3 to 0.5, so up to 128 lists are searched, pruned by the distance ratio.
     """
     near = neighbours(
         table(spark, sf_dir, "train"), "spectrum_id", "ms2_mzs", "ms2_intensities",
-        k=10, queries=F.col("id") % 100 == 0, stored=3, searched=64,
+        k=10, queries=F.col("id") % 100 == 0, stored=3, searched=128,
     )
     return near.select(F.col("id").alias("spectrum_id"), "rank", F.col("other").alias("neighbour_id"), F.round("cos", 5).alias("cosine"))
 
