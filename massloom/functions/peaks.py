@@ -79,6 +79,12 @@ VARIANT_STEP, VARIANT_WITHIN = 1.00335, 0.005
 VARIANTS = {"1A": (0.0, False, False), "1B": (0.01, False, False), "1C": (0.01, True, False), "1D": (0.01, True, True)}
 
 
+def drop_companions(ps: Column) -> Column:
+    """Drops a peak that lies one isotope step above a peak of at least its intensity."""
+    lower = lambda x, p: F.exists(x, lambda q: (F.abs(p["mz"] - VARIANT_STEP - q["mz"]) <= VARIANT_WITHIN) & (p["i"] <= q["i"]))
+    return let(ps, lambda x: F.filter(x, lambda p: ~lower(x, p)))
+
+
 def variant(ps: Column, precursor: Column, name: str, cap: int = 100) -> Column:
     """A peak list prepared as a variant says, the steps first and the ``cap`` highest last. A peak that isn't above its lower isotope companion goes.
 
@@ -89,8 +95,7 @@ def variant(ps: Column, precursor: Column, name: str, cap: int = 100) -> Column:
     if no_precursor:
         out = drop_precursor(out, precursor)
     if no_isotopes:
-        lower = lambda x, p: F.exists(x, lambda q: (F.abs(p["mz"] - VARIANT_STEP - q["mz"]) <= VARIANT_WITHIN) & (p["i"] <= q["i"]))
-        out = let(out, lambda x: F.filter(x, lambda p: ~lower(x, p)))
+        out = drop_companions(out)
     return by_mz(top_peaks(out, cap))
 
 
@@ -109,9 +114,13 @@ def profile(ps: Column, precursor: Column, name: str, cap: int = 100) -> Column:
     return by_mz(out)
 
 
-def cleaned(ps: Column, cap: int = 60) -> Column:
-    """Isotopes dropped, square roots at unit length, the ``cap`` highest, in order of m/z."""
-    return by_mz(top_peaks(unit_length(square_root(drop_isotopes(ps))), cap))
+def cleaned(ps: Column, cap: int = 60, least: int = 3) -> Column:
+    """Isotope companions dropped, square roots at unit length, then the ``cap`` highest, in order of m/z.
+
+    Null if fewer than ``least`` peaks are left, or none with an intensity.
+    """
+    usable = lambda x: (F.size(x) >= least) & (base_peak(x) > 0)
+    return let(drop_companions(normalize(ps)), lambda x: F.when(usable(x), by_mz(top_peaks(unit_length(square_root(x)), cap))))
 
 
 def spectral_entropy(ps: Column) -> Column:

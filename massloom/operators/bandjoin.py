@@ -12,6 +12,7 @@ TIER_PPM, TIER_WEIGHTS = (20.0, 50.0, 20.0), (1.0, 0.9, 0.85)
 STEP_PPM, STEP_WEIGHTS, ENOUGH = (20.0, 50.0, 100.0), (1.0, 0.7, 0.4), 25
 STEP_ISOTOPE_PPM, STEP_ISOTOPE_WEIGHT, NEAREST, NEAREST_WEIGHT = 20.0, 0.3, 30, 0.1
 POOL_NARROW, POOL_WIDE = 8.5, 30.0
+PIPELINE_WEIGHTS, PIPELINE_STEP, PIPELINE_ISOTOPE_PPM, PIPELINE_ISOTOPE_WEIGHT = (1.0, 0.5, 0.25), 1.003355, 50.0, 0.5
 
 #: Width of a bucket in Da. A window of 20 ppm at 500 Da meets one or two buckets, one of half a Da three.
 WIDTH = 0.5
@@ -132,3 +133,29 @@ def narrow_or_wide(queries: DataFrame, catalog: DataFrame, mass: str = "exact_ma
     pairs = band_join(queries.where(m > 0), F.array(window(m, wide)), catalog, mass).withColumn("ppm", ppm_error(F.col(mass), m))
     nearest = F.min("ppm").over(W.partitionBy("query_id"))
     return pairs.withColumn("nearest", nearest).where((F.col("ppm") <= narrow) | (F.col("nearest") > narrow)).drop("nearest")
+
+
+def pipeline_pool(queries: DataFrame, catalog: DataFrame, mass: str = "exact_mass", tie: str = "candidate_id", enough: int = ENOUGH) -> DataFrame:
+    """Pairs with ``ppm`` and ``tier_weight``, one weight per query: that of the widest rule it needed to reach ``enough`` candidates.
+
+    Within 20 (1.0), else 50 (0.5), else 100 ppm (0.25; not counted if empty); then also what lies one isotope step below within
+    50 ppm (0.5 at most), then the 30 nearest rows to either side (0.1).
+    """
+    m = F.col("neutral_mass")
+    near, mid, far = STEP_PPM
+    known = queries.where((m > 0) & ~F.isnan(m))
+    below = m - PIPELINE_STEP
+    pairs = band_join(known, F.array(window(m, far), F.when(below > 0, window(below, PIPELINE_ISOTOPE_PPM))), catalog, mass)
+    pairs = pairs.withColumn("ppm", ppm_error(F.col(mass), m))
+    per = W.partitionBy("query_id")
+    within = lambda p: F.sum(F.when(F.col("ppm") <= p, 1).otherwise(0)).over(per)
+    chosen = F.when(within(near) >= enough, near).when(within(mid) >= enough, mid).otherwise(far)
+    pairs = pairs.withColumns({"chosen": chosen, "n_far": within(far)})
+    pairs = pairs.where((F.col("ppm") <= F.col("chosen")) | ((F.col("ppm") > far) & (F.col("n_far") < enough)))
+    first, second, third = PIPELINE_WEIGHTS
+    weight = F.when(F.col("chosen") == near, first).when(F.col("chosen") == mid, second).when(F.col("n_far") > 0, third).otherwise(PIPELINE_ISOTOPE_WEIGHT)
+    pairs = pairs.withColumn("n", F.count(F.lit(1)).over(per)).withColumn("tier_weight", F.when(F.col("n") < enough, NEAREST_WEIGHT).otherwise(weight))
+    rest = nearest_rows(known.join(pairs.where(F.col("n") >= enough).select("query_id").distinct(), "query_id", "left_anti"), catalog, mass, tie, max(enough, NEAREST))
+    rest = rest.join(pairs.select("query_id", tie), ["query_id", tie], "left_anti")
+    rest = rest.withColumns({"ppm": ppm_error(F.col(mass), m), "tier_weight": F.lit(NEAREST_WEIGHT)})
+    return pairs.drop("chosen", "n_far", "n").unionByName(rest)

@@ -141,3 +141,36 @@ def tanimoto(a: Column, b: Column) -> Column:
     both = bit_total(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)))
     either = bit_total(F.zip_with(a, b, lambda x, y: x.bitwiseOR(y)))
     return F.when(either > 0, both / either).otherwise(0.0)
+
+
+def whole_vectors(spectra: DataFrame, key: str, ps: str) -> DataFrame:
+    """``key``, ``vec``: intensities summed per whole Dalton at unit length, in order of the bin. Lists that are null, empty or all zero have none.
+
+    The lists are shuffled once, by ``key``, and spread out after.
+    """
+    rows = spectra.where(F.size(ps) > 0).select(key, ps).repartition(key).select(key, F.explode(ps).alias("p"))
+    sums = rows.groupBy(key, F.floor("p.mz").alias("bin")).agg(F.sum("p.i").alias("v"))
+    lists = sums.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("bin", "v"))).alias("vec"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
+    unit = F.transform("vec", lambda x: F.struct(x["bin"].alias("bin"), F.round(x["v"] / F.col("n"), 9).alias("v")))
+    return lists.where("n > 0").select(key, unit.alias("vec"))
+
+
+def near_identical(a: DataFrame, b: DataFrame, least: float = 0.999) -> DataFrame:
+    """``digest_a``, ``digest_b``, ``cosine``: all pairs of distinct unit vectors (``digest``, ``vec``) whose cosine is at least ``least``.
+
+    Such vectors are at most d = sqrt(2 - 2 least) apart, so in the highest bin of one the other's value differs by at most d and is
+    within 2 d of its own highest. Vectors meet on that bin and the slot of the value: few entries each, and no pair is missed.
+    """
+    d = (2 - 2 * least) ** 0.5
+    top = lambda v: F.array_max(F.transform(v, lambda x: x["v"]))
+    highest = F.array_max(F.transform("vec", lambda x: F.struct(x["v"].alias("v"), (-x["bin"]).alias("b"))))
+    slot = F.floor(F.col("h.v") / d)
+    asked = a.select(F.col("digest").alias("digest_a"), F.col("vec").alias("va"), highest.alias("h"))
+    asked = asked.select("digest_a", "va", (-F.col("h.b")).alias("bin"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
+    held = b.select(F.col("digest").alias("digest_b"), F.col("vec").alias("vb"), top(F.col("vec")).alias("m"))
+    held = held.select("digest_b", "vb", F.explode(F.filter("vb", lambda x: x["v"] >= F.col("m") - 2 * d - 1e-6)).alias("x"))
+    held = held.select("digest_b", "vb", F.col("x.bin").alias("bin"), F.floor(F.col("x.v") / d).alias("slot"))
+    by_bin = F.map_from_entries("vb")
+    pairs = asked.join(held, ["bin", "slot"]).withColumn("by_bin", by_bin)
+    dot = F.aggregate("va", F.lit(0.0), lambda s, x: s + x["v"] * F.coalesce(F.try_element_at(F.col("by_bin"), x["bin"]), F.lit(0.0)))
+    return pairs.select("digest_a", "digest_b", F.round(dot, 6).alias("cosine")).where(F.col("cosine") >= least)

@@ -51,15 +51,21 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "inchikey", "n_supporting", F.round(score, 6).alias("evidence"))
 
 
+def blended(top: DataFrame, *more: Column) -> DataFrame:
+    """``query_id``, ``inchikey``, ``blend`` of the two best spectra (``k`` 1 and 2), and the aggregates ``more`` over them."""
+    nth = lambda k: F.max(F.when(F.col("k") == k, F.col("cosine")))
+    near = F.max((F.coalesce(F.col("energy_gap") <= 5, F.lit(False))).cast("int"))
+    g = top.groupBy("query_id", "inchikey").agg(nth(1).alias("c1"), nth(2).alias("c2"), near.alias("near"), *more)
+    one = F.col("c1") * F.when(F.col("near") == 1, NEAR_ONE).otherwise(1.0)
+    both = (BLEND[0] * F.col("c1") + BLEND[1] * F.col("c2")) * F.when(F.col("near") == 1, NEAR_TWO).otherwise(1.0) * F.when(F.col("c2") > CONSISTENT_FROM, CONSISTENT).otherwise(1.0)
+    return g.withColumn("blend", F.when(F.col("c2").isNull(), one).otherwise(both)).drop("c1", "c2", "near")
+
+
 def two_best_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per query and molecule: 0.65 of the best and 0.35 of the second cosine, with bonuses for a near energy and for consistency."""
     per = W.partitionBy("query_id", "inchikey").orderBy(F.desc("cosine"), "spectrum_id")
     top = spectrum_hits(spark, sf_dir).withColumn("k", F.row_number().over(per)).where("k <= 2")
-    nth = lambda k: F.max(F.when(F.col("k") == k, F.col("cosine")))
-    g = top.groupBy("query_id", "inchikey").agg(nth(1).alias("c1"), nth(2).alias("c2"), F.max((F.coalesce(F.col("energy_gap") <= 5, F.lit(False))).cast("int")).alias("near"))
-    one = F.col("c1") * F.when(F.col("near") == 1, NEAR_ONE).otherwise(1.0)
-    both = (BLEND[0] * F.col("c1") + BLEND[1] * F.col("c2")) * F.when(F.col("near") == 1, NEAR_TWO).otherwise(1.0) * F.when(F.col("c2") > CONSISTENT_FROM, CONSISTENT).otherwise(1.0)
-    return g.select("query_id", "inchikey", F.round(F.when(F.col("c2").isNull(), one).otherwise(both), 6).alias("blend"))
+    return blended(top).withColumn("blend", F.round("blend", 6))
 
 
 def multiplicity_precision(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,15 +180,19 @@ def pair_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("query_id", "spectrum_id", F.round(value, 6).alias("modified_cosine"))
 
 
-def greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy one-to-one cosine of the same pairs."""
+def greedy_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries with library spectra within 20 ppm: greedy one-to-one cosine, matched peaks, the spectrum's key and both energies."""
     pairs = _eligible(queries_with_mass(spark, sf_dir), library(spark, sf_dir))
     pairs = pairs.select(
-        "query_id", "spectrum_id", pk.unit_length(F.col("qps")).alias("a"), pk.unit_length(F.col("ps")).alias("b"),
+        "query_id", "spectrum_id", "inchikey", "energy", "lib_energy", pk.unit_length(F.col("qps")).alias("a"), pk.unit_length(F.col("ps")).alias("b"),
         (F.col("neutral_mass") - F.col("lib_mass")).alias("delta"),
     )
-    out = sim.greedy_cosine(pairs, "a", "b", "delta")
-    return out.select("query_id", "spectrum_id", F.round("greedy_cosine", 6).alias("greedy_cosine"), "n_matched")
+    return sim.greedy_cosine(pairs, "a", "b", "delta").withColumn("greedy_cosine", F.round("greedy_cosine", 6))
+
+
+def greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy one-to-one cosine of the same pairs."""
+    return greedy_hits(spark, sf_dir).select("query_id", "spectrum_id", "greedy_cosine", "n_matched")
 
 
 def truth_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,25 +219,25 @@ def _analog_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rk.top_k(hits, "query_id", [F.desc(F.round("cosine", 9)), F.asc("hit_key")], HITS)
 
 
-def _analog_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of each query with the bits of its analog hits and their ``strength``: cosine^2 times energy and mass decay."""
+def _analog_pairs(spark: SparkSession, sf_dir: str, pool: DataFrame | None = None) -> DataFrame:
+    """Candidates of each query (those of ``pool``, else of the union of windows) with the bits of its analog hits and their ``strength``: cosine^2 times energy and mass decay."""
     c = catalog(spark, sf_dir)
     gap = F.coalesce(F.abs(F.col("energy") - F.col("lib_energy")), F.lit(0.0))
     decay = F.exp(-gap / 20.0) * F.exp(-F.abs(F.col("neutral_mass") - F.col("lib_mass")) / 100.0)
     hits = _analog_hits(spark, sf_dir).select("query_id", "hit_key", (F.col("cosine") * F.col("cosine") * decay).alias("strength"))
     hits = hits.join(c.select(F.col("inchikey").alias("hit_key"), F.col("fp").alias("hit_fp")), "hit_key")
-    pairs = _union(spark, sf_dir).select("query_id", "candidate_id").join(c.select("candidate_id", "fp"), "candidate_id")
-    return pairs.join(hits, "query_id")
+    pool = _union(spark, sf_dir) if pool is None else pool
+    return pool.select("query_id", "candidate_id").join(c.select("candidate_id", "fp"), "candidate_id").join(hits, "query_id")
 
 
-def analog_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def analog_scores(spark: SparkSession, sf_dir: str, pool: DataFrame | None = None) -> DataFrame:
     """Per query and candidate: the best strength times Tanimoto over the analog hits."""
     value = F.col("strength") * sim.tanimoto(F.col("fp"), F.col("hit_fp"))
-    return _analog_pairs(spark, sf_dir).groupBy("query_id", "candidate_id").agg(F.max(value).alias("analog"))
+    return _analog_pairs(spark, sf_dir, pool).groupBy("query_id", "candidate_id").agg(F.max(value).alias("analog"))
 
 
 def _bit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``query_id``, ``candidate_id``, ``bits``: how well a candidate's fingerprint agrees with the bits that the analogs let expect.
+    """``query_id``, ``candidate_id``, ``bits``, ``size`` (the root of the number of bits): how well a candidate's fingerprint agrees with the bits that the analogs let expect.
 
     A bit's expectation is twice the share of the hits that have it, by strength, less one; a candidate has the sum over its bits by
     the root of their number. Summed over hits this needs the overlaps only, so bits are never spread out.
@@ -243,15 +247,19 @@ def _bit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.sqrt(F.greatest(F.max("n"), F.lit(1)).cast("double"))
     total = F.sum("strength")
     agreed = F.sum(F.col("strength") * (2 * F.col("both") - F.col("n")))
-    return pairs.groupBy("query_id", "candidate_id").agg(F.when(total > 0, agreed / total / size).otherwise(0.0).alias("bits"))
+    return pairs.groupBy("query_id", "candidate_id").agg(F.when(total > 0, agreed / total / size).otherwise(0.0).alias("bits"), size.alias("size"))
 
 
 def bit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The agreement of candidates with the expected bits, standardised within the query in three ways."""
+    """The agreement of candidates with the expected bits, standardised within the query: three spreads, by size once more, by rank, and the rank that ties share."""
     b = F.col("bits")
+    per = W.partitionBy("query_id").orderBy(F.desc(F.round("bits", 9)))
     return _bit_scores(spark, sf_dir).select(
         "query_id", "candidate_id", F.round(rk.z_score(b, "query_id"), 4).alias("z"),
         F.round(rk.clipped_z(b, "query_id"), 4).alias("clipped"), F.round(rk.min_max(b, "query_id"), 4).alias("min_max"),
+        F.round(rk.z_score(b / F.col("size"), "query_id"), 4).alias("z_by_size"),
+        F.round(1 - rk.rank_share([F.desc(F.round("bits", 9)), F.asc("candidate_id")], "query_id"), 4).alias("rank_from_0"),
+        F.rank().over(per).alias("shared_rank"),
     )
 
 
@@ -323,10 +331,21 @@ def popularity_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", "candidate_id", "n_spectra", "rank")
 
 
+def _same_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per query the library molecules within 20 ppm and of its polarity by their median mass, the 25 with most spectra."""
+    m = F.col("neutral_mass")
+    lib = library(spark, sf_dir).groupBy("inchikey", "lib_sgn").agg(F.expr("percentile(lib_mass, 0.5)").alias("lib_mass"), F.count(F.lit(1)).alias("n"))
+    q = queries_with_mass(spark, sf_dir).where(m > 0).select("query_id", "neutral_mass", "sgn")
+    near = bj.band_join(q, F.array(bj.window(m, 20.0)), lib, "lib_mass").where("sgn = lib_sgn")
+    near = near.join(catalog(spark, sf_dir).select("inchikey", "canonical_smiles"), "inchikey")
+    return rk.top_k(near, "query_id", [F.desc("n"), F.asc("inchikey")])
+
+
 def submission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per query: 25 structures joined by semicolons, padded by the most frequent molecules, then by ``CCO``."""
+    """One row per query: 25 structures joined by semicolons, padded by library molecules of its mass, by the most frequent molecules, then by ``CCO``."""
     ranked = rk.top_k(_mass_scores(spark, sf_dir), "query_id", [F.desc("score"), F.asc("candidate_id")])
-    own = ranked.select("query_id", F.struct(F.lit(0).alias("p"), F.col("rank"), F.col("canonical_smiles").alias("s")).alias("x"))
+    place = lambda p: F.struct(F.lit(p).alias("p"), F.col("rank"), F.col("canonical_smiles").alias("s")).alias("x")
+    own = ranked.select("query_id", place(0)).unionByName(_same_mass(spark, sf_dir).select("query_id", place(1)))
     counts = library(spark, sf_dir).groupBy("inchikey").agg(F.count(F.lit(1)).alias("n"))
     popular = counts.join(catalog(spark, sf_dir).select("inchikey", "canonical_smiles"), "inchikey")
     popular = popular.orderBy(F.desc("n"), "inchikey").limit(25).collect()  # the padding has 25 structures, whatever the data
@@ -405,10 +424,27 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, c
 )
 _BITS = """bo AS (SELECT query_id, candidate_id, strength, list_sum(list_transform(p.fp, lambda x: bit_count(x))) AS n, list_sum(list_transform(list_zip(p.fp, hit_fp), lambda z: bit_count(z[1] & z[2]))) AS ov
  FROM p JOIN h USING (query_id)),
-bs AS (SELECT query_id, candidate_id, coalesce(sum(strength * (2 * ov - n)) / nullif(sum(strength), 0), 0) / sqrt(greatest(max(n), 1)) AS bits FROM bo GROUP BY 1, 2),
-bw AS (SELECT *, avg(bits) OVER w AS mean, stddev_pop(bits) OVER w AS sd, min(bits) OVER w AS lo, max(bits) OVER w AS hi FROM bs WINDOW w AS (PARTITION BY query_id)),
+bs AS (SELECT query_id, candidate_id, coalesce(sum(strength * (2 * ov - n)) / nullif(sum(strength), 0), 0) / sqrt(greatest(max(n), 1)) AS bits, sqrt(greatest(max(n), 1)) AS size FROM bo GROUP BY 1, 2),
+bw AS (SELECT *, avg(bits / size) OVER w AS size_mean, stddev_pop(bits / size) OVER w AS size_sd, count(*) OVER w AS n_pool, rank() OVER (PARTITION BY query_id ORDER BY round(bits, 9) DESC) AS shared_rank,
+ row_number() OVER (PARTITION BY query_id ORDER BY round(bits, 9) DESC, candidate_id) AS place, avg(bits) OVER w AS mean, stddev_pop(bits) OVER w AS sd, min(bits) OVER w AS lo, max(bits) OVER w AS hi FROM bs WINDOW w AS (PARTITION BY query_id)),
 bz AS (SELECT query_id, candidate_id, CASE WHEN sd > 1e-9 THEN (bits - mean) / sd ELSE 0 END AS z, greatest(-2.5e0, least(2.5e0, (bits - mean) / greatest(sd, 0.5e0))) AS clipped,
- CASE WHEN hi > lo THEN (bits - lo) / (hi - lo) ELSE 0 END AS min_max FROM bw),
+ CASE WHEN hi > lo THEN (bits - lo) / (hi - lo) ELSE 0 END AS min_max,
+ CASE WHEN size_sd > 1e-9 THEN (bits / size - size_mean) / size_sd ELSE 0 END AS z_by_size, CASE WHEN n_pool > 1 THEN (place - 1) * 1.0e0 / (n_pool - 1) ELSE 0 END AS rank_from_0, shared_rank FROM bw),
+"""
+_GREEDY = """
+gq AS (SELECT query_id, unnest(range(len(qm))) AS pos, unnest(qm) AS mz, unnest(qi) AS i FROM q),
+gl AS (SELECT spectrum_id, unnest(range(len(lm))) AS pos, unnest(lm) AS mz, unnest(li) AS i FROM lib),
+gqn AS (SELECT query_id, sqrt(sum(i * i)) AS n FROM gq GROUP BY 1), gln AS (SELECT spectrum_id, sqrt(sum(i * i)) AS n FROM gl GROUP BY 1),
+ge AS (SELECT query_id, spectrum_id, inchikey, energy, lib_energy, m - lib_mass AS delta FROM q JOIN lib ON lib_mass BETWEEN m * (1 - 20.0e0 / 1e6) AND m * (1 + 20.0e0 / 1e6)
+ WHERE m > 0 AND sgn = lib_sgn AND spectrum_id <> source_spectrum_id),
+gs AS (SELECT query_id, spectrum_id, k, k * delta AS shift FROM ge CROSS JOIN (VALUES (0), (1), (-1)) o(k) WHERE k = 0 OR abs(delta) >= 1e-4),
+gnear AS (SELECT query_id, spectrum_id, k, b.pos AS pos, a.pos AS qpos, a.i / gqn.n * b.i / gln.n AS v FROM gs JOIN gq a USING (query_id) JOIN gl b USING (spectrum_id) JOIN gqn USING (query_id)
+ JOIN gln USING (spectrum_id) WHERE abs(a.mz + shift - b.mz) <= 0.015 QUALIFY row_number() OVER (PARTITION BY query_id, spectrum_id, k, b.pos ORDER BY abs(a.mz + shift - b.mz), a.mz, a.pos) = 1),
+gonce AS (SELECT * FROM gnear QUALIFY row_number() OVER (PARTITION BY query_id, spectrum_id, k, qpos ORDER BY pos) = 1),
+gv AS (SELECT query_id, spectrum_id, k, sum(v) AS dot, count(*)::INT AS n FROM gonce GROUP BY 1, 2, 3),
+gbest AS (SELECT *, row_number() OVER (PARTITION BY query_id, spectrum_id ORDER BY round(dot, 9) DESC, abs(k), k DESC) AS r FROM gv),
+gp AS (SELECT query_id, spectrum_id, inchikey, abs(energy - lib_energy) AS gap, round(least(coalesce(dot, 0), 1), 6) AS greedy_cosine, coalesce(n, 0)::INT AS n_matched
+ FROM ge LEFT JOIN (SELECT * FROM gbest WHERE r = 1) USING (query_id, spectrum_id)),
 """
 _METRICS = """SELECT query_group, count(*) AS n, round(avg(CASE WHEN rnk <= 25 THEN 1.0e0 / rnk ELSE 0 END), 6) AS mrr,
  round(avg(CASE WHEN rnk <= 1 THEN 1.0e0 ELSE 0 END), 6) AS hit_1, round(avg(CASE WHEN rnk <= 5 THEN 1.0e0 ELSE 0 END), 6) AS hit_5,
@@ -467,19 +503,7 @@ SQL = {
  v AS (SELECT query_id, spectrum_id, k, coalesce(sum(CASE WHEN abs(a.mz + shift - b.mz) <= 0.01 THEN a.i * b.i END), 0) AS dot
   FROM sh JOIN qp a USING (query_id) JOIN lp b USING (spectrum_id) GROUP BY 1, 2, 3)
  SELECT query_id, spectrum_id, round(max(dot / (qn.n * ln_.n)), 6) AS modified_cosine FROM v JOIN qn USING (query_id) JOIN ln_ USING (spectrum_id) GROUP BY 1, 2""",
-    "greedy_pairs": _Q
-    + """qp AS (SELECT query_id, unnest(range(len(qm))) AS pos, unnest(qm) AS mz, unnest(qi) AS i FROM q),
- lp AS (SELECT spectrum_id, unnest(range(len(lm))) AS pos, unnest(lm) AS mz, unnest(li) AS i FROM lib),
- qn AS (SELECT query_id, sqrt(sum(i * i)) AS n FROM qp GROUP BY 1), ln_ AS (SELECT spectrum_id, sqrt(sum(i * i)) AS n FROM lp GROUP BY 1),
- e AS (SELECT query_id, spectrum_id, m - lib_mass AS delta FROM q JOIN lib ON lib_mass BETWEEN m * (1 - 20.0e0 / 1e6) AND m * (1 + 20.0e0 / 1e6)
-  WHERE m > 0 AND sgn = lib_sgn AND spectrum_id <> source_spectrum_id),
- sh AS (SELECT query_id, spectrum_id, k, k * delta AS shift FROM e CROSS JOIN (VALUES (0), (1), (-1)) o(k) WHERE k = 0 OR abs(delta) >= 1e-4),
- near AS (SELECT query_id, spectrum_id, k, b.pos AS pos, a.pos AS qpos, a.i / qn.n * b.i / ln_.n AS v FROM sh JOIN qp a USING (query_id) JOIN lp b USING (spectrum_id) JOIN qn USING (query_id)
-  JOIN ln_ USING (spectrum_id) WHERE abs(a.mz + shift - b.mz) <= 0.015 QUALIFY row_number() OVER (PARTITION BY query_id, spectrum_id, k, b.pos ORDER BY abs(a.mz + shift - b.mz), a.mz, a.pos) = 1),
- once AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY query_id, spectrum_id, k, qpos ORDER BY pos) = 1),
- v AS (SELECT query_id, spectrum_id, k, sum(v) AS dot, count(*)::INT AS n FROM once GROUP BY 1, 2, 3),
- best AS (SELECT *, row_number() OVER (PARTITION BY query_id, spectrum_id ORDER BY round(dot, 9) DESC, abs(k), k DESC) AS r FROM v)
- SELECT query_id, spectrum_id, round(least(coalesce(dot, 0), 1), 6) AS greedy_cosine, coalesce(n, 0)::INT AS n_matched FROM e LEFT JOIN (SELECT * FROM best WHERE r = 1) USING (query_id, spectrum_id)""",
+    "greedy_pairs": _Q + _GREEDY + _END + "SELECT query_id, spectrum_id, greedy_cosine, n_matched FROM gp",
     "truth_similarity": _Q
     + _END
     + """SELECT query_id, p.candidate_id, round(coalesce(list_sum(list_transform(list_zip(p.fp, t.fp), lambda z: bit_count(z[1] & z[2]))) * 1.0e0
@@ -489,7 +513,7 @@ SQL = {
     "fused_metrics": _FUSED
     + """, x AS (SELECT q.query_id, q.query_group, min(rnk) AS rnk FROM q LEFT JOIN (SELECT * FROM fr WHERE rnk <= 25 AND inchikey = true_inchikey) USING (query_id) GROUP BY 1, 2) """
     + _METRICS,
-    "bit_scores": _Q + _BINS + _ANALOG + _BITS + _END + "SELECT query_id, candidate_id, round(z, 4) AS z, round(clipped, 4) AS clipped, round(min_max, 4) AS min_max FROM bz",
+    "bit_scores": _Q + _BINS + _ANALOG + _BITS + _END + "SELECT query_id, candidate_id, round(z, 4) AS z, round(clipped, 4) AS clipped, round(min_max, 4) AS min_max, round(z_by_size, 4) AS z_by_size, round(rank_from_0, 4) AS rank_from_0, shared_rank FROM bz",
     "fused_with_bits": _FUSED
     + ", "
     + _BITS
@@ -512,7 +536,10 @@ SQL = {
     + """n AS (SELECT inchikey, count(*) AS n FROM lib WHERE lib_mass > 0 GROUP BY 1),
  pop AS (SELECT canonical_smiles AS s, row_number() OVER (ORDER BY n DESC, inchikey) AS k FROM n JOIN c USING (inchikey)),
  own AS (SELECT query_id, canonical_smiles AS s, rnk AS k FROM r WHERE rnk <= 25
-  UNION ALL SELECT query_id, s, 100 + k FROM q CROSS JOIN pop WHERE k <= 25),
+  UNION ALL SELECT query_id, s, 100 + k FROM (SELECT query_id, canonical_smiles AS s, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, c.inchikey) AS k FROM q
+   JOIN (SELECT inchikey, lib_sgn, quantile_cont(lib_mass, 0.5) AS lm, count(*) AS n FROM lib WHERE lib_mass > 0 GROUP BY 1, 2) l ON l.lib_sgn = q.sgn AND l.lm BETWEEN m * (1 - 20.0e0 / 1e6) AND m * (1 + 20.0e0 / 1e6)
+   JOIN c ON c.inchikey = l.inchikey WHERE m > 0) WHERE k <= 25
+  UNION ALL SELECT query_id, s, 200 + k FROM q CROSS JOIN pop WHERE k <= 25),
  ded AS (SELECT query_id, s, min(k) AS k FROM own GROUP BY 1, 2),
  num AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k) AS i FROM ded)
  SELECT query_id, string_agg(s, ';' ORDER BY i) AS smiles FROM num WHERE i <= 25 GROUP BY 1""",

@@ -9,6 +9,7 @@ from massloom.functions.keys import readable_keys, single_key
 from massloom.functions.settings import known_adduct, known_energy, known_mode
 from massloom.operators.dedup import best_per_group, hash_split, molecule_table, purge, representatives
 from massloom.operators.heavy_keys import skew_join
+from massloom.operators.similarity import near_identical, whole_vectors
 from massloom.sources.tables import table
 
 
@@ -181,11 +182,20 @@ def leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         for level, (a, b) in levels.items()
     ]
     out = parts[0]
-    for p in parts[1:]:
+    for p in [*parts[1:], _shared_spectra(t, e)]:
         out = out.unionByName(p)
     return out
 
 
+def _shared_spectra(t: DataFrame, e: DataFrame) -> DataFrame:
+    """The level of spectra: those of the evaluation splits with a cosine of at least 0.999 to one of train, whatever their keys."""
+    vectors = lambda df, mz, i: whole_vectors(df.select("spectrum_id", pk.peaks(F.col(mz), F.col(i)).alias("ps")), "spectrum_id", "ps").withColumn("digest", F.md5(F.to_json("vec")))
+    of_train, held_out = vectors(t, "ms2_mzs", "ms2_intensities"), vectors(e, "peaks_mz", "peaks_intensity")
+    once = lambda df: df.select("digest", "vec").dropDuplicates(["digest"])
+    found = near_identical(once(held_out), once(of_train)).select(F.col("digest_a").alias("digest")).distinct()
+    return held_out.join(found, "digest", "left_semi").agg(F.count(F.lit(1)).alias("n_shared")).select(F.lit("spectrum").alias("level"), "n_shared")
+
+
 def molecule_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reproducible molecule-disjoint split of train by a digest of the key, counted per fold."""
     t = _train(spark, sf_dir).select("spectrum_id", single_key(F.col("inchikey")).alias("inchikey")).where("inchikey IS NOT NULL")
@@ -347,11 +357,16 @@ SQL = {
         "FROM t WHERE inchikey IS NULL OR (", """FROM t WHERE spectrum_id NOT IN (SELECT source_spectrum_id FROM benchmark_queries WHERE query_group = 'C1' AND source_spectrum_id IS NOT NULL) AND (inchikey IS NULL OR (
  NOT EXISTS (SELECT 1 FROM benchmark_queries b WHERE b.query_group = 'C1' AND b.true_inchikey = t.inchikey AND len(t.ms2_mzs) > 0
   AND list_transform(list_sort(b.observed_ms2_mzs), lambda x: printf('%.3f', x)) = list_transform(list_sort(t.ms2_mzs), lambda x: printf('%.3f', x))) AND""") + ")",
-    "leakage_audit": f"""WITH tk AS (SELECT DISTINCT unnest({_KEYS.format("inchikey")}) AS v FROM train), ek AS (SELECT DISTINCT unnest({_KEYS.format("inchikey")}) AS v FROM external_spectra)
+    "leakage_audit": f"""WITH tk AS (SELECT DISTINCT unnest({_KEYS.format("inchikey")}) AS v FROM train), ek AS (SELECT DISTINCT unnest({_KEYS.format("inchikey")}) AS v FROM external_spectra),
+ tb AS (SELECT id, floor(mz)::BIGINT AS bin, sum(i) AS v FROM (SELECT spectrum_id AS id, unnest(ms2_mzs) AS mz, unnest(ms2_intensities) AS i FROM train WHERE len(ms2_mzs) = len(ms2_intensities)) GROUP BY 1, 2),
+ eb AS (SELECT id, floor(mz)::BIGINT AS bin, sum(i)::DOUBLE AS v FROM (SELECT spectrum_id AS id, unnest(peaks_mz)::DOUBLE AS mz, unnest(peaks_intensity)::DOUBLE AS i FROM external_spectra WHERE len(peaks_mz) = len(peaks_intensity)) GROUP BY 1, 2),
+ tn AS (SELECT id, sqrt(sum(v * v)) AS n FROM tb GROUP BY 1), en AS (SELECT id, sqrt(sum(v * v)) AS n FROM eb GROUP BY 1)
  SELECT 'full key' AS level, (SELECT count(*) FROM (SELECT v FROM tk INTERSECT SELECT v FROM ek)) AS n_shared
  UNION ALL SELECT 'first block', (SELECT count(*) FROM (SELECT left(v, 14) FROM tk INTERSECT SELECT left(v, 14) FROM ek))
  UNION ALL SELECT 'notation', (SELECT count(*) FROM (SELECT trim(normalized_smiles) AS v FROM train WHERE trim(normalized_smiles) <> '' INTERSECT SELECT trim(canonical_smiles) FROM external_spectra))
- UNION ALL SELECT 'formula', (SELECT count(*) FROM (SELECT molecular_formula AS v FROM train WHERE molecular_formula IS NOT NULL INTERSECT SELECT formula FROM external_spectra))""",
+ UNION ALL SELECT 'formula', (SELECT count(*) FROM (SELECT molecular_formula AS v FROM train WHERE molecular_formula IS NOT NULL INTERSECT SELECT formula FROM external_spectra))
+ UNION ALL SELECT 'spectrum', (SELECT count(DISTINCT e) FROM (SELECT a.id AS e, b.id AS t FROM eb a JOIN tb b USING (bin) JOIN en ON en.id = a.id JOIN tn ON tn.id = b.id GROUP BY a.id, b.id, en.n, tn.n
+  HAVING round(sum(a.v * b.v) / (en.n * tn.n), 6) >= 0.999))""",
     "molecule_split": _TRAIN
     + """SELECT (('0x' || left(md5(inchikey), 7))::INT % 5)::BIGINT AS fold, count(*) AS n_spectra, count(DISTINCT inchikey) AS n_keys FROM t WHERE inchikey IS NOT NULL GROUP BY 1""",
     "validation_queries": _TRAIN
