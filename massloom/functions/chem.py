@@ -11,9 +11,14 @@ ELEMENT_MASS = {
     "H": 1.00782503223, "D": 2.01410177811, "He": 4.00260325413, "Li": 7.0160034366, "Be": 9.012183065, "B": 11.00930536,
     "C": 12.0, "N": 14.00307400443, "O": 15.99491461957, "F": 18.99840316273, "Ne": 19.9924401762, "Na": 22.9897692820,
     "Mg": 23.9850416996, "Al": 26.98153863, "Si": 27.9769265327, "P": 30.97376199842, "S": 31.9720711744,
-    "Cl": 34.968852682, "Ar": 39.9623831237, "K": 38.9637064864, "Ca": 39.962590863, "Fe": 55.93493633, "Co": 58.93319429,
-    "Ni": 57.93534241, "Cu": 62.92959772, "Zn": 63.92914201, "As": 74.92159457, "Se": 79.9165218, "Br": 78.9183376,
-    "Sn": 119.9021947, "I": 126.9044719, "Pt": 194.9647911, "Hg": 201.970643,
+    "Cl": 34.968852682, "Ar": 39.9623831237, "K": 38.9637064864, "Ca": 39.962590863, "Ti": 47.94794198, "V": 50.94395704,
+    "Cr": 51.94050623, "Mn": 54.9380443, "Fe": 55.93493633, "Co": 58.93319429, "Ni": 57.93534241, "Cu": 62.92959772,
+    "Zn": 63.92914201, "Ga": 68.9255735, "Ge": 73.921177761, "As": 74.92159457, "Se": 79.9165218, "Br": 78.9183376,
+    "Kr": 83.9114977, "Rb": 86.909180531, "Sr": 87.9056125, "Zr": 89.9047044, "Mo": 97.90540482, "Ru": 101.9043493,
+    "Rh": 102.9055043, "Pd": 105.9034804, "Ag": 106.9050916, "Cd": 113.9033585, "In": 114.9038785, "Sn": 119.9021947,
+    "Sb": 120.903812, "Te": 129.906222748, "I": 126.9044719, "Xe": 131.9041550856, "Cs": 132.905451961, "Ba": 137.9052472,
+    "Pt": 194.9647911, "Au": 196.96656879, "Hg": 201.970643, "Tl": 204.9744275, "Pb": 207.9766521, "Bi": 208.9803987,
+    "U": 238.05078826,
 }
 ELECTRON_MASS = 0.00054858
 ISOTOPE_STEP = 1.003354835

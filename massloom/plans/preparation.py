@@ -64,7 +64,7 @@ def spectrum_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     mode = F.when(F.col("adduct").rlike(r"\d*-$"), 0.0).otherwise(1.0)
     settings = F.array(F.col("precursor_mz") / 1000, mode, F.coalesce("energy", F.lit(UNKNOWN_ENERGY)) / 100)
     meta = t.select("spectrum_id", F.posexplode(settings).alias("at", "value")).select("spectrum_id", (F.col("at") + FEATURE_META).cast("long").alias("index"), "value")
-    return bins.select("spectrum_id", "index", "value").unionByName(meta).select("spectrum_id", "index", F.round("value", 5).alias("value"))
+    return bins.select("spectrum_id", "index", "value").unionByName(meta).select("spectrum_id", "index", F.round("value", 8).alias("value"))
 
 
 def _digest(c: str, offset: int = 1) -> Column:
@@ -192,10 +192,10 @@ SQL = {
  p AS (SELECT spectrum_id, unnest(ms2_mzs) AS mz, unnest(ms2_intensities) AS i FROM ok),
  b AS (SELECT spectrum_id, floor(mz - 20)::BIGINT AS index, sum(i) AS v FROM p WHERE mz >= 20 AND mz < 1500 GROUP BY 1, 2),
  u AS (SELECT spectrum_id, index, v / sqrt(sum(v * v) OVER (PARTITION BY spectrum_id)) AS value FROM b)
- SELECT spectrum_id, index, round(value, 5) AS value FROM u WHERE value > 0
- UNION ALL SELECT spectrum_id, 1480, round(precursor_mz / 1000, 5) FROM ok
+ SELECT spectrum_id, index, round(value, 8) AS value FROM u WHERE value > 0
+ UNION ALL SELECT spectrum_id, 1480, round(precursor_mz / 1000, 8) FROM ok
  UNION ALL SELECT spectrum_id, 1481, CASE WHEN regexp_full_match(regexp_replace(adduct, '\s', '', 'g'), '\[[^\[\]?]+\][0-9]*-') THEN 0.0e0 ELSE 1.0e0 END FROM ok
- UNION ALL SELECT spectrum_id, 1482, round(CASE WHEN collision_energy > 0 AND collision_energy <= 200 THEN collision_energy ELSE 30.0e0 END / 100, 5) FROM ok""",
+ UNION ALL SELECT spectrum_id, 1482, round(CASE WHEN collision_energy > 0 AND collision_energy <= 200 THEN collision_energy ELSE 30.0e0 END / 100, 8) FROM ok""",
     "benchmark_cohorts": _MASSES + "SELECT cohort, inchikey, query_spectrum FROM co",
     "cohort_gate": _MASSES
     + """, sh AS (SELECT inchikey FROM co GROUP BY 1 HAVING count(DISTINCT cohort) > 1)
