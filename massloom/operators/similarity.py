@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from massloom.functions.peaks import fine_bin
+from massloom.functions.peaks import fine_bin, let
 
 
 def binned(spectra: DataFrame, key: str, ps: str, *carried: str, neighbours: bool = False) -> DataFrame:
@@ -159,18 +159,21 @@ def near_identical(a: DataFrame, b: DataFrame, least: float = 0.999) -> DataFram
     """``digest_a``, ``digest_b``, ``cosine``: all pairs of distinct unit vectors (``digest``, ``vec``) whose cosine is at least ``least``.
 
     Such vectors are at most d = sqrt(2 - 2 least) apart, so in the highest bin of one the other's value differs by at most d and is
-    within 2 d of its own highest. Vectors meet on that bin and the slot of the value: few entries each, and no pair is missed.
+    within 2 d of its own highest; and put in order, their values are no further apart either. Vectors meet on that bin and the slots
+    of that value and of the second highest: few entries each, and no pair is missed.
     """
-    d = (2 - 2 * least) ** 0.5
-    top = lambda v: F.array_max(F.transform(v, lambda x: x["v"]))
+    d = (2 - 2 * least) ** 0.5 + 1e-6  # room for the rounding of values
+    values = F.slice(F.sort_array(F.transform("vec", lambda x: x["v"]), asc=False), 1, 8)
+    second = F.coalesce(F.get("ordered", 1), F.lit(0.0))
+    around = lambda c: F.explode(F.array(F.floor(c / d) - 1, F.floor(c / d), F.floor(c / d) + 1))
     highest = F.array_max(F.transform("vec", lambda x: F.struct(x["v"].alias("v"), (-x["bin"]).alias("b"))))
-    slot = F.floor(F.col("h.v") / d)
-    asked = a.select(F.col("digest").alias("digest_a"), F.col("vec").alias("va"), highest.alias("h"))
-    asked = asked.select("digest_a", "va", (-F.col("h.b")).alias("bin"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
-    held = b.select(F.col("digest").alias("digest_b"), F.col("vec").alias("vb"), top(F.col("vec")).alias("m"))
-    held = held.select("digest_b", "vb", F.explode(F.filter("vb", lambda x: x["v"] >= F.col("m") - 2 * d - 1e-6)).alias("x"))
-    held = held.select("digest_b", "vb", F.col("x.bin").alias("bin"), F.floor(F.col("x.v") / d).alias("slot"))
-    by_bin = F.map_from_entries("vb")
-    pairs = asked.join(held, ["bin", "slot"]).withColumn("by_bin", by_bin)
-    dot = F.aggregate("va", F.lit(0.0), lambda s, x: s + x["v"] * F.coalesce(F.try_element_at(F.col("by_bin"), x["bin"]), F.lit(0.0)))
+    asked = a.select(F.col("digest").alias("digest_a"), F.col("vec").alias("va"), highest.alias("h"), values.alias("ordered"))
+    asked = asked.select("digest_a", "va", F.col("ordered").alias("oa"), second.alias("s2"), (-F.col("h.b")).alias("bin"), around(F.col("h.v")).alias("slot")).withColumn("slot2", around(F.col("s2")))
+    held = b.select(F.col("digest").alias("digest_b"), F.col("vec").alias("vb"), values.alias("ordered"))
+    held = held.select("digest_b", "vb", F.col("ordered").alias("ob"), second.alias("s2"), F.explode(F.filter("vb", lambda x: x["v"] >= F.get("ordered", 0) - 2 * d)).alias("x"))
+    held = held.select("digest_b", "vb", "ob", F.col("x.bin").alias("bin"), F.floor(F.col("x.v") / d).alias("slot"), F.floor(F.col("s2") / d).alias("slot2"))
+    apart = F.zip_with("oa", "ob", lambda x, y: F.pow(F.coalesce(x, F.lit(0.0)) - F.coalesce(y, F.lit(0.0)), 2))
+    pairs = asked.join(held, ["bin", "slot", "slot2"]).where(F.aggregate(apart, F.lit(0.0), lambda s, x: s + x) <= d * d)
+    product = lambda by_bin: F.aggregate("va", F.lit(0.0), lambda s, x: s + x["v"] * F.coalesce(F.try_element_at(by_bin, x["bin"]), F.lit(0.0)))
+    dot = let(F.map_from_entries("vb"), product)
     return pairs.select("digest_a", "digest_b", F.round(dot, 6).alias("cosine")).where(F.col("cosine") >= least)
