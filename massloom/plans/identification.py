@@ -8,6 +8,7 @@ from massloom.functions import chem, peaks as pk
 from massloom.functions.keys import single_key
 from massloom.functions.settings import known_adduct, known_energy
 from massloom.operators import bandjoin as bj, ranking as rk, similarity as sim
+from massloom.session import durable
 from massloom.sources.tables import table
 
 HITS = 80
@@ -283,8 +284,8 @@ def analog_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _union(spark, sf_dir)
-    joined = pairs.join(direct_hits(spark, sf_dir), ["query_id", "inchikey"], "left").join(analog_scores(spark, sf_dir), ["query_id", "candidate_id"], "left")
+    pairs = durable(_union(spark, sf_dir))  # used twice
+    joined = pairs.join(direct_hits(spark, sf_dir), ["query_id", "inchikey"], "left").join(analog_scores(spark, sf_dir, pairs), ["query_id", "candidate_id"], "left")
     joined = joined.withColumns({"direct": F.coalesce("direct", F.lit(0.0)), "analog": F.coalesce("analog", F.lit(0.0))})
     score = rk.fused_score(F.col("ppm"), rk.source_prior(F.col("source")), F.col("direct"), F.col("analog"), F.lit(0.0))
     return joined.withColumn("score", F.round(score, 6))
