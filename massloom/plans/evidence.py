@@ -21,11 +21,10 @@ BLEND, NEAR_ONE, NEAR_TWO, CONSISTENT, CONSISTENT_FROM = (0.65, 0.35), 1.10, 1.1
 WEIGHTS, BOOST = (0.6, 0.15, 0.1, 0.15), 4.5
 
 
-def spectrum_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per query and library spectrum of near mass: cosine, shared bins, and the gap between the energies."""
-    met = ident.near_bins(ident.queries_with_mass(spark, sf_dir), ident.library(spark, sf_dir))
-    hits = met.groupBy("query_id", "spectrum_id", "inchikey", "energy", "lib_energy")
-    hits = hits.agg(F.round(F.sum(F.col("vq") * F.col("v")), 9).alias("cosine"), F.count(F.lit(1)).alias("n_matched"))
+def spectrum_hits(spark: SparkSession, sf_dir: str, best: int) -> DataFrame:
+    """Per query and molecule at least the ``best`` library spectra of near mass: cosine, shared bins, and the gap between the energies; ``n_supporting`` adds up to the number of spectra met."""
+    hits = ident.near_hits(ident.queries_with_mass(spark, sf_dir), ident.library(spark, sf_dir), best, digits=9)
+    hits = hits.select("query_id", "spectrum_id", "inchikey", "energy", "lib_energy", F.round("cosine", 9).alias("cosine"), "n_matched", "n_supporting")
     return hits.withColumn("energy_gap", F.abs(F.col("energy") - F.col("lib_energy")))
 
 
@@ -45,7 +44,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     libs = table(spark, sf_dir, "train").select(single_key(F.col("inchikey")).alias("inchikey"), "ingest_lib").where("inchikey IS NOT NULL")
     libs = libs.groupBy("inchikey").agg(F.countDistinct("ingest_lib").alias("n_sources"))
     best = F.max_by(F.struct("cosine", "n_matched", "energy_gap"), F.struct("cosine", -F.col("spectrum_id")))
-    hits = spectrum_hits(spark, sf_dir).groupBy("query_id", "inchikey").agg(best.alias("b"), F.count(F.lit(1)).alias("n_supporting"))
+    hits = spectrum_hits(spark, sf_dir, 1).groupBy("query_id", "inchikey").agg(best.alias("b"), F.sum("n_supporting").alias("n_supporting"))
     hits = hits.join(libs, "inchikey")
     score = evidence_score(F.col("b.cosine"), F.col("b.n_matched"), F.col("b.energy_gap"), F.col("n_supporting"), F.col("n_sources"))
     return hits.select("query_id", "inchikey", "n_supporting", F.round(score, 6).alias("evidence"))
@@ -64,7 +63,7 @@ def blended(top: DataFrame, *more: Column) -> DataFrame:
 def two_best_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per query and molecule: 0.65 of the best and 0.35 of the second cosine, with bonuses for a near energy and for consistency."""
     per = W.partitionBy("query_id", "inchikey").orderBy(F.desc("cosine"), "spectrum_id")
-    top = spectrum_hits(spark, sf_dir).withColumn("k", F.row_number().over(per)).where("k <= 2")
+    top = spectrum_hits(spark, sf_dir, 2).withColumn("k", F.row_number().over(per)).where("k <= 2")
     return blended(top).withColumn("blend", F.round("blend", 6))
 
 
