@@ -103,7 +103,7 @@ def test_scores_at_their_bounds(spark):
     assert row["fusion"] == pytest.approx(0.25 + 0.125 / math.e + 0.5 / (1 + math.exp(15)))
 
 
-@pytest.mark.parametrize("name", ["direct_search", "threshold_sweep", "two_best_blend"])
+@pytest.mark.parametrize("name", ["bit_scores", "direct_search", "fused_ranking", "threshold_sweep", "two_best_blend"])
 def test_pairs_of_spectra_are_not_shuffled(spark, name):
     """Pairs grow as queries times spectra: they are reduced in the task where they meet."""
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
