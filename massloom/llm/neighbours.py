@@ -3,8 +3,9 @@
 Centroids are fitted on a bounded sample (oversized clusters are split until lists are about equally long). A layered
 graph of near centroids, held in memory, finds the nearest centroids of each vector; those whose distance is within a
 ratio of the nearest one's are its lists. A vector is stored in the first few of them (boundary vectors in several) and
-looks for its neighbours in all of them. Beyond ``FAN`` lists each list has centroids and a graph of its own, fitted in Spark
-from a bounded sample of the list, and so on: the number of lists grows with the vectors and the depth with its logarithm.
+looks for its neighbours in all of them. Beyond ``FAN`` lists each list has centroids of its own, fitted in Spark from a bounded
+sample of the list, and so on: the number of lists grows with the vectors and the depth with its logarithm. A vector goes down
+all levels in one task and counts for the nearest lists of the last, so it is written and shuffled as often as with one level.
 Within a list all comparisons are one product of matrices. Lists longer than a block are cut into blocks, and so are the
 vectors that search them: each pair of a stored and a searching block is compared on its own, so no comparison holds more
 than about two blocks however hot a list is.
@@ -31,8 +32,8 @@ SAMPLE_PER_LIST, ROUNDS = 12, 2
 CENTROID_DIMENSIONS, DIMENSIONS = 96, 4096
 #: Lists in which a vector is stored, lists that it searches, and the distance ratio that prunes both.
 STORED, SEARCHED, RATIO = 2, 6, 1.35
-#: The same below the first level, in each list of the level above: one, and an eighth of the lists, but so many at least.
-STORED_BELOW, SEARCHED_BELOW, PART_BELOW = 1, 8, 8
+#: Lists of one level in which a vector looks for lists of the next, at least; MB of centroids below the first level that a task keeps ready.
+OPENED, READY_MB = 6, 200
 #: Stored or searching vectors of one block, about, and the dimensions that are compared at a time.
 BLOCK, DIMENSIONS_AT_A_TIME = 4096, 2048
 #: Graph: near centroids of a centroid, nodes kept while searching, vectors that search together, and how many times
@@ -224,17 +225,101 @@ def fit_centroids(sample: Sparse, k: int, seed: int = 3) -> Centroids:
     return Centroids(space, c)
 
 
-def lists_of(data: Sparse, centroids: Centroids, wants: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each vector its nearest lists, nearest first, and how many of them count: at most ``wants``, within the distance ratio."""
+class Tree:
+    """Centroids of the first level, and for each level below a mapping from lists to their own packed centroids."""
+
+    def __init__(self, top: Centroids, below: list[dict[int, bytes]]) -> None:
+        self.top, self.below, self.ready, self.held = top, below, {}, 0
+
+    def _node(self, depth: int, name: int) -> Centroids:
+        if (depth, name) not in self.ready:
+            if self.held > READY_MB * 1e6:
+                self.ready, self.held = {}, 0
+            node = Centroids.unpacked(self.below[depth][name])
+            self.ready[depth, name], self.held = node, self.held + node.matrix.nbytes
+        return self.ready[depth, name]
+
+    def lists_of(self, data: Sparse, wants: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """As ``lists_of``, by the lists of the last level, named below those above."""
+        opened = wants if not self.below else np.maximum(wants, OPENED)
+        wide = max(most, OPENED) if self.below else most
+        first = [lists_of(data.only(np.arange(s, min(s + 4096, data.n))), self.top, opened[s : s + 4096], wide, ratio) for s in range(0, data.n, 4096)]
+        lists, count, far = (np.concatenate(x) for x in zip(*first, strict=True))
+        lists = lists.astype(np.int64)
+        for depth in range(len(self.below)):
+            known = np.isfinite(far)
+            row, name, gap = np.nonzero(known)[0], lists[known], far[known]
+            row, name, gap = self._below(data, depth, row, name, gap, opened)
+            order = np.lexsort((name, gap, row))
+            row, name, gap = row[order], name[order], gap[order]
+            starts = np.searchsorted(row, np.arange(data.n))
+            place = np.arange(len(row)) - starts[row]
+            keep = place < (wants if depth == len(self.below) - 1 else opened)[row]
+            row, name, gap, place = row[keep], name[keep], gap[keep], place[keep]
+            lists, far = np.zeros((data.n, wide), np.int64), np.full((data.n, wide), np.inf)
+            lists[row, place], far[row, place] = name, gap
+            count = (far <= ratio * far[:, :1] + 1e-6).sum(1)
+        return lists, count
+
+    def _below(self, data: Sparse, depth: int, row: np.ndarray, name: np.ndarray, gap: np.ndarray, opened: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Vectors, lists of the next level below the given ones, and distances; a list without centroids of its own stays one list."""
+        order = np.argsort(name, kind="stable")
+        row, name, gap = row[order], name[order], gap[order]
+        bounds = np.r_[np.flatnonzero(np.r_[True, name[1:] != name[:-1]][: len(name)]), len(name)]
+        rows, names, gaps = [], [], []
+        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+            own, above = row[s:e], int(name[s])
+            if above not in self.below[depth]:
+                rows.append(own), names.append(np.full(e - s, above * NAMES)), gaps.append(gap[s:e])
+                continue
+            node = self._node(depth, above)
+            found, cos = node.nearest(data.only(own).dense(node.space), int(opened[own].max()))
+            rows.append(np.repeat(own, found.shape[1])), names.append(above * NAMES + found.ravel().astype(np.int64)), gaps.append(1 - np.clip(cos.ravel(), -1, 1))
+        return np.concatenate(rows), np.concatenate(names), np.concatenate(gaps)
+
+
+def fitted_below(vectors: DataFrame, tree: Tree, n: int, list_length: int) -> dict[int, bytes]:
+    """Packed centroids for every list of the last level of ``tree`` that is nearest to more than four times ``list_length`` vectors.
+
+    Only a sample of the vectors is placed and shuffled for it, once each; a task fits at most SAMPLE_PER_LIST * FAN of them, about.
+    """
+    share = min(1.0, SAMPLE_PER_LIST / list_length)
+    some = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("id", "dims", "vals")
+    shared = vectors.sparkSession.sparkContext.broadcast((tree.top.packed(), tree.below))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Tree(Centroids.unpacked(shared.value[0]), shared.value[1])
+        for b in batches:
+            if b.num_rows:
+                lists, _ = own.lists_of(Sparse(b.column("dims"), b.column("vals")), np.ones(b.num_rows, int), 1, 1.0)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists[:, 0])], names=[*b.schema.names, "list"])
+
+    types = ", ".join(f"{c} {t}" for c, t in some.dtypes)
+    placed = durable_table(some.mapInArrow(place, f"{types}, list bigint"))
+    fan = F.least(F.lit(FAN), F.ceil(F.col("n") / share / list_length)).cast("int")
+    longer = placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * list_length * share)
+    longer = durable(longer.select("list", "n", fan.alias("fan")))
+    drawn = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < F.least(F.lit(1.0), F.col("fan") * SAMPLE_PER_LIST / F.col("n")) * (1 << 30)
+    sample = placed.join(small_enough(longer), "list").where(drawn)
+
+    def fit(t: pa.Table) -> pa.Table:
+        found = fit_centroids(Sparse(t.column("dims").combine_chunks(), t.column("vals").combine_chunks()), int(t.column("fan")[0].as_py()))
+        return pa.table({"list": t.column("list").slice(0, 1), "centroids": pa.array([found.packed()], pa.binary())})
+
+    got = sample.select("list", "fan", "dims", "vals").groupBy("list").applyInArrow(fit, "list bigint, centroids binary").toArrow()
+    return dict(zip(got.column("list").to_pylist(), got.column("centroids").to_pylist(), strict=True))
+
+
+def lists_of(data: Sparse, centroids: Centroids, wants: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each vector its nearest lists, nearest first, how many of them count (at most ``wants``, within the distance ratio), and the distances."""
     x = data.dense(centroids.space)
-    most = min(most, len(centroids.matrix))
     lists, far = np.zeros((len(x), most), np.int32), np.full((len(x), most), np.inf)
     for want in np.unique(wants):
         rows = np.flatnonzero(wants == want)
         found, cos = centroids.nearest(x[rows], int(want))
         w = found.shape[1]
         lists[rows[:, None], np.arange(w)], far[rows[:, None], np.arange(w)] = found, 1 - np.clip(cos, -1, 1)
-    return lists, (far <= ratio * far[:, :1] + 1e-6).sum(1)  # nearest first, so what counts is a head of the list
+    return lists, (far <= ratio * far[:, :1] + 1e-6).sum(1), far  # nearest first, so what counts is a head of the list
 
 
 def assigned(vectors: DataFrame, n: int, stored: int, searched: int, ratio: float, list_length: int) -> DataFrame:
@@ -249,27 +334,29 @@ def assigned(vectors: DataFrame, n: int, stored: int, searched: int, ratio: floa
     if not got.num_rows:
         return vectors.select("*", F.lit(True).alias("stored"), F.lit(0).cast("long").alias("list"))
     sample = Sparse(got.column("dims").combine_chunks(), got.column("vals").combine_chunks())
-    shared = vectors.sparkSession.sparkContext.broadcast(fit_centroids(sample, k).packed())
+    tree = Tree(fit_centroids(sample, k), [])
+    for _ in range(1, levels(n, list_length)):
+        tree = Tree(tree.top, [*tree.below, fitted_below(vectors, tree, n, list_length)])
+    shared = vectors.sparkSession.sparkContext.broadcast((tree.top.packed(), tree.below))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids = Centroids.unpacked(shared.value)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 4096):
-                b = whole.slice(start, 4096)
+        own = Tree(Centroids.unpacked(shared.value[0]), shared.value[1])
+        for b in batches:
+            if b.num_rows:
                 asks = b.column("asks").to_numpy(zero_copy_only=False).astype(bool)
                 wants = np.where(asks, max(stored, searched), stored)
-                lists, count = lists_of(Sparse(b.column("dims"), b.column("vals")), centroids, wants, max(stored, searched), ratio)
-                yield _entries(b, lists, count, np.full(len(asks), stored), np.zeros(len(asks), np.int64))
+                lists, count = own.lists_of(Sparse(b.column("dims"), b.column("vals")), wants, max(stored, searched), ratio)
+                yield _entries(b, lists, count, np.full(len(asks), stored))
 
     types = ", ".join(f"{c} {t}" for c, t in vectors.dtypes)
     placed = vectors.mapInArrow(place, f"{types}, lists array<bigint>, n_stored int")
     return list_entries(durable_table(placed))
 
 
-def _entries(b: pa.RecordBatch, lists: np.ndarray, count: np.ndarray, stored: np.ndarray, above: np.ndarray) -> pa.RecordBatch:
-    """``b`` with its ``lists`` (numbered below the list ``above``), of which the first ``n_stored`` store the vector."""
+def _entries(b: pa.RecordBatch, lists: np.ndarray, count: np.ndarray, stored: np.ndarray) -> pa.RecordBatch:
+    """``b`` with its ``lists``, of which the first ``n_stored`` store the vector."""
     keep = np.arange(lists.shape[1]) < count[:, None]
-    named = (above[:, None] * NAMES + lists)[keep]
+    named = lists[keep]
     chosen = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(named, pa.int64()))
     n_stored = pa.array(np.minimum(count, stored), pa.int32())
     return pa.RecordBatch.from_arrays([*b.columns, chosen, n_stored], names=[*b.schema.names, "lists", "n_stored"])
@@ -291,51 +378,6 @@ def small_enough(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
-def subdivided(at: DataFrame, lengths: DataFrame, searched: int, ratio: float, list_length: int) -> DataFrame:
-    """``at`` with every list that stores more than four times ``list_length`` divided by centroids of its own.
-
-    They are fitted where the list lies, from a sample of at most SAMPLE_PER_LIST * FAN of its vectors; the vectors of the list
-    are placed in parts of a block.
-    """
-    fan = F.least(F.lit(FAN), F.ceil(F.col("held") / list_length)).cast("int")
-    pieces = F.ceil((F.col("held") + F.col("asking")) / BLOCK).cast("int")
-    longer = lengths.where(F.col("held") > 4 * list_length)
-    longer = durable(longer.select("list", "held", fan.alias("fan"), pieces.alias("pieces")))
-    deep = at.join(small_enough(longer), "list")
-    share = F.least(F.lit(1.0), F.col("fan") * SAMPLE_PER_LIST / F.col("held"))
-    sampled = deep.where(F.col("stored") & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)))
-
-    def fit(t: pa.Table) -> pa.Table:
-        found = fit_centroids(Sparse(t.column("dims"), t.column("vals")), int(t.column("fan")[0].as_py()))
-        return pa.table({"list": t.column("list").slice(0, 1), "centroids": pa.array([found.packed()], pa.binary())})
-
-    fitted = durable_table(sampled.select("list", "fan", "dims", "vals").groupBy("list").applyInArrow(fit, "list bigint, centroids binary"))
-    every = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")
-    sent = fitted.join(longer, "list").select("list", every, "centroids")
-    dealt = deep.withColumn("piece", F.pmod(F.xxhash64("id", F.lit(2)), F.col("pieces")).cast("int"))
-    below = max(SEARCHED_BELOW, -(-searched // PART_BELOW))
-
-    def place(rows: pa.Table, centroids: pa.Table) -> pa.Table:
-        b = rows.select(["id", "dims", "vals", "asks"]).combine_chunks()
-        if not b.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in zip([*b.schema.names, "lists", "n_stored"], [*b.schema.types, pa.list_(pa.int64()), pa.int32()], strict=True)})
-        own, asks = rows.column("stored").to_numpy(), rows.column("asks").to_numpy()
-        above = rows.column("list").to_numpy()
-        data = Sparse(b.column("dims"), b.column("vals"))
-        if centroids.num_rows:
-            wants = np.where(asks, below, STORED_BELOW)
-            lists, count = lists_of(data, Centroids.unpacked(centroids.column("centroids")[0].as_py()), wants, below, ratio)
-        else:  # no vector of the list is in the sample: it stays one list
-            lists, count = np.zeros((len(own), 1), np.int32), np.ones(len(own), int)
-        out = _entries(b.to_batches()[0], lists, count, np.where(own, STORED_BELOW, 0), above)
-        return pa.Table.from_batches([out])
-
-    types = ", ".join(f"{c} {t}" for c, t in at.dtypes if c in ("id", "dims", "vals", "asks"))
-    placed = dealt.groupBy("list", "piece").cogroup(sent.groupBy("list", "piece")).applyInArrow(place, f"{types}, lists array<bigint>, n_stored int")
-    rest = at.join(small_enough(longer.select("list")), "list", "left_anti").withColumn("list", F.col("list") * NAMES)
-    return rest.select("id", "dims", "vals", "asks", "stored", "list").unionByName(list_entries(durable_table(placed)))
-
-
 def levels(n: int, list_length: int) -> int:
     """Levels of lists for ``n`` vectors: as many as are needed for lists of about ``list_length``."""
     depth, room = 1, FAN * list_length
@@ -424,9 +466,6 @@ def neighbours(
     n = spectra.where(usable(F.col(mzs), F.col(intensities))).count()
     at = assigned(vectors, n, stored, searched, ratio, list_length)
     lengths = list_lengths(at)
-    for _ in range(1, levels(n, list_length)):
-        at = subdivided(at, lengths, searched, ratio, list_length)
-        lengths = list_lengths(at)
     entries = lengths.agg(F.sum(F.greatest("held", "asking"))).first()[0] or 0
     tasks = max(int(spectra.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries // ENTRIES_PER_TASK))
     dealt = dealt_to_blocks(at, lengths).repartition(tasks, "list", "block", "ask_block")  # tasks stay equally large as rows grow

@@ -302,3 +302,12 @@ def test_shares_are_exact(spark):
     df = spark.range(90_000).select(F.when(F.col("id") < 60_000, "train").otherwise("test").alias("split"), F.floor(F.col("id") / 2).alias("entity"))
     df = df.unionByName(spark.sql("SELECT 'test' AS split, CAST(NULL AS BIGINT) AS entity"))
     assert sorted(map(tuple, shares(df).collect())) == [("test", 30_001, 15_000), ("train", 60_000, 30_000)]
+
+
+def test_more_levels_add_no_entries(spark, monkeypatch):
+    seen, dealt = [], nb.dealt_to_blocks
+    monkeypatch.setattr(nb, "FAN", 4)
+    monkeypatch.setattr(nb, "dealt_to_blocks", lambda at, lengths: seen.append(at) or dealt(at, lengths))
+    nb.neighbours(spectra(spark, made(400)), "spectrum_id", "m", "x", searched=3, ratio=100.0, list_length=5)
+    at = seen[0].groupBy("id").count().collect()
+    assert len(at) > 390 and max(r["count"] for r in at) == 3 and seen[0].select("list").distinct().count() > 40
